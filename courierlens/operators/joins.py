@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 
 def semi_in(df: DataFrame, column: str, sub: DataFrame, sub_column: str) -> DataFrame:
-    """Rows whose value is IN the other column."""
-    members = sub.select(F.col(sub_column).alias("_member"))
+    """Rows whose value is IN the other column.
+
+    Members are made distinct first: repeats vanish before the shuffle, and the join
+    uses the partitioning the distinct leaves behind.
+    """
+    members = sub.select(F.col(sub_column).alias("_member")).distinct()
     return df.join(members, F.col(column) == F.col("_member"), "left_semi")
 
 

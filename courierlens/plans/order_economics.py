@@ -116,7 +116,9 @@ def daily_orders(catalog: Catalog, params: Params) -> DataFrame:
         total("vendor_voucher").alias("vendor_voucher"),
         total("platform_voucher").alias("platform_voucher"),
         ratio(total("minimum_delivery_value_local"), orders, 2).alias("avg_min_order_value"),
-        ratio(total("net_delivery_fee"), orders, 2).alias("avg_delivery_fee"),
+        # Net fees have two decimals, so they are added exactly, whatever the row order.
+        ratio(F.sum(F.col("net_delivery_fee").cast("decimal(18,2)")), orders, 2).cast("double")
+        .alias("avg_delivery_fee"),
         ratio(total("vendor_discount"), gmv, 2).alias("vendor_discount_prop"),
         ratio(total("platform_discount"), gmv, 2).alias("platform_discount_prop"),
         ratio(total("platform_discount"), total("vendor_discount")).alias("platform_vendor_discount_ratio"),

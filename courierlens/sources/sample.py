@@ -8,6 +8,7 @@ roundings are exact, and NULLs, duplicates and reversed intervals come from key
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
@@ -391,13 +392,15 @@ def given_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sample_catalog(spark: SparkSession, sf_dir: str, edition: str) -> Catalog:
     """The derived tables as lazy views over the parquet files in ``sf_dir``."""
     apply_settings(spark)
+    given: dict[str, DataFrame] = {}
 
     def resolve(name: str) -> DataFrame:
         text = TABLES[edition][name](SPARK)
-        used = {t: given_table(spark, sf_dir, t) for t in GIVEN if f" {t}" in text}
+        used = [t for t in GIVEN if re.search(rf"\b(FROM|JOIN) {t}\b", text)]
         for t in used:
-            text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-        used = {t: df for t, df in used.items() if f"{{{t}}}" in text}
-        return spark.sql(text, **used)
+            text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
+            if t not in given:
+                given[t] = given_table(spark, sf_dir, t)
+        return spark.sql(text, **{t: given[t] for t in used})
 
     return Catalog(resolve)
