@@ -60,9 +60,11 @@ def validity_intervals(df: DataFrame, key: str, ts: str, value: str, start: str
 
     Equal to a gap-free minute spine with the value carried forward, without the
     spine. Expects one row per key and minute; rows with a NULL value only extend the
-    key's last minute, at which its last interval closes.
+    key's last minute, at which its last interval closes. Rows without key or minute
+    are left out, stated here so that both uses of ``df`` share one plan and shuffle.
     """
-    rows = df.select(key, ts, value, F.to_date(ts).alias("_day"))
+    rows = (df.select(key, ts, value, F.to_date(ts).alias("_day"))
+            .filter(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col("_day").isNotNull()))
     known = F.col(value).isNotNull()
     per_day = rows.groupBy(key, "_day").agg(
         F.min(F.when(known, F.col(ts))).alias("_first"), F.max(ts).alias("_last"))
