@@ -48,8 +48,7 @@ def any_positive(*amounts: Column) -> Column:
 
 def floor_zero(amount: Column, digits: int) -> Column:
     """Rounded, negatives become 0, NULL stays NULL."""
-    rounded = F.round(amount, digits)
-    return F.when(rounded < 0, F.lit(0.0)).otherwise(rounded)
+    return F.round(F.when(amount < 0, F.lit(0.0)).otherwise(amount), digits)
 
 
 def fully_platform_funded(share_pct: Column) -> Column:

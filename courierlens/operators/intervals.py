@@ -108,17 +108,26 @@ def active_count(spans: DataFrame, key: str, start: str, end: str, first: date,
                  day: str = "date_local", name: str = "active") -> DataFrame:
     """Spans in force per key and day, zero days included.
 
-    Same step-and-running-sum idea on the day axis: cost grows with spans plus
-    keys x days, not spans x days.
+    Same step-and-running-sum idea on the day axis, in one pass over the spans: cost
+    grows with spans plus keys x days, not spans x days. Every span also leaves an empty
+    step on the first day, so a key that is never active still gets its days.
     """
     low, high = F.lit(first), F.lit(last)
-    axis = spans.select(key).distinct().select(
-        key, F.explode(series(low, high, "day")).alias(day), F.lit(0).alias("_step"))
-    live = spans.filter((F.col(start) <= F.col(end)) & (F.col(start) <= high) & (F.col(end) >= low))
-    opened = live.select(key, F.greatest(F.col(start), low).alias(day), F.lit(1).alias("_step"))
-    ended = (live.filter(F.col(end) < high)
-             .select(key, F.date_add(end, 1).alias(day), F.lit(-1).alias("_step")))
-    netted = (axis.unionByName(opened).unionByName(ended)
-              .groupBy(key, day).agg(F.sum("_step").alias("_step")))
-    along = W.partitionBy(key).orderBy(day).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return netted.select(day, key, F.sum("_step").over(along).alias(name))
+    live = (F.col(start) <= F.col(end)) & (F.col(start) <= high) & (F.col(end) >= low)
+    ends = live & (F.col(end) < high)
+
+    def step(at: Column, size: Column) -> Column:
+        return F.struct(at.alias("at"), size.alias("size"))
+
+    steps = F.explode(F.array(
+        step(low, F.lit(0)),
+        step(F.when(live, F.greatest(F.col(start), low)).otherwise(low), F.when(live, 1).otherwise(0)),
+        step(F.when(ends, F.date_add(end, 1)).otherwise(low), F.when(ends, -1).otherwise(0)),
+    ))
+    netted = (spans.select(key, steps.alias("s"))
+              .groupBy(key, F.col("s.at").alias("_at")).agg(F.sum("s.size").alias("_size")))
+    along = W.partitionBy(key).orderBy("_at")
+    running = F.sum("_size").over(along.rowsBetween(W.unboundedPreceding, W.currentRow))
+    held = netted.select(key, "_at", running.alias(name), F.lead("_at").over(along).alias("_next"))
+    days = series(F.col("_at"), F.coalesce(F.date_sub("_next", 1), high), "day")
+    return held.select(F.explode(days).alias(day), key, name)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courierlens.operators.intervals import active_count
+from courierlens.operators.joins import semi_in
 from courierlens.operators.spines import date_spine
 from courierlens.params import Params
 from courierlens.plans.dimensions import real_vendors, vendor_zones
@@ -23,12 +24,14 @@ def contract_spans(catalog: Catalog, params: Params) -> DataFrame:
     contracts = c.filter(c.entity == params.entity).select(
         F.col("sf_account_id").alias("id"), "start_date_local",
         F.coalesce("end_date_local", F.lit(params.open_contract_end)).alias("end_date_local"))
-    # Reduced per vendor before zones repeat it; the maxima do not change.
-    spans = (real_vendors(catalog, params).select("vendor_code")
-             .join(accounts, "vendor_code").join(contracts, "id")
-             .groupBy("vendor_code")
-             .agg(F.max("start_date_local").alias("start_date_local"),
-                  F.max("end_date_local").alias("end_date_local")))
+
+    # Maxima do not mind repeats, so each level is reduced before the next join.
+    def latest(df: DataFrame, key: str) -> DataFrame:
+        return df.groupBy(key).agg(F.max("start_date_local").alias("start_date_local"),
+                                   F.max("end_date_local").alias("end_date_local"))
+
+    per_vendor = latest(accounts.join(latest(contracts, "id"), "id"), "vendor_code")
+    spans = semi_in(per_vendor, "vendor_code", real_vendors(catalog, params), "vendor_code")
     return spans.join(vendor_zones(catalog, params), "vendor_code", "left").select(
         "vendor_code", "zone_name", "start_date_local", "end_date_local")
 

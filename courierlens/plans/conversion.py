@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from courierlens.functions.clock import day_between, local_day_between, lookback, to_local
 from courierlens.functions.measures import ever
-from courierlens.functions.rules import any_like, fully_platform_funded
+from courierlens.functions.rules import any_like, flag, fully_platform_funded
 from courierlens.operators.joins import not_in, semi_in
 from courierlens.params import Params
 from courierlens.sources.catalog import Catalog
 
 
-def fee_incentivised_codes(catalog: Catalog, params: Params) -> DataFrame:
-    """Codes of orders whose delivery fee was cut: a platform-funded low fee, or free delivery.
+def order_fee_flags(catalog: Catalog, params: Params) -> DataFrame:
+    """Orders of the window, whether their fee was low at the platform's cost, or cut at all.
 
-    An order counts if any pairing of its voucher and discount rows does, and it needs
+    A fee is cut by a platform-funded low fee or by free delivery. An order counts if any pairing of its voucher and discount rows does, and it needs
     one of each. The test is an OR of a voucher part and a discount part, so each side
     is reduced to one row per order before the joins: pairings are never formed, and
     a key with many rows shrinks before the shuffle.
@@ -33,8 +33,15 @@ def fee_incentivised_codes(catalog: Catalog, params: Params) -> DataFrame:
     discounts = (d.filter((d.entity == params.entity) & lookback(d.created_date_utc, params))
                  .groupBy("uuid").agg(ever(any_like(d.discount_type, pattern)).alias("discount_free"),
                                       ever(fully_platform_funded(d.platform_share_pct)).alias("funded")))
-    cut = F.col("discount_free") | F.col("voucher_free") | (F.col("low_fee") & F.col("funded"))
-    return orders.join(vouchers, "uuid").join(discounts, "uuid").filter(cut).select("code")
+    low = F.col("low_fee") & F.col("funded")
+    cut = F.col("discount_free") | F.col("voucher_free") | low
+    return orders.join(vouchers, "uuid").join(discounts, "uuid").select(
+        "uuid", "code", flag(low).alias("is_low_fee"), flag(cut).alias("is_fee_incentivised"))
+
+
+def fee_incentivised_codes(catalog: Catalog, params: Params) -> DataFrame:
+    """Codes of the orders whose delivery fee was cut."""
+    return order_fee_flags(catalog, params).filter(F.col("is_fee_incentivised") == 1).select("code")
 
 
 def restaurant_sessions(catalog: Catalog, params: Params) -> DataFrame:

@@ -38,16 +38,18 @@ def vendor_hours(catalog: Catalog, params: Params) -> DataFrame:
 
 
 def daily_offline_hours(catalog: Catalog, params: Params) -> DataFrame:
-    """Rounded hours are summed per vendor and day first; zones multiply only the totals.
+    """Rounded hours are summed per vendor and day before anything repeats them.
 
-    The (vendor, zone) list is distinct, so repeating a total per zone gives the same
-    sums as repeating every slot, on far fewer rows.
+    A vendor listed several times under one name (other chains) counts its hours as
+    often; the distinct zones only repeat the totals.
     """
-    totals = vendor_hours(catalog, params).groupBy(
-        "vendor_code", F.col("name").alias("vendor_name"), F.col("report_date").alias("date_local")
-    ).agg(F.sum("total_unavailable_hour").alias("total_unavailable_hour"),
-          F.sum("total_open_hour").alias("total_open_hour"))
-    return (totals.join(vendor_zones(catalog, params), "vendor_code", "left")
-            .select("vendor_code", "vendor_name", "date_local", "zone_name",
-                    "total_unavailable_hour", "total_open_hour")
+    per_day = availability_slots(catalog, params).groupBy("vendor_code", "report_date").agg(
+        F.sum(hours_of(F.col("total_unavailable_seconds"))).alias("unavailable"),
+        F.sum(hours_of(F.col("total_open_seconds"))).alias("open"))
+    vendors = vendor_list(catalog, params).groupBy("vendor_code", "name").agg(F.count(F.lit(1)).alias("listed"))
+    return (vendors.join(per_day, "vendor_code", "left")
+            .join(vendor_zones(catalog, params), "vendor_code", "left")
+            .select("vendor_code", F.col("name").alias("vendor_name"), F.col("report_date").alias("date_local"),
+                    "zone_name", (F.col("unavailable") * F.col("listed")).alias("total_unavailable_hour"),
+                    (F.col("open") * F.col("listed")).alias("total_open_hour"))
             .orderBy("vendor_code", "vendor_name", "date_local", "zone_name"))

@@ -12,15 +12,9 @@ from courierlens.params import Params
 from courierlens.sources.catalog import Catalog
 
 
-def order_rows(catalog: Catalog, params: Params) -> DataFrame:
-    """Delivered orders with vendor type, voucher and discount, one row per combination.
-
-    An order needs a voucher row and a discount row to appear (the creation-date filters
-    reject the unmatched ones), so all joins are inner. Several rows on either side
-    multiply the order; sums see every copy, distinct counts do not.
-    """
+def eligible_orders(catalog: Catalog, params: Params) -> DataFrame:
+    """Valid delivered orders with their vendor type; an unknown vendor drops the order."""
     o, t = catalog["shop_orders"], catalog["vendor_types"]
-    v, d = catalog["order_vouchers"], catalog["order_discounts"]
     orders = o.filter(
         (o.entity == params.entity)
         & on_or_after(o.expected_delivery_at_local, params.economics_from)
@@ -33,96 +27,150 @@ def order_rows(catalog: Catalog, params: Params) -> DataFrame:
              "total_value_local", "delivery_fee_original_local", "delivery_fee_vat_rate")
     types = t.filter((t.entity == params.entity) & (t.business_type_apac != params.excluded_store_type)
                      ).select("vendor_code", "business_type_apac", "is_kitchens")
-    vouchers = v.filter((v.entity == params.entity) & (v.created_date_utc < F.lit(params.as_of))).select(
-        "uuid", v.type.alias("voucher_type"), v.platform_share_pct.alias("voucher_share"),
-        v.value_local.alias("voucher_amount"))
-    discounts = d.filter((d.entity == params.entity) & (d.created_date_utc < F.lit(params.as_of))).select(
-        "uuid", "discount_type", d.platform_share_pct.alias("discount_share"),
-        d.discount_amount_local.alias("discount_amount"))
-    rows = orders.join(types, "vendor_code").join(vouchers, "uuid").join(discounts, "uuid")
-
-    vendor_discount, platform_discount = subsidy_split(F.col("discount_amount"), F.col("discount_share"))
-    vendor_voucher, platform_voucher = subsidy_split(F.col("voucher_amount"), F.col("voucher_share"))
-    expected = F.col("expected_delivery_at_local")
-    fee = F.col("delivery_fee_original_local")
-    rows = rows.select(
+    expected, fee = F.col("expected_delivery_at_local"), F.col("delivery_fee_original_local")
+    kind, kitchens = F.col("business_type_apac"), F.col("is_kitchens")
+    return orders.join(types, "vendor_code").select(
         F.to_date(expected).alias("date_local"),
         F.hour(expected).alias("hour"),
         "uuid",
         "code",
-        F.when(F.col("is_kitchens"), "k&c").otherwise(F.col("business_type_apac")).alias("vendor_business_type"),
-        "business_type_apac",
-        "is_kitchens",
-        "voucher_type",
-        "discount_type",
+        F.when(kitchens, "k&c").otherwise(kind).alias("vendor_business_type"),
+        ((kind != params.quick_store_type) & ~kitchens).alias("partner"),
         "minimum_delivery_value_local",
         "total_value_local",
-        vendor_discount.alias("vendor_discount"),
-        platform_discount.alias("platform_discount"),
-        vendor_voucher.alias("vendor_voucher"),
-        platform_voucher.alias("platform_voucher"),
         fee.alias("delivery_fee_original_local"),
         (fee / (F.col("delivery_fee_vat_rate") / 100 + 1)).alias("fee_before_tax"),
-    )
+        flag(fee.isin(*params.low_fees)).alias("is_low_fee"))
+
 
-    partner = (F.col("business_type_apac") != params.quick_store_type) & ~F.col("is_kitchens")
+def _subsidies(rows: DataFrame, name: str, kind: str, amount: str, params: Params) -> DataFrame:
+    vendor, platform = subsidy_split(F.col(amount), F.col("platform_share_pct"))
+    split = rows.filter((rows.entity == params.entity) & (rows.created_date_utc < F.lit(params.as_of))).select(
+        "uuid", F.col(kind).alias("_kind"), vendor.alias(f"vendor_{name}"), platform.alias(f"platform_{name}"))
+    free = F.col("_kind") == params.free_delivery
+    paid = any_positive(F.col(f"vendor_{name}"), F.col(f"platform_{name}"))
+    return split.select(
+        "uuid", f"vendor_{name}", f"platform_{name}",
+        F.when(free, F.abs(F.col(f"platform_{name}"))).otherwise(F.lit(0.0)).alias(f"{name}_free"),
+        flag(paid).alias(f"{name}_paid"))
 
-    def waived(kind: str, platform_part: str):
-        free = partner & (F.col(kind) == params.free_delivery)
-        return F.when(free, F.abs(F.col(platform_part))).otherwise(F.lit(0.0))
 
-    incentive = any_positive(*[F.col(c) for c in (
-        "vendor_discount", "platform_discount", "vendor_voucher", "platform_voucher")])
-    low_fee = F.col("delivery_fee_original_local").isin(*params.low_fees)
-    return rows.withColumns({
-        "voucher_waiver": waived("voucher_type", "platform_voucher"),
-        "discount_waiver": waived("discount_type", "platform_discount"),
-        "is_incentivised": flag(incentive),
-        "is_low_fee": flag(low_fee),
-        "is_incentivised_or_low_fee": flag(incentive | low_fee),
-        "is_incentivised_and_low_fee": flag(incentive & low_fee),
-    }).drop("business_type_apac", "is_kitchens", "voucher_type", "discount_type")
+def voucher_rows(catalog: Catalog, params: Params) -> DataFrame:
+    """Vouchers split by payer: both parts, the free-delivery amount, whether anything was paid."""
+    return _subsidies(catalog["order_vouchers"], "voucher", "type", "value_local", params)
 
 
-def net_fee_rows(rows: DataFrame) -> DataFrame:
-    """Adds the delivery fee before tax and after platform-paid waivers, never negative."""
+def discount_rows(catalog: Catalog, params: Params) -> DataFrame:
+    """The same of discounts."""
+    return _subsidies(catalog["order_discounts"], "discount", "discount_type", "discount_amount_local", params)
+
+
+def with_net_fee(rows: DataFrame) -> DataFrame:
+    """Adds the waivers of partner vendors and the fee before tax less both, never negative."""
+    rows = rows.withColumns({
+        f"{name}_waiver": F.when(F.col("partner"), F.col(f"{name}_free")).otherwise(F.lit(0.0))
+        for name in ("voucher", "discount")
+    })
     net = F.col("fee_before_tax") - F.col("voucher_waiver") - F.col("discount_waiver")
     return rows.withColumn("net_delivery_fee", floor_zero(net, 2))
 
 
+def order_rows(catalog: Catalog, params: Params) -> DataFrame:
+    """One row per order, voucher row and discount row, with flags and net fee.
+
+    An order needs a voucher row and a discount row to appear (the creation-date filters
+    reject the unmatched ones), so all joins are inner. Kept for callers that want the
+    rows; the result below does not form the pairings.
+    """
+    rows = (eligible_orders(catalog, params).join(voucher_rows(catalog, params), "uuid")
+            .join(discount_rows(catalog, params), "uuid"))
+    paid = (F.col("voucher_paid") == 1) | (F.col("discount_paid") == 1)
+    low = F.col("is_low_fee") == 1
+    return with_net_fee(rows).withColumns({
+        "is_incentivised": flag(paid),
+        "is_incentivised_or_low_fee": flag(paid | low),
+        "is_incentivised_and_low_fee": flag(paid & low),
+    })
+
+
+def _per_order(rows: DataFrame, name: str) -> DataFrame:
+    """Subsidy rows of an order that waive the same amount, as one row with their count."""
+    return rows.groupBy("uuid", f"{name}_free").agg(
+        F.count(F.lit(1)).alias(f"{name}_rows"),
+        F.sum(f"{name}_paid").alias(f"{name}_paid"),
+        F.sum(f"vendor_{name}").alias(f"vendor_{name}"),
+        F.sum(f"platform_{name}").alias(f"platform_{name}"))
+
+
+def order_totals(catalog: Catalog, params: Params) -> DataFrame:
+    """Sums over all pairings of an order's voucher and discount rows, per code, date and hour.
+
+    Only the net fee depends on a pairing, and only through the two waived amounts. So
+    either side is reduced to one row per order and amount before the joins, and sums over
+    pairings follow from the counts: a side's sum times the rows of the other side, and
+    for "paid by either" all pairings less those paid by neither.
+    """
+    pairs = with_net_fee(
+        eligible_orders(catalog, params).filter(F.col("code").isNotNull())
+        .join(_per_order(voucher_rows(catalog, params), "voucher"), "uuid")
+        .join(_per_order(discount_rows(catalog, params), "discount"), "uuid"))
+    vouchers, discounts = F.col("voucher_rows"), F.col("discount_rows")
+    copies = vouchers * discounts
+    paid = copies - (vouchers - F.col("voucher_paid")) * (discounts - F.col("discount_paid"))
+    low = F.col("is_low_fee")
+    return pairs.groupBy("code", "date_local", "hour").agg(
+        F.sum(copies).alias("copies"),
+        F.sum(paid).alias("paid"),
+        F.sum(low * copies).alias("low"),
+        F.sum(F.when(low == 1, copies).otherwise(paid)).alias("paid_or_low"),
+        F.sum(low * paid).alias("paid_and_low"),
+        F.sum(F.col("total_value_local") * copies).alias("total_value"),
+        F.sum(F.col("minimum_delivery_value_local") * copies).alias("minimum_value"),
+        # Net fees have two decimals, so they are added exactly, whatever the row order.
+        F.sum(F.col("net_delivery_fee").cast("decimal(18,2)") * copies).alias("net_fee"),
+        F.sum(F.col("vendor_discount") * vouchers).alias("vendor_discount"),
+        F.sum(F.col("platform_discount") * vouchers).alias("platform_discount"),
+        F.sum(F.col("vendor_voucher") * discounts).alias("vendor_voucher"),
+        F.sum(F.col("platform_voucher") * discounts).alias("platform_voucher"))
+
+
 def daily_orders(catalog: Catalog, params: Params) -> DataFrame:
+    """Both sides of the profit join are reduced to one row per code and group first.
+
+    Each code then meets a zone, date and hour once, so counting rows counts distinct
+    orders; sums of one side are weighted with the row count of the other.
+    """
     p = catalog["order_profit"]
-    profit = p.filter(p.vendor_business_type == params.restaurant_type).select(
-        "order_code", "zone_name", "gpo_excl_wastage", "gmv_local")
-    rows = net_fee_rows(order_rows(catalog, params)).drop("vendor_business_type")
-    joined = rows.join(profit, F.col("code") == F.col("order_code"))
+    profit = p.filter(p.vendor_business_type == params.restaurant_type).groupBy("order_code", "zone_name").agg(
+        F.count(F.lit(1)).alias("profit_rows"), F.sum("gpo_excl_wastage").alias("gp"), F.sum("gmv_local").alias("gmv"))
+    joined = order_totals(catalog, params).join(profit, F.col("code") == F.col("order_code"))
 
-    def total(name: str):
-        return F.sum(name)
+    def of_orders(name: str):
+        return F.sum(F.col(name) * F.col("profit_rows"))
 
-    orders = F.count_distinct("order_code")
-    gmv = total("gmv_local")
+    def of_profit(name: str):
+        return F.sum(F.col(name) * F.col("copies"))
+
+    orders, gmv = F.count("order_code"), of_profit("gmv")
     return joined.groupBy("zone_name", "date_local", "hour").agg(
         orders.alias("number_of_orders"),
-        total("is_incentivised").alias("number_of_incentive_orders"),
-        total("is_low_fee").alias("number_of_low_fee_orders"),
-        total("is_incentivised_or_low_fee").alias("number_incentivised_or_low_fee"),
-        total("is_incentivised_and_low_fee").alias("number_incentivised_and_low_fee"),
-        F.round(total("gpo_excl_wastage"), 2).alias("total_gp"),
-        F.round(total("total_value_local"), 2).alias("total_order_value"),
+        of_orders("paid").alias("number_of_incentive_orders"),
+        of_orders("low").alias("number_of_low_fee_orders"),
+        of_orders("paid_or_low").alias("number_incentivised_or_low_fee"),
+        of_orders("paid_and_low").alias("number_incentivised_and_low_fee"),
+        F.round(of_profit("gp"), 2).alias("total_gp"),
+        F.round(of_orders("total_value"), 2).alias("total_order_value"),
         F.round(gmv, 2).alias("gmv_local"),
-        total("vendor_discount").alias("vendor_discount"),
-        total("platform_discount").alias("platform_discount"),
-        total("vendor_voucher").alias("vendor_voucher"),
-        total("platform_voucher").alias("platform_voucher"),
-        ratio(total("minimum_delivery_value_local"), orders, 2).alias("avg_min_order_value"),
-        # Net fees have two decimals, so they are added exactly, whatever the row order.
-        ratio(F.sum(F.col("net_delivery_fee").cast("decimal(18,2)")), orders, 2).cast("double")
-        .alias("avg_delivery_fee"),
-        ratio(total("vendor_discount"), gmv, 2).alias("vendor_discount_prop"),
-        ratio(total("platform_discount"), gmv, 2).alias("platform_discount_prop"),
-        ratio(total("platform_discount"), total("vendor_discount")).alias("platform_vendor_discount_ratio"),
-        ratio(total("vendor_voucher"), gmv, 2).alias("vendor_voucher_prop"),
-        ratio(total("platform_voucher"), gmv, 2).alias("platform_voucher_prop"),
-        ratio(total("platform_voucher"), total("vendor_voucher")).alias("platform_vendor_voucher_ratio"),
+        of_orders("vendor_discount").alias("vendor_discount"),
+        of_orders("platform_discount").alias("platform_discount"),
+        of_orders("vendor_voucher").alias("vendor_voucher"),
+        of_orders("platform_voucher").alias("platform_voucher"),
+        ratio(of_orders("minimum_value"), orders, 2).alias("avg_min_order_value"),
+        ratio(of_orders("net_fee"), orders, 2).cast("double").alias("avg_delivery_fee"),
+        ratio(of_orders("vendor_discount"), gmv, 2).alias("vendor_discount_prop"),
+        ratio(of_orders("platform_discount"), gmv, 2).alias("platform_discount_prop"),
+        ratio(of_orders("platform_discount"), of_orders("vendor_discount")).alias("platform_vendor_discount_ratio"),
+        ratio(of_orders("vendor_voucher"), gmv, 2).alias("vendor_voucher_prop"),
+        ratio(of_orders("platform_voucher"), gmv, 2).alias("platform_voucher_prop"),
+        ratio(of_orders("platform_voucher"), of_orders("vendor_voucher")).alias("platform_vendor_voucher_ratio"),
     ).orderBy("zone_name", "date_local", "hour")

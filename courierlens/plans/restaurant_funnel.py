@@ -22,7 +22,6 @@ from courierlens.sources.catalog import Catalog
 
 KEYS = ["date_local", "hour_", "platform", "zone_name", "traffic_source", "channel_grouping"]
 SESSION = "ga_session_id"
-STEPS = ["list", "details", "checkout", "transaction"]
 STEP_PAIRS = {
     "mcvr2_denominator": ["list"],
     "mcvr2_numerator": ["list", "details"],
@@ -97,6 +96,7 @@ def ordered_events(catalog: Catalog, params: Params) -> DataFrame:
 def step_hits(params: Params) -> dict[str, Column]:
     action = F.col("event_action")
     return {
+        "home": action.isin(*params.home_actions),
         "list": action.isin(*params.list_actions),
         "details": action.isin(*params.details_actions),
         "checkout": action.isin(*params.checkout_actions),

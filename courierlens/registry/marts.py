@@ -48,7 +48,7 @@ def _contracts(build, select, doubles=()):
 
 
 def order_rows_net_fee(c: Catalog, p: Params) -> DataFrame:
-    return order_economics.net_fee_rows(order_economics.order_rows(c, p)).select(*ORDER_ROW)
+    return order_economics.order_rows(c, p).select(*ORDER_ROW)
 
 
 def vendor_day_totals(c: Catalog, p: Params) -> DataFrame:
@@ -137,9 +137,13 @@ def surge_session_counts(c: Catalog, p: Params) -> DataFrame:
     return conversion.session_counts(surge_conversion.surge_sessions(c, p), "surge_event")
 
 
+def order_fee_flags(c: Catalog, p: Params) -> DataFrame:
+    return conversion.order_fee_flags(c, p).select("uuid", "code", "is_low_fee", "is_fee_incentivised")
+
+
 def session_steps(c: Catalog, p: Params) -> DataFrame:
     flags = restaurant_funnel.flagged_sessions(restaurant_funnel.ordered_events(c, p), p)
-    return flags.select(*restaurant_funnel.KEYS, "ga_session_id", "list", "details", "checkout", "transaction")
+    return flags.select(*restaurant_funnel.KEYS, "ga_session_id", "home", "list", "details", "checkout", "transaction")
 
 
 def platform_steps(c: Catalog, p: Params) -> DataFrame:
@@ -194,6 +198,10 @@ INTERMEDIATE: dict[str, Entry] = {
         shrink_coverage, "SELECT lg_zone_uuid, shrink_event, CAST(minute AS DATE) AS day, count(*) AS minutes, "
         "CAST(sum(n) AS BIGINT) AS event_minutes, max(n) AS most FROM (SELECT lg_zone_uuid, shrink_event, minute, "
         "count(*) AS n FROM event_minutes WHERE minute IS NOT NULL GROUP BY ALL) GROUP BY ALL"),
+    "order_fee_flags": _traffic(
+        order_fee_flags, "SELECT uuid, code, CAST(max(CAST(low_and_funded AS INTEGER)) AS INTEGER) AS is_low_fee, "
+        "CAST(max(CAST(low_and_funded OR discount_free OR voucher_free AS INTEGER)) AS INTEGER) "
+        "AS is_fee_incentivised FROM cut_pairs GROUP BY uuid, code"),
     "fee_incentivised_codes": _traffic(
         lambda c, p: conversion.fee_incentivised_codes(c, p).distinct(), "SELECT DISTINCT code FROM cut_codes"),
     "shrink_labelled_sessions": _traffic(
@@ -239,6 +247,7 @@ INTERMEDIATE: dict[str, Entry] = {
     "valid_orders": _traffic(restaurant_funnel.valid_orders, "good_orders"),
     "session_step_flags": _traffic(
         session_steps, f"""SELECT {GROUP_KEYS}, ga_session_id,
+       coalesce(bool_or(event_action = 'home_screen.loaded'), false) AS home,
        coalesce(bool_or(event_action IN ('shop_list.loaded', 'shop_list.updated')), false) AS list,
        coalesce(bool_or(event_action = 'shop_details.loaded'), false) AS details,
        coalesce(bool_or(event_action = 'checkout.loaded'), false) AS checkout,

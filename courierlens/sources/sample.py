@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from courierlens.params import Params
 from courierlens.sources.catalog import Catalog
@@ -385,8 +386,15 @@ TABLES: dict[str, dict[str, Callable[[Dialect], str]]] = {
 }
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def given_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; its schema is looked up in the file once, not on every read."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def sample_catalog(spark: SparkSession, sf_dir: str, edition: str) -> Catalog:

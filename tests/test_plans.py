@@ -68,6 +68,18 @@ def test_member_list_is_shuffled_once(spark):
     assert "ReusedExchange" in physical(df)
 
 
+def test_observations_are_shuffled_once(spark):
+    df = entry_points.queries()["delay_validity"](spark, SF_DIR)
+    df.collect()
+    final = physical(df).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("FileScan parquet") == 2  # events, zones
+
+
+def test_active_count_reads_spans_once(spark):
+    df = entry_points.queries()["active_count"](spark, SF_DIR)
+    assert physical(df).count("FileScan parquet") == 2  # orders, customer
+
+
 def test_events_are_read_twice_at_most(spark):
     df = plans.daily_restaurant_conversion_funnel(sample_catalog(spark, SF_DIR, "traffic"), TRAFFIC)
     # browsing rows, transaction rows, and the orders derived from the same file

@@ -96,6 +96,32 @@ def test_net_fee_is_never_negative(spark):
     assert result(df, "avg_delivery_fee") == [(0.75,)]
 
 
+def test_an_order_with_thousands_of_rows_on_both_sides(spark):
+    # 9 million pairings, none of which is formed: sums follow from counts.
+    n = 3000
+    df = economics(
+        spark, [order("a", delivery_fee_original_local=0.99)],
+        [voucher("a", 50, 2.0 if i % 3 else 0.0, type="free_delivery" if i % 2 else None) for i in range(n)],
+        [discount("a", 100, 1.0 if i % 4 == 0 else 0.0) for i in range(n)], [profit("a", gp=1.0), profit("a", gp=2.0)])
+    rows = n * n * 2
+    unpaid = (n // 3) * (n * 3 // 4) * 2
+    # odd vouchers of a non-zero amount waive 1.00, more than the fee; all others leave 0.99
+    free = n // 3 * n * 2
+    assert result(df, "number_of_orders", "number_of_incentive_orders", "number_of_low_fee_orders",
+                  "number_incentivised_or_low_fee", "number_incentivised_and_low_fee", "total_gp", "gmv_local",
+                  "platform_voucher", "vendor_discount", "platform_discount", "avg_delivery_fee") == [
+        (1, rows - unpaid, rows, rows, rows - unpaid, 3.0 * n * n, 20.0 * rows, 2.0 * (n * 2 // 3) / 2 * n * 2,
+         0.0, n / 4 * n * 2, round((rows - free) * 0.99, 2))]
+
+
+def test_vendor_and_profit_repeats(spark):
+    # Two profit rows in two zones, and one order row listed twice under a code
+    df = economics(spark, [order("a"), {**order("a"), "uuid": "other"}], [voucher("a", 50, 2.0), {**voucher("a"), "uuid": "other"}],
+                   [discount("a"), {**discount("a"), "uuid": "other"}], [profit("a"), profit("a", zone="south", gp=4.0)])
+    assert result(df, "zone_name", "number_of_orders", "number_of_incentive_orders", "total_gp", "total_order_value",
+                  "platform_voucher") == [("north", 1, 1, 2.0, 40.0, 1.0), ("south", 1, 1, 8.0, 40.0, 1.0)]
+
+
 @pytest.mark.parametrize("kind, kitchens, expected", [
     ("restaurants", False, 1.0), ("quick_store", False, 3.0), ("restaurants", True, 3.0), ("restaurants", None, 3.0)])
 def test_waiver_only_for_partners(spark, kind, kitchens, expected):
