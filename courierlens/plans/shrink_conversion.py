@@ -50,9 +50,10 @@ def shrink_minutes(catalog: Catalog, params: Params) -> DataFrame:
                         "minute", keep_empty=True).drop("first_minute", "last_minute", "shrink_event")
 
 
-def shrink_sessions(catalog: Catalog, params: Params) -> DataFrame:
+def shrink_sessions(catalog: Catalog, params: Params, spans: DataFrame | None = None) -> DataFrame:
     """Sessions labelled by the events of their zone id at their start minute."""
-    segments = coverage_segments(shrink_spans(catalog, params), ["lg_zone_uuid", "shrink_event"],
+    spans = shrink_spans(catalog, params) if spans is None else spans
+    segments = coverage_segments(spans, ["lg_zone_uuid", "shrink_event"],
                                  "first_minute", "last_minute")
     labelled = attribute_minute(restaurant_sessions(catalog, params), segments,
                                 {"lg_zone_uuid": "lg_zone_uuid"}, F.col("local_ts"),
@@ -60,14 +61,15 @@ def shrink_sessions(catalog: Catalog, params: Params) -> DataFrame:
     return labelled.withColumn("shrink_event", F.coalesce("shrink_event", F.lit(params.no_shrink)))
 
 
-def shrink_orders(catalog: Catalog, params: Params) -> DataFrame:
+def shrink_orders(catalog: Catalog, params: Params, spans: DataFrame | None = None) -> DataFrame:
     """Orders and profit labelled by the events of their zone name at their delivery minute.
 
     ``covering`` is the number of events of one label in force: an order is summed once
     per event, and counted once.
     """
-    spans = shrink_spans(catalog, params).filter(F.col("zone_name").isNotNull())
-    segments = coverage_segments(spans.withColumnRenamed("zone_name", "event_zone"),
+    spans = shrink_spans(catalog, params) if spans is None else spans
+    named = spans.filter(F.col("zone_name").isNotNull())
+    segments = coverage_segments(named.withColumnRenamed("zone_name", "event_zone"),
                                  ["event_zone", "shrink_event"], "first_minute", "last_minute")
     labelled = attribute_minute(full_fee_profit(catalog, params).drop("surge_event"), segments,
                                 {"zone_name": "event_zone"}, F.col("expected_delivery_at_local"),
@@ -83,9 +85,11 @@ def shrink_orders(catalog: Catalog, params: Params) -> DataFrame:
 
 def daily_conversion_by_shrink(catalog: Catalog, params: Params) -> DataFrame:
     keys = ["date_", "hour_", "lg_zone_name", "shrink_event"]
-    orders = shrink_orders(catalog, params).withColumnsRenamed(
+    spans = shrink_spans(catalog, params)
+    orders = shrink_orders(catalog, params, spans).withColumnsRenamed(
         {"date_local": "date_", "zone_name": "lg_zone_name"})
-    joined = stats_join(session_counts(shrink_sessions(catalog, params), "shrink_event"), orders, keys)
+    sessions = session_counts(shrink_sessions(catalog, params, spans), "shrink_event")
+    joined = stats_join(sessions, orders, keys)
     closed = F.col("shrink_event") == params.closed
     return joined.select(
         *keys, "total_transaction", "total_session",
