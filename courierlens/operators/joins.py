@@ -13,24 +13,29 @@ from pyspark.sql import functions as F
 
 
 def semi_in(df: DataFrame, column: str, sub: DataFrame, sub_column: str) -> DataFrame:
-    """Rows whose value is IN the other column.
-
-    Members are made distinct first: repeats vanish before the shuffle, and the join
-    uses the partitioning the distinct leaves behind.
-    """
-    members = sub.select(F.col(sub_column).alias("_member")).distinct()
-    return df.join(members, F.col(column) == F.col("_member"), "left_semi")
+    """Rows whose value is IN the other column."""
+    members = _members(sub, sub_column)
+    return df.filter(F.col(column).isNotNull()).join(members, F.col(column).eqNullSafe(F.col("_member")), "left_semi")
 
 
 def exists_flag(df: DataFrame, column: str, sub: DataFrame, sub_column: str, name: str) -> DataFrame:
     """Adds whether the value is IN the other column; a NULL value is not."""
-    members = (sub.filter(F.col(sub_column).isNotNull())
-               .select(F.col(sub_column).alias("_member")).distinct()
-               .withColumn("_hit", F.lit(True)))
-    joined = df.join(members, F.col(column) == F.col("_member"), "left")
+    members = _members(sub, sub_column).withColumn("_hit", F.lit(True))
+    joined = df.join(members, F.col(column).eqNullSafe(F.col("_member")), "left")
     return joined.select(*df.columns, F.coalesce("_hit", F.lit(False)).alias(name))
 
 
+def _members(sub: DataFrame, column: str) -> DataFrame:
+    """Distinct non-NULL values to test membership against.
+
+    Repeats vanish before the shuffle, so a value that fills the list is one row. The
+    joins compare null-safe although no NULL is left: that gives them an exchange of
+    their own behind the distinct, and only a join that sits right on its exchanges lets
+    the adaptive planner split a value that fills the other side.
+    """
+    return sub.select(F.col(column).alias("_member")).filter(F.col("_member").isNotNull()).distinct()
+
+
 def not_in(df: DataFrame, column: str, sub: DataFrame, sub_column: str) -> DataFrame:
     """SQL ``NOT IN``, NULLs included, for a list too large to broadcast.
 

@@ -20,7 +20,7 @@ def contract_spans(catalog: Catalog, params: Params) -> DataFrame:
     are rejected by the tenant filters on those tables, so both joins are inner.
     """
     a, c = catalog["crm_accounts"], catalog["crm_contracts"]
-    accounts = a.filter(a.entity == params.entity).select("id", "vendor_code")
+    accounts = a.filter(a.entity == params.entity).select("id", "vendor_code").distinct()
     contracts = c.filter(c.entity == params.entity).select(
         F.col("sf_account_id").alias("id"), "start_date_local",
         F.coalesce("end_date_local", F.lit(params.open_contract_end)).alias("end_date_local"))

@@ -19,7 +19,7 @@ def order_fee_flags(catalog: Catalog, params: Params) -> DataFrame:
     A fee is cut by a platform-funded low fee or by free delivery. An order counts if any pairing of its voucher and discount rows does, and it needs
     one of each. The test is an OR of a voucher part and a discount part, so each side
     is reduced to one row per order before the joins: pairings are never formed, and
-    a key with many rows shrinks before the shuffle.
+    a key with many rows, copies of an order included, shrinks before the shuffle.
     """
     o, v, d = catalog["shop_orders"], catalog["order_vouchers"], catalog["order_discounts"]
     pattern = [f"%{params.free_delivery}%"]
@@ -27,7 +27,7 @@ def order_fee_flags(catalog: Catalog, params: Params) -> DataFrame:
         (o.entity == params.entity)
         & day_between(o.expected_delivery_at_local, params.lookback_start, params.last_day)
         & lookback(o.created_date_utc, params)
-    ).select("uuid", "code", o.delivery_fee_local.isin(*params.low_fees).alias("low_fee"))
+    ).select("uuid", "code", o.delivery_fee_local.isin(*params.low_fees).alias("low_fee")).distinct()
     vouchers = (v.filter((v.entity == params.entity) & lookback(v.created_date_utc, params))
                 .groupBy("uuid").agg(ever(any_like(v.type, pattern)).alias("voucher_free")))
     discounts = (d.filter((d.entity == params.entity) & lookback(d.created_date_utc, params))

@@ -5,7 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, DataType, FloatType, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    FloatType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from courierlens.sources.schemas import SCHEMAS
 
@@ -31,11 +40,30 @@ def _problems(name: str, want: DataType, have: DataType) -> list[str]:
     return []
 
 
+def _wall_clock(kind: DataType) -> DataType:
+    """The type with every instant replaced by a wall-clock timestamp."""
+    if isinstance(kind, TimestampType):
+        return TimestampNTZType()
+    if isinstance(kind, ArrayType):
+        return ArrayType(_wall_clock(kind.elementType), kind.containsNull)
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _wall_clock(f.dataType), f.nullable) for f in kind.fields])
+    return kind
+
+
+def _normalised(frame: DataFrame) -> DataFrame:
+    changed = {f.name: _wall_clock(f.dataType) for f in frame.schema.fields
+               if _wall_clock(f.dataType) != f.dataType}
+    return frame.withColumns({name: F.col(name).cast(kind) for name, kind in changed.items()}) if changed else frame
+
+
 class Catalog:
     """Lazy, checked lookup: ``catalog["sessions"]``.
 
     A table is resolved on first use, so a plan only needs the tables it reads.
-    Tables may hold more columns than the schema names; Catalyst prunes them.
+    Tables may hold more columns than the schema names; Catalyst prunes them. TIMESTAMP
+    columns are read as wall clock in the session zone (UTC, see ``session.py``); tables
+    that store TIMESTAMP_NTZ need no cast and so keep time filters in the scan.
     """
 
     def __init__(self, resolve: Callable[[str], DataFrame]):
@@ -63,5 +91,5 @@ class Catalog:
             problems = _problems(name, StructType.fromDDL(SCHEMAS[name]), frame.schema)
             if problems:
                 raise ValueError("input table does not fit: " + "; ".join(problems))
-            self._frames[name] = frame
+            self._frames[name] = _normalised(frame)
         return self._frames[name]

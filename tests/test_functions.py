@@ -102,6 +102,19 @@ def test_catalog_rejects_float32_fees(spark):
         Catalog.from_frames({"rain": rain})["rain"]
 
 
+def test_catalog_reads_instants_as_wall_clock(spark):
+    orders = spark.sql("""
+        SELECT 'home' AS entity, 'v' AS vendor_code, 'o' AS order_code, DATE '2024-01-10' AS created_date_local,
+               DATE '2024-01-10' AS created_date_utc, named_struct(
+                 'promised_delivery_at_local', TIMESTAMP '2024-01-10 12:00', 'rider_late_in_seconds', 1L,
+                 'at_vendor_time_in_seconds', 1L, 'at_vendor_time_cleaned_in_seconds', 1L,
+                 'original_scheduled_pickup_at_local', TIMESTAMP '2024-01-10 12:00') AS rider,
+               named_struct('picked_up_at_local', TIMESTAMP '2024-01-10 12:01') AS vendor""")
+    read = Catalog.from_frames({"logistics_orders": orders})["logistics_orders"]
+    assert "timestamp," not in read.schema.simpleString().replace("timestamp_ntz", "")
+    assert read.select("rider.promised_delivery_at_local").first()[0] == datetime(2024, 1, 10, 12)
+
+
 def test_catalog_reads_parquet_and_tables(spark, tmp_path):
     rain = spark.sql("SELECT 'a' AS zone, TIMESTAMP_NTZ '2024-01-01 00:00' AS ts, CAST(1 AS DOUBLE) AS rainfall_mm, 1 AS more")
     rain.write.parquet(str(tmp_path / "rain"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from courierlens import plans
+from courierlens.operators.joins import semi_in
 from courierlens.plans.restaurant_funnel import transaction_events
 from courierlens.registry.marts import RESULTS
 from courierlens.sources.sample import TRAFFIC, sample_catalog
@@ -40,6 +42,27 @@ def test_joins_sort_merge_beyond_the_broadcast_limit(spark, name):
     assert "BroadcastExchange" not in plan
 
 
+def test_a_hot_key_is_split_beyond_the_broadcast_limit(spark):
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "8",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {name: spark.conf.get(name, None) for name in small}
+    orders = spark.range(0, 300000, 1, 4).select(
+        F.col("id").alias("o"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("v"), F.col("id") % 5000)).alias("k"))
+    listed = spark.range(5000).select(F.concat(F.lit("v"), F.col("id")).alias("m")).union(spark.sql("SELECT 'hot'"))
+    try:
+        for name, value in small.items():
+            spark.conf.set(name, value)
+        counted = semi_in(orders, "k", listed, "m").groupBy("k").agg(F.count("o").alias("n"))
+        assert counted.agg(F.sum("n"), F.max("n")).first() == (300000, 100000)
+        counted.collect()
+        assert "skew=true" in physical(counted)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     columns = {"sessions": [{"ga_session_id": "s"}], "session_verticals": [{"ga_session_id": "s"}]}
     frames = catalog(spark, **columns)
