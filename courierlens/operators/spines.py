@@ -36,28 +36,28 @@ def densify(df: DataFrame, key: str, ts: str) -> DataFrame:
 def fill_forward(df: DataFrame, key: str, ts: str, value: str, name: str | None = None) -> DataFrame:
     """Last non-NULL ``value`` of a key at or before each row.
 
-    Rows that share a timestamp share the largest of their values. The window is cut
-    per key and day, so a hot key is spread over its days; what a day inherits comes
-    from a per-day summary, which has one row per key and day.
+    Rows that share a timestamp share the largest of their values. The window is cut per
+    key and day, so a hot key is spread over its days. What a day inherits comes from a
+    summary with one row per key and day and enters the window as a row ahead of the day.
     """
     name = name or value
     day = F.to_date(ts)
-    rows = df.withColumn("_day", day)
-    at_ts = W.partitionBy(key, "_day", ts)
-    in_day = W.partitionBy(key, "_day").orderBy(ts)
-    filled = (rows.withColumn("_peer", F.max(value).over(at_ts))
-              .withColumn("_own", F.last("_peer", ignorenulls=True).over(in_day)))
+    rows = df.select("*", day.alias("_day"), F.col(value).alias("_value"), F.lit(False).alias("_inherited"))
 
     latest = F.max(F.when(F.col(value).isNotNull(), F.struct(ts, value)))
-    before = W.partitionBy("_k").orderBy("_d").rowsBetween(W.unboundedPreceding, -1)
-    inherited = (df.groupBy(F.col(key).alias("_k"), day.alias("_d")).agg(latest.alias("_latest"))
-                 .withColumn("_carry", F.last(F.col(f"_latest.{value}"), ignorenulls=True).over(before))
-                 .filter(F.col("_carry").isNotNull())
-                 .select("_k", "_d", "_carry"))
-    same_day = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_day") == F.col("_d"))
-    kept = [c for c in df.columns if c != name]
-    return (filled.join(inherited, same_day, "left")
-            .select(*kept, F.coalesce("_own", "_carry").alias(name)))
+    before = W.partitionBy(key).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    inherited = (df.groupBy(key, day.alias("_day")).agg(latest.alias("_latest"))
+                 .select(key, "_day", F.last(F.col(f"_latest.{value}"), ignorenulls=True).over(before).alias("_value"),
+                         F.lit(True).alias("_inherited"))
+                 .filter(F.col("_value").isNotNull()))
+
+    in_day = W.partitionBy(key, "_day").orderBy(F.col(ts).asc_nulls_first())
+    peers = in_day.rangeBetween(W.currentRow, W.currentRow)
+    filled = (rows.unionByName(inherited, allowMissingColumns=True)
+              .withColumn("_peer", F.max("_value").over(peers))
+              .withColumn("_filled", F.last("_peer", ignorenulls=True).over(in_day))
+              .filter(~F.col("_inherited")))
+    return filled.select(*[c for c in df.columns if c != name], F.col("_filled").alias(name))
 
 
 def latest_before(df: DataFrame, keys: Sequence[str], ts: str, value: str, first: Column,

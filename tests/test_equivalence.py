@@ -77,6 +77,14 @@ def test_fill_forward_equals_one_window_per_key(spark, seed):
     assert result(fill_forward(dense, "zone", "minute", "delay"), "zone", "minute", "delay") == result(literal)
 
 
+def test_fill_forward_with_peers_and_an_unknown_key(spark):
+    rows = [("a", START, 1.0), ("a", START, 3.0), ("a", START, None), ("a", START + timedelta(days=3), None),
+            (None, START, None), (None, START + timedelta(minutes=1), 5.0), (None, START + timedelta(days=1), None)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    assert result(fill_forward(df, "k", "ts", "v"), "k", "v") == [
+        (None, None), (None, 5.0), (None, 5.0), ("a", 3.0), ("a", 3.0), ("a", 3.0), ("a", 3.0)]
+
+
 @pytest.mark.parametrize("seed", SEEDS)
 def test_validity_equals_filled_spine(spark, seed):
     df = observations(spark, seed)
