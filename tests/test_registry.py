@@ -19,7 +19,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(entry_points.REGISTERED))
 def test_same_rows(spark, duck, name):
     assert differences(QUERIES[name](spark, SF_DIR), duck, SQL[name]) == []
 
