@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from courierlens.llm import bpe, sharding, token_files
+from courierlens.llm import bpe, language, multi_index, packing, sharding, token_files, warc
 from courierlens.llm.shared import prepare, table
 
 #: Id that ends each document in the token files.
@@ -15,6 +16,16 @@ END_ID = 2
 #: Tokens of a sequence in the token files.
 SEQUENCE_LENGTH = 2048
 SHARDS = 8
+#: Sequence lengths, in words, that documents are packed into, and what a sequence costs.
+SEQUENCE_COSTS = {n: packing.attention_cost(n) for n in (512, 1024, 2048, 4096)}
+#: One vector in so many is a query.
+QUERY_STEP = 100
+
+
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours of every hundredth vector among all."""
+    embeddings = table(prepare(spark), sf_dir, "embeddings")
+    return multi_index.nearest(embeddings, "vec_id", "embedding", F.col("vec_id") % QUERY_STEP == 0)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,18 +40,51 @@ def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(documents, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in sequences of four permitted lengths, by their number of words."""
+    documents = table(prepare(spark), sf_dir, "documents")
+    return packing.pack_documents(documents, "doc_id", packing.word_count(F.col("text")), SEQUENCE_COSTS)
+
+
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt to eight shards, and to nine."""
     documents = table(prepare(spark), sf_dir, "documents")
     return sharding.assign_shards(documents, "doc_id", "text", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records in seekable Zstandard bundles, read back."""
+    return warc.warc_archive(table(prepare(spark), sf_dir, "pages"), "page_id", "url", "html", least_bytes=0)
+
+
+def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language.identify(table(prepare(spark), sf_dir, "documents"), "doc_id", "text", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_multi_index": op2_multi_index,
     "op3_token_files": op3_token_files,
     "op4_prefix_bpe": op4_prefix_bpe,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_rendezvous_shards": op6_rendezvous_shards,
+    "op7_warc_bundles": op7_warc_bundles,
+    "op10_language_filters": op10_language_filters,
 }
 
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_DIGIT = f"substr('{_BASE32}', ((('0x' || substr(sha, part * 5 + 1, 5))::BIGINT >> (15 - 5 * place)) & 31)::INT + 1, 1)"
+#: Five hexadecimal digits of the SHA-1 are four digits to the base 32.
+_DIGEST = "array_to_string(list_transform(range(32), lambda i: " + _DIGIT.replace("part", "(i // 4)").replace("place", "(i % 4)") + "), '')"
+
 #: Queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_warc_bundles": f"""
+        WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+             named AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM hashed)
+        SELECT page_id, payload_bytes, {_DIGEST} AS payload_digest,
+               CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+        FROM named""",
+}
