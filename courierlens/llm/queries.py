@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courierlens.llm import bpe, language, multi_index, packing, sharding, token_files, warc
+from courierlens.llm import bpe, language, lattice, multi_index, packing, sharding, token_files, warc
 from courierlens.llm.shared import prepare, table
 
 #: Id that ends each document in the token files.
@@ -57,6 +57,11 @@ def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_archive(table(prepare(spark), sf_dir, "pages"), "page_id", "url", "html", least_bytes=0)
 
 
+def op9_lattice_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between vectors with a cosine of 0.95 or more, and their components."""
+    return lattice.similar_vectors(table(prepare(spark), sf_dir, "embeddings"), "vec_id", "embedding", threshold=0.95)
+
+
 def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return language.identify(table(prepare(spark), sf_dir, "documents"), "doc_id", "text", "lang")
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op7_warc_bundles": op7_warc_bundles,
+    "op9_lattice_vectors": op9_lattice_vectors,
     "op10_language_filters": op10_language_filters,
 }
 
