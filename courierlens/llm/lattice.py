@@ -9,7 +9,6 @@ compared exactly.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courierlens.llm.blocks import BLOCK_ROWS, blocks, compared
 from courierlens.llm.components import components
 from courierlens.llm.shared import saved, valid_vector
 
@@ -25,10 +25,6 @@ from courierlens.llm.shared import saved, valid_vector
 TABLES, BLOCKS, CELLS = 10, 2, 6
 #: Projected length of a unit step; the lattice's points lie 1.41 apart.
 SCALE = 0.65
-#: Vectors of a cell that are compared in one task at a time.
-BLOCK_ROWS = 2048
-#: Rows that a task gets together; several small cells, or two slices of a large one.
-TASK_ROWS = 8192
 
 
 def nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -57,26 +53,26 @@ def shortest_e8() -> np.ndarray:
     return np.vstack([halves, pairs])
 
 
-def cells(units: np.ndarray, tables: int, blocks: int, count: int, scale: float, seed: int = 11) -> np.ndarray:
+def cells(units: np.ndarray, tables: int, lattice_blocks: int, count: int, scale: float, seed: int = 11) -> np.ndarray:
     """Per row ``tables * count`` cell numbers, those of a table beside each other, its home first.
 
     Probes change one block: of all blocks' neighbouring points those closest to the vector.
     """
     steps, dim = shortest_e8(), units.shape[1]
     rng = np.random.default_rng([seed, dim])
-    projections = rng.standard_normal((tables, dim, 8 * blocks)) * scale
-    weights = rng.integers(1, 2**62, (tables, blocks, 8), dtype=np.uint64) | np.uint64(1)
+    projections = rng.standard_normal((tables, dim, 8 * lattice_blocks)) * scale
+    weights = rng.integers(1, 2**62, (tables, lattice_blocks, 8), dtype=np.uint64) | np.uint64(1)
     found = np.empty((len(units), tables, count), np.uint64)
     for t in range(tables):
-        x = (units @ projections[t]).reshape(-1, blocks, 8)
-        home = np.stack([nearest_e8(x[:, b]) for b in range(blocks)], 1)
-        number = np.stack([((home[:, b] * 2).astype(np.int64).view(np.uint64) * weights[t, b]).sum(1, dtype=np.uint64) for b in range(blocks)], 1)
+        x = (units @ projections[t]).reshape(-1, lattice_blocks, 8)
+        home = np.stack([nearest_e8(x[:, b]) for b in range(lattice_blocks)], 1)
+        number = np.stack([((home[:, b] * 2).astype(np.int64).view(np.uint64) * weights[t, b]).sum(1, dtype=np.uint64) for b in range(lattice_blocks)], 1)
         found[:, t, 0] = number.sum(1, dtype=np.uint64)
         if count > 1:
             # Distance to home + step is smaller the larger the step's part along the remainder is.
-            gain = np.concatenate([(x[:, b] - home[:, b]) @ steps.T for b in range(blocks)], 1)
+            gain = np.concatenate([(x[:, b] - home[:, b]) @ steps.T for b in range(lattice_blocks)], 1)
             best = np.argpartition(-gain, count - 1, axis=1)[:, :count - 1]
-            moves = np.concatenate([((steps * 2).astype(np.int64).view(np.uint64) * weights[t, b]).sum(1, dtype=np.uint64) for b in range(blocks)])
+            moves = np.concatenate([((steps * 2).astype(np.int64).view(np.uint64) * weights[t, b]).sum(1, dtype=np.uint64) for b in range(lattice_blocks)])
             found[:, t, 1:] = found[:, t, :1] + moves[best]
     found = found.reshape(len(units), -1) + np.repeat(np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), count)
     found ^= found >> np.uint64(29)
@@ -113,7 +109,7 @@ def _own_pairs(a: np.ndarray, b: np.ndarray, cells_of: np.ndarray, table: int, c
     return a, b
 
 
-def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95, tables: int = TABLES, blocks: int = BLOCKS,
+def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95, tables: int = TABLES, lattice_blocks: int = BLOCKS,
                     count: int = CELLS, scale: float = SCALE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of ``df``: ``key``, n_links, component_id, kept.
 
@@ -142,54 +138,37 @@ def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.9
                 part = batch.filter(pc.equal(pc.list_value_length(vectors), dim))
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 x = x / np.abs(x).max(1)[:, None]
-                found = cells(x / np.linalg.norm(x, axis=1)[:, None], tables, blocks, count, scale)
+                found = cells(x / np.linalg.norm(x, axis=1)[:, None], tables, lattice_blocks, count, scale)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.full(len(x), dim, np.int32)), lists], ["node", "x", "n", "dim", "cells"])
 
     placed = saved(nodes.select("node", "x", "n").mapInArrow(hashed, "node long, x array<double>, n long, dim int, cells array<long>"), "lattice-cells")
     each = placed.select("node", "dim", F.posexplode("cells").alias("place", "cell"))
-    slices = F.ceil(F.col("held") / block_rows).cast("int").alias("slices")
-    shared = saved(each.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("*", slices), "shared-cells")
-    total = shared.agg(F.sum(F.col("held") * F.col("slices")).alias("rows")).first()["rows"] or 0
-    members = each.join(shared, ["dim", "cell"]).withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
-    # Every slice meets every slice of its cell, itself included, once.
-    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")
-    block = ["dim", "cell", "low", "high"]
-    blocks_of = members.select("node", "dim", "cell", F.floor(F.col("place") / count).alias("table"), "slice", other).select(
-        "node", "dim", "cell", "table", "slice", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"))
-    work = F.pmod(F.xxhash64(*block), F.lit(max(1, math.ceil(total / TASK_ROWS)))).alias("work")
-    with_vectors = blocks_of.join(placed.select("node", "x", "n", "cells"), "node").select(work, *block, "table", "slice", "node", "n", "x", "cells")
-
-    def compare(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in (*block, "node")]).combine_chunks()
-        names = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in block], 1)
-        starts = np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(1)))
-        node, n, part, of_table = (rows.column(c).to_numpy() for c in ("node", "n", "slice", "table"))
-        vectors, lists = (rows.column(c).combine_chunks() for c in ("x", "cells"))
-        out: list[np.ndarray] = []
-        for start, end in zip(starts, np.append(starts[1:], len(names))):
-            dim, cell, low, high = names[start]
-            x = vectors.slice(start, end - start).flatten().to_numpy().reshape(-1, dim)
-            x = x / np.abs(x).max(1)[:, None]
-            units = x / np.linalg.norm(x, axis=1)[:, None]
-            a, b = np.nonzero(np.triu(units @ units.T >= threshold, 1))
-            if low != high:
-                across = part[start + a] != part[start + b]
-                a, b = a[across], b[across]
-            if not len(a):
-                continue
-            own = lists.slice(start, end - start).flatten().to_numpy().reshape(end - start, -1, count)
-            root = _roots(end - start, a, b)
-            a, b = _own_pairs(a, b, own, int(of_table[start]), cell)
-            links = np.zeros(end - start, np.int64)
-            np.add.at(links, a, n[start + b])
-            np.add.at(links, b, n[start + a])
-            some = np.flatnonzero((links > 0) | (root != np.arange(end - start)))
-            out.append(np.stack([node[start + some], links[some], node[start + root[some]]], 1))
-        found = np.concatenate(out) if out else np.empty((0, 3), np.int64)
-        return pa.table({name: pa.array(np.ascontiguousarray(found[:, i])) for i, name in enumerate(("node", "links", "to"))})
-
-    linked = saved(with_vectors.groupBy("work").applyInArrow(compare, "node long, links long, to long"), "vector-links")
+    shared = saved(each.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "shared-cells")
+    members = blocks(each.withColumn("table", F.floor(F.col("place") / count)), shared, ["dim", "cell"], "node", block_rows)
+    with_vectors = members.join(placed.select("node", "x", "n", "cells"), "node")
+
+    def compare(block: pa.Table, across: bool) -> list[np.ndarray] | None:
+        node, n, part = (block.column(c).to_numpy() for c in ("node", "n", "slice"))
+        x = block.column("x").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        x = x / np.abs(x).max(1)[:, None]
+        units = x / np.linalg.norm(x, axis=1)[:, None]
+        a, b = np.nonzero(np.triu(units @ units.T >= threshold, 1))
+        if across:
+            apart = part[a] != part[b]
+            a, b = a[apart], b[apart]
+        if not len(a):
+            return None
+        own = block.column("cells").combine_chunks().flatten().to_numpy().reshape(len(node), -1, count)
+        root = _roots(len(node), a, b)
+        a, b = _own_pairs(a, b, own, block.column("table")[0].as_py(), block.column("cell")[0].as_py())
+        links = np.zeros(len(node), np.int64)
+        np.add.at(links, a, n[b])
+        np.add.at(links, b, n[a])
+        some = np.flatnonzero((links > 0) | (root != np.arange(len(node))))
+        return [node[some], links[some], node[root[some]]]
+
+    linked = saved(compared(with_vectors, ["dim", "cell"], "node", compare, ["node", "links", "to"]), "vector-links")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     named = components(linked.select(F.col("node").alias("a"), F.col("to").alias("b")))
     found = (nodes.select("x", "node", "n").join(links, "node", "left").join(named, "node", "left")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courierlens.llm import bpe, language, lattice, multi_index, packing, sharding, token_files, warc
+from courierlens.llm import bpe, language, lattice, minhash, multi_index, packing, sharding, token_files, warc
 from courierlens.llm.shared import prepare, table
 
 #: Id that ends each document in the token files.
@@ -22,6 +22,11 @@ SEQUENCE_COSTS = {n: packing.attention_cost(n) for n in (512, 1024, 2048, 4096)}
 QUERY_STEP = 100
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with a similarity of 0.8 or more on shingles of four words."""
+    return minhash.similar_texts(table(prepare(spark), sf_dir, "documents"), "doc_id", "text", shingle=4, percent=80)
+
+
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest neighbours of every hundredth vector among all."""
     embeddings = table(prepare(spark), sf_dir, "embeddings")
@@ -68,6 +73,7 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_multi_index": op2_multi_index,
     "op3_token_files": op3_token_files,
     "op4_prefix_bpe": op4_prefix_bpe,
