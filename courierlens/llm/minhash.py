@@ -111,7 +111,7 @@ def _candidates(rows: DataFrame, coordinates: int, percent: int, best: bool) ->
             else:
                 a, b = np.nonzero(possible & (name[some][:, None] != name) & (some[:, None] < np.arange(len(node))))
                 a = some[a]
-                same = (own[a] == own[b]).reshape(len(a), -1, BAND_ROWS).all(2)
+                same = (own[a] == own[b]).reshape(len(a), BANDS, BAND_ROWS).all(2)
                 mine = same.argmax(1) == band
                 a, b = a[mine], b[mine]
             if len(a):
