@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courierlens.llm import bpe, language, lattice, minhash, multi_index, packing, sharding, token_files, warc
+from courierlens.llm import bpe, language, lattice, minhash, multi_index, packing, quality, sharding, token_files, warc
 from courierlens.llm.shared import prepare, table
 
 #: Id that ends each document in the token files.
@@ -22,6 +22,11 @@ SEQUENCE_COSTS = {n: packing.attention_cost(n) for n in (512, 1024, 2048, 4096)}
 QUERY_STEP = 100
 
 
+def good_label() -> Column:
+    """Labels of the target: good quality and not toxic."""
+    return (F.col("quality") == 1) & (F.col("toxic") == 0)
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with a similarity of 0.8 or more on shingles of four words."""
     return minhash.similar_texts(table(prepare(spark), sf_dir, "documents"), "doc_id", "text", shingle=4, percent=80)
@@ -62,6 +67,13 @@ def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_archive(table(prepare(spark), sf_dir, "pages"), "page_id", "url", "html", least_bytes=0)
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents for clean text of good quality, and a sample of half as many as are accepted."""
+    prepare(spark)
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.select_quality(documents, "doc_id", "text", labels, "doc_id", good_label(), share=0.5)
+
+
 def op9_lattice_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between vectors with a cosine of 0.95 or more, and their components."""
     return lattice.similar_vectors(table(prepare(spark), sf_dir, "embeddings"), "vec_id", "embedding", threshold=0.95)
@@ -80,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op7_warc_bundles": op7_warc_bundles,
+    "op8_importance_resampling": op8_importance_resampling,
     "op9_lattice_vectors": op9_lattice_vectors,
     "op10_language_filters": op10_language_filters,
 }

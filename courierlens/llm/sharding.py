@@ -15,7 +15,7 @@ DIGITS = 13
 SLOT_ROWS = 50_000
 
 
-def _unit(of: Column) -> Column:
+def unit(of: Column) -> Column:
     """A number in (0, 1) that depends on a text alone."""
     return (F.conv(F.substring(F.md5(of), 1, DIGITS), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(16**DIGITS))
 
@@ -31,7 +31,7 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
         raise ValueError("weights must be 0 or more, and one above 0")
     name = F.coalesce(key.cast("string"), F.lit(""))
     drawn = [
-        F.struct((-F.ln(_unit(F.concat(name, F.lit(f"/{shard}")))) / F.lit(float(weight))).alias("at"), F.lit(shard).alias("shard"))
+        F.struct((-F.ln(unit(F.concat(name, F.lit(f"/{shard}")))) / F.lit(float(weight))).alias("at"), F.lit(shard).alias("shard"))
         for shard, weight in enumerate(weights) if weight
     ]
     return F.array_min(F.array(*drawn))["shard"]
@@ -71,6 +71,6 @@ def assign_shards(df: DataFrame, key: str, text: str, weights: Sequence[float],
     rows = df.select(
         df[key].alias("key"), (F.octet_length(value) + 1).cast("long").alias("size"), F.crc32(value.cast("binary")).alias("text_crc32"),
         rendezvous(df[key], weights).alias("shard"), rendezvous(df[key], grown).alias("grown_shard"),
-        _unit(F.coalesce(df[key].cast("string"), F.lit(""))).alias("position"))
+        unit(F.coalesce(df[key].cast("string"), F.lit(""))).alias("position"))
     slots = number_slots(rows, "shard", ["key", "size", "text_crc32"], "position", df.count())
     return slots.select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

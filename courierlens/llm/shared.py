@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import courierlens
@@ -69,10 +69,18 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(max(1, rows))
 
 
+def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Adds each row's place (from 1) in the whole table. Rows are range-partitioned by ``order``; a task ranks its range."""
+    part = fresh([*df.columns, name], "_part")
+    ranged = saved(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    starts = running_total(ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_rows")), [part], "_rows", "_start")
+    starts = starts.select(F.col(part).alias("_of"), "_start")
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranged.withColumn(name, place).join(starts, F.col(part) == F.col("_of")).select(*df.columns, (F.col(name) + F.col("_start")).alias(name))
+
+
 def running_total(df: DataFrame, order: Sequence[str], size: str, name: str) -> DataFrame:
     """Sum of ``size`` over the rows before each row. For tables with a row per file or per bucket."""
-    from pyspark.sql import Window
-
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")))
 

@@ -41,18 +41,56 @@ def _tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, in order, and where each text's words begin (one entry more than texts)."""
-    data = np.frombuffer((b"\n" + b"\n".join(texts) + b"\n").lower(), np.uint8)
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes in lower case and as they are, and where words begin and end."""
+    joined = b"\n" + b"\n".join(texts) + b"\n"
+    data = np.frombuffer(joined.lower(), np.uint8)
     space = _SPACE[data]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-    begin, end = edges[::2], edges[1::2]
+    return data, np.frombuffer(joined, np.uint8), edges[::2], edges[1::2]
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the bytes from ``begin`` to each of ``ends``."""
     up, down = _tables(SLICE_BYTES if len(data) <= SLICE_BYTES else len(data))
     running = np.cumsum(_VALUES[data] * up[:len(data)], dtype=np.uint64)
-    words = mix((running[end - 1] - running[begin - 1]) * down[begin] + (end - begin).astype(np.uint64))
+    before, scale = running[begin - 1], down[begin]
+    return [mix((running[end - 1] - before) * scale + (end - begin).astype(np.uint64)) for end in ends]
+
+
+def _firsts(texts: list[bytes], begin: np.ndarray) -> np.ndarray:
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    firsts = np.concatenate([[0], np.cumsum(sizes)]) + 1
-    return words, np.searchsorted(begin, firsts)
+    return np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)]) + 1)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, in order, and where each text's words begin (one entry more than texts)."""
+    data, _, begin, end = _words(texts)
+    return _hashes(data, begin, [end])[0], _firsts(texts, begin)
+
+
+#: Kinds of bytes: 1 upper case, 2 digit, 3 other visible ASCII; 0 the rest, among them all of other alphabets.
+_KINDS = np.array([1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if 32 < b < 127 and not 97 <= b <= 122 else 0 for b in range(256)])
+
+
+def word_forms(texts: list[bytes], heads: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Per word the hashes of its first bytes, so many as ``heads`` say, and its shape; where texts begin.
+
+    The shape, a number below 64, says if the word starts in upper case, if it has more than one
+    capital and more than small letters, if it has digits, if it has no, one or several other
+    characters, and if it repeats the word before it.
+    """
+    data, plain, begin, end = _words(texts)
+    firsts = _firsts(texts, begin)
+    kinds = _KINDS[plain]
+    upper, digit, other = (np.concatenate([[0], np.cumsum(kinds == k)]) for k in (1, 2, 3))
+    n_upper, n_digit, n_other = (c[end] - c[begin] for c in (upper, digit, other))
+    loud = (n_upper > 1) & (2 * n_upper > (end - begin) - n_digit - n_other)
+    words, *cut = _hashes(data, begin, [end, *[np.minimum(begin + n, end) for n in heads]])
+    again = np.zeros(len(words), bool)
+    again[1:] = words[1:] == words[:-1]
+    again[firsts[:-1][firsts[:-1] < len(words)]] = False
+    return cut, (kinds[begin] == 1) * 1 + loud * 2 + (n_digit > 0) * 4 + np.minimum(n_other, 2) * 8 + again * 32, firsts
 
 
 def runs(words: np.ndarray, length: int) -> np.ndarray:
