@@ -29,8 +29,26 @@ def split_by_day(df: DataFrame, start: str, end: str, day: str = "day") -> DataF
             .withColumn(end, F.least(F.col(end), midnight + F.expr("interval 1439 minutes"))))
 
 
-def coverage_segments(spans: DataFrame, keys: Sequence[str], start: str, end: str,
-                      count: str = "covering") -> DataFrame:
+def cut_to_days(spans: DataFrame, days: DataFrame, on: Mapping[str, str], start: str, end: str, day: str = "day") -> DataFrame:
+    """``split_by_day`` onto the days that ``days`` lists, one row per key and day.
+
+    ``on`` maps span columns to columns of ``days``. A span that is open for centuries costs
+    no more than the days there are.
+    """
+    listed = days.select(*[F.col(theirs).alias(f"_of_{theirs}") for theirs in on.values()], F.col(day).alias("_listed"))
+    midnight = F.col("_listed").cast("timestamp_ntz")
+    # Bounded above and below by whole days, so that NULL bounds match nothing.
+    held = (F.col("_listed") >= F.to_date(start)) & (F.col("_listed") <= F.to_date(end))
+    for mine, theirs in on.items():
+        held = held & (F.col(mine) == F.col(f"_of_{theirs}"))
+    return (spans.filter(F.col(start) <= F.col(end)).join(listed, held)
+            .withColumn(start, F.greatest(F.col(start), midnight))
+            .withColumn(end, F.least(F.col(end), midnight + F.expr("interval 1439 minutes")))
+            .select(*spans.columns, F.col("_listed").alias(day)))
+
+
+def coverage_segments(spans: DataFrame, keys: Sequence[str], start: str, end: str, count: str = "covering",
+                      days: DataFrame | None = None, on: Mapping[str, str] | None = None) -> DataFrame:
     """How many spans cover each minute, as disjoint segments per key and day.
 
     A span adds +1 where it starts and -1 behind its end; a running sum per day turns

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from courierlens.functions.clock import hour_of
+
 
 def series(start: Column, end: Column, unit: str) -> Column:
     """Array from ``start`` to ``end`` inclusive by one ``unit``; NULL for reversed or open bounds."""
@@ -28,34 +30,44 @@ def minute_spine(df: DataFrame, start: Column, end: Column, name: str = "minute"
 
 
 def densify(df: DataFrame, key: str, ts: str) -> DataFrame:
-    """Gap-free (key, minute) rows between each key's own first and last minute."""
+    """Gap-free (key, minute) rows between each key's own first and last minute.
+
+    A key's range is laid out by day first. The days are dealt to all shuffle partitions, by a
+    fixed number because the few rows would otherwise be put into one, and only there are a
+    day's minutes spelled out, 1440 at most per row.
+    """
     ends = df.groupBy(key).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    return minute_spine(ends, F.col("_first"), F.col("_last"), ts).select(key, ts)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    days = date_spine(ends, F.to_date("_first"), F.to_date("_last"), "_day").repartition(partitions, key, "_day")
+    midnight = F.col("_day").cast("timestamp_ntz")
+    first = F.greatest(F.col("_first"), midnight)
+    last = F.least(F.col("_last"), midnight + F.expr("interval 1439 minutes"))
+    return minute_spine(days, first, last, ts).select(key, ts)
 
 
 def fill_forward(df: DataFrame, key: str, ts: str, value: str, name: str | None = None) -> DataFrame:
     """Last non-NULL ``value`` of a key at or before each row.
 
     Rows that share a timestamp share the largest of their values. The window is cut per
-    key and day, so a hot key is spread over its days. What a day inherits comes from a
-    summary with one row per key and day and enters the window as a row ahead of the day.
+    key and hour, so a key, or one day of a key, that holds a large share of the rows is spread
+    over its hours. What an hour inherits comes from a summary with one row per key and hour
+    and enters the window as a row ahead of the hour.
     """
     name = name or value
-    day = F.to_date(ts)
-    rows = df.select("*", day.alias("_day"), F.col(value).alias("_value"), F.lit(False).alias("_inherited"))
+    rows = df.select("*", hour_of(F.col(ts)).alias("_slice"), F.col(value).alias("_value"), F.lit(False).alias("_inherited"))
 
     latest = F.max(F.when(F.col(value).isNotNull(), F.struct(ts, value)))
-    before = W.partitionBy(key).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    inherited = (df.groupBy(key, day.alias("_day")).agg(latest.alias("_latest"))
-                 .select(key, "_day", F.last(F.col(f"_latest.{value}"), ignorenulls=True).over(before).alias("_value"),
+    before = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    inherited = (df.groupBy(key, hour_of(F.col(ts)).alias("_slice")).agg(latest.alias("_latest"))
+                 .select(key, "_slice", F.last(F.col(f"_latest.{value}"), ignorenulls=True).over(before).alias("_value"),
                          F.lit(True).alias("_inherited"))
                  .filter(F.col("_value").isNotNull()))
 
-    in_day = W.partitionBy(key, "_day").orderBy(F.col(ts).asc_nulls_first())
-    peers = in_day.rangeBetween(W.currentRow, W.currentRow)
+    in_slice = W.partitionBy(key, "_slice").orderBy(F.col(ts).asc_nulls_first())
+    peers = in_slice.rangeBetween(W.currentRow, W.currentRow)
     filled = (rows.unionByName(inherited, allowMissingColumns=True)
               .withColumn("_peer", F.max("_value").over(peers))
-              .withColumn("_filled", F.last("_peer", ignorenulls=True).over(in_day))
+              .withColumn("_filled", F.last("_peer", ignorenulls=True).over(in_slice))
               .filter(~F.col("_inherited")))
     return filled.select(*[c for c in df.columns if c != name], F.col("_filled").alias(name))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime, time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courierlens.functions.clock import lookback, minute_of, shift
+from courierlens.functions.clock import at, lookback, minute_of, shift
 from courierlens.functions.measures import sum_or_zero, without_ads
 from courierlens.functions.rules import any_like, classify_like
 from courierlens.operators.intervals import attribute_minute, coverage_segments
@@ -51,10 +53,15 @@ def shrink_minutes(catalog: Catalog, params: Params) -> DataFrame:
 
 
 def shrink_sessions(catalog: Catalog, params: Params, spans: DataFrame | None = None) -> DataFrame:
-    """Sessions labelled by the events of their zone id at their start minute."""
+    """Sessions labelled by the events of their zone id at their start minute.
+
+    All sessions start within the window, so spans are clipped to it before they are cut by day.
+    """
     spans = shrink_spans(catalog, params) if spans is None else spans
-    segments = coverage_segments(spans, ["lg_zone_uuid", "shrink_event"],
-                                 "first_minute", "last_minute")
+    window = at(datetime.combine(params.last_day, time(23, 59)))
+    bounded = spans.filter(F.col("first_minute").isNotNull() & F.col("last_minute").isNotNull()).withColumns({
+        "first_minute": F.greatest("first_minute", at(params.lookback_start)), "last_minute": F.least("last_minute", window)})
+    segments = coverage_segments(bounded, ["lg_zone_uuid", "shrink_event"], "first_minute", "last_minute")
     labelled = attribute_minute(restaurant_sessions(catalog, params), segments,
                                 {"lg_zone_uuid": "lg_zone_uuid"}, F.col("local_ts"),
                                 "first_minute", "last_minute", ["shrink_event"])
@@ -65,13 +72,17 @@ def shrink_orders(catalog: Catalog, params: Params, spans: DataFrame | None = No
     """Orders and profit labelled by the events of their zone name at their delivery minute.
 
     ``covering`` is the number of events of one label in force: an order is summed once
-    per event, and counted once.
+    per event, and counted once. An order may be delivered on another day than the one it is
+    booked on, so spans are cut to the days on which a zone's orders are delivered, whichever
+    they are.
     """
     spans = shrink_spans(catalog, params) if spans is None else spans
+    profit = full_fee_profit(catalog, params).drop("surge_event")
+    days = profit.select("zone_name", F.to_date("expected_delivery_at_local").alias("day")).distinct()
     named = spans.filter(F.col("zone_name").isNotNull())
-    segments = coverage_segments(named.withColumnRenamed("zone_name", "event_zone"),
-                                 ["event_zone", "shrink_event"], "first_minute", "last_minute")
-    labelled = attribute_minute(full_fee_profit(catalog, params).drop("surge_event"), segments,
+    segments = coverage_segments(named.withColumnRenamed("zone_name", "event_zone"), ["event_zone", "shrink_event"],
+                                 "first_minute", "last_minute", days=days, on={"event_zone": "zone_name"})
+    labelled = attribute_minute(profit, segments,
                                 {"zone_name": "event_zone"}, F.col("expected_delivery_at_local"),
                                 "first_minute", "last_minute", ["shrink_event", "covering"])
     copies = F.coalesce("covering", F.lit(1))

@@ -46,7 +46,8 @@ def filled_delays(observations: DataFrame) -> DataFrame:
     spine = densify(per_minute, "zone_name", "minute")
     filled = fill_forward(spine.join(per_minute, ["zone_name", "minute"], "left"), "zone_name", "minute", "mean_delay")
     return filled.select(F.to_date("minute").alias("created_date_local"), "zone_name", "minute",
-                         clock_text(F.col("minute")).alias("time_local"), "mean_delay")
+                         clock_text(F.col("minute")).alias("time_local"), F.hour("minute").alias("hour_of_day"),
+                         F.minute("minute").alias("minute_of_hour"), "mean_delay")
 
 
 def surge_bands(catalog: Catalog, params: Params) -> DataFrame:
@@ -90,7 +91,8 @@ def label_delays(delays: DataFrame, day: str, bands: DataFrame, params: Params)
 def surge_minutes(catalog: Catalog, params: Params) -> DataFrame:
     """Label(s) of every zone-minute, spelled out over all history (see ``filled_delays``)."""
     delays = filled_delays(delay_observations(catalog, params))
-    return label_delays(delays, "created_date_local", surge_bands(catalog, params), params)
+    labelled = label_delays(delays, "created_date_local", surge_bands(catalog, params), params)
+    return labelled.select(*delays.columns, "surge_event").distinct()
 
 
 def surge_sessions(catalog: Catalog, params: Params) -> DataFrame:
@@ -101,7 +103,10 @@ def surge_sessions(catalog: Catalog, params: Params) -> DataFrame:
 
 
 def surge_orders(catalog: Catalog, params: Params) -> DataFrame:
-    """Orders and profit by the label the profit table carries; a missing one is 'no_surge'."""
+    """Orders and profit by the label the profit table carries; a missing one is ``params.no_surge``.
+
+    It becomes so before grouping: orders without a label and those labelled so are one row.
+    """
     net = without_ads(F.col("gpo_excl_wastage"), F.col("ad_rev_per_order"), F.col("sub_rev_per_order"))
     return (full_fee_profit(catalog, params)
             .withColumn("surge_event", F.coalesce("surge_event", F.lit(params.no_surge)))

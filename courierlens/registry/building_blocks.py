@@ -76,7 +76,11 @@ FROM lineitem l JOIN (SELECT l_suppkey, {how}(l_quantity) AS quantity FROM linei
 
 
 def _nullable_customers(t) -> DataFrame:
-    return t("customer").select("c_custkey", F.when(F.col("c_custkey") % 10 != 3, F.col("c_custkey")).alias("member"))
+    return t("customer").select("c_custkey", F.when(F.col("c_custkey") % 10 != 3, F.col("c_custkey") * 3).alias("member"))
+
+
+def _customers_without_null(t) -> DataFrame:
+    return t("customer").select("c_custkey", (F.col("c_custkey") * 10 + 4).alias("member"))
 
 
 def _orders(t) -> DataFrame:
@@ -84,33 +88,40 @@ def _orders(t) -> DataFrame:
 
 
 _NULLABLE = ("(SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 2 THEN o_custkey END AS buyer FROM orders) o")
-_MEMBERS = "(SELECT c_custkey, CASE WHEN c_custkey % 10 <> 3 THEN c_custkey END AS member FROM customer) c"
+_WITHOUT_NULL = "(SELECT c_custkey, c_custkey * 10 + 4 AS member FROM customer) c"
+_MEMBERS = "(SELECT c_custkey, CASE WHEN c_custkey % 10 <> 3 THEN c_custkey * 3 END AS member FROM customer) c"
 
 
 def semi(t) -> DataFrame:
-    return semi_in(_orders(t), "buyer", _nullable_customers(t).filter("c_custkey % 3 = 0"), "member")
+    return semi_in(_orders(t), "buyer", _nullable_customers(t), "member")
 
 
 def exists(t) -> DataFrame:
-    return exists_flag(_orders(t), "buyer", _nullable_customers(t).filter("c_custkey % 3 = 0"), "member", "listed")
+    return exists_flag(_orders(t), "buyer", _nullable_customers(t), "member", "listed")
 
 
-def excluded(list_filter: str):
+def excluded(members):
     def build(t) -> DataFrame:
-        return not_in(_orders(t), "buyer", _nullable_customers(t).filter(list_filter), "member")
+        return not_in(_orders(t), "buyer", members(t), "member")
     return build
 
 
-def _excluded_sql(list_filter: str) -> str:
-    return f"SELECT * FROM {_NULLABLE} WHERE buyer NOT IN (SELECT member FROM {_MEMBERS} WHERE {list_filter})"
+def no_members(t) -> DataFrame:
+    """An empty list, which is what this one is about."""
+    return _customers_without_null(t).filter("c_custkey < 0")
+
+
+def _excluded_sql(members: str) -> str:
+    return f"SELECT * FROM {_NULLABLE} WHERE buyer NOT IN (SELECT member FROM {members})"
 
 
 def _views_and_purchases(t) -> tuple[DataFrame, DataFrame]:
     keyed = t("events").select(F.expr(_ZONE).alias("zone"), F.to_date("ts").alias("day"), "event_type", "event_id",
                                "user_id")
-    views = (keyed.filter((F.col("event_type") == "view") & (F.col("user_id") % 3 > 0))
-             .groupBy("zone", "day").agg(F.count("event_id").alias("views")))
-    purchases = (keyed.filter((F.col("event_type") == "purchase") & (F.dayofmonth("day") % 4 > 0))
+    views = keyed.filter(F.col("event_type") == "view").groupBy("zone", "day").agg(F.count("event_id").alias("views"))
+    # Purchases are moved to later days, so that each side has keys the other has not.
+    later = F.date_add("day", (F.col("user_id") % 4 + 2).cast("int")).alias("day")
+    purchases = (keyed.filter(F.col("event_type") == "purchase").select("zone", later, "event_id")
                  .groupBy("zone", "day").agg(F.count("event_id").alias("purchases")))
     return views, purchases
 
@@ -125,9 +136,9 @@ def joined_stats(how: str):
 
 _STATS = f"""
 WITH keyed AS (SELECT {_ZONE} AS zone, CAST(ts AS DATE) AS day, event_type, user_id FROM events),
-views AS (SELECT zone, day, count(*) AS views FROM keyed WHERE event_type = 'view' AND user_id % 3 > 0 GROUP BY ALL),
-purchases AS (SELECT zone, day, count(*) AS purchases FROM keyed
-              WHERE event_type = 'purchase' AND day(day) % 4 > 0 GROUP BY ALL)
+views AS (SELECT zone, day, count(*) AS views FROM keyed WHERE event_type = 'view' GROUP BY ALL),
+purchases AS (SELECT zone, CAST(day + CAST(user_id % 4 + 2 AS INTEGER) AS DATE) AS day, count(*) AS purchases FROM keyed
+              WHERE event_type = 'purchase' GROUP BY ALL)
 """
 
 
@@ -243,12 +254,12 @@ QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority
                            NULLS LAST, o_orderkey) = 1""", ("o_totalprice",)),
     "extreme_min_with_ties": Direct(extremes("min"), _EXTREME_SQL.format(how="min")),
     "extreme_max_with_ties": Direct(extremes("max"), _EXTREME_SQL.format(how="max")),
-    "semi_in": Direct(semi, f"SELECT * FROM {_NULLABLE} WHERE buyer IN (SELECT member FROM {_MEMBERS} WHERE c_custkey % 3 = 0)"),
-    "exists_flag": Direct(exists, f"SELECT *, coalesce(buyer IN (SELECT member FROM {_MEMBERS} WHERE c_custkey % 3 = 0 "
-                                  f"AND member IS NOT NULL), false) AS listed FROM {_NULLABLE}"),
-    "not_in": Direct(excluded("c_custkey % 10 = 4"), _excluded_sql("c_custkey % 10 = 4")),
-    "not_in_list_with_null": Direct(excluded("c_custkey % 10 < 5"), _excluded_sql("c_custkey % 10 < 5")),
-    "not_in_empty_list": Direct(excluded("c_custkey < 0"), _excluded_sql("c_custkey < 0")),
+    "semi_in": Direct(semi, f"SELECT * FROM {_NULLABLE} WHERE buyer IN (SELECT member FROM {_MEMBERS})"),
+    "exists_flag": Direct(exists, f"SELECT *, coalesce(buyer IN (SELECT member FROM {_MEMBERS} "
+                                  f"WHERE member IS NOT NULL), false) AS listed FROM {_NULLABLE}"),
+    "not_in": Direct(excluded(_customers_without_null), _excluded_sql(_WITHOUT_NULL)),
+    "not_in_list_with_null": Direct(excluded(_nullable_customers), _excluded_sql(_MEMBERS)),
+    "not_in_empty_list": Direct(excluded(no_members), _excluded_sql(f"{_WITHOUT_NULL} WHERE c_custkey < 0")),
     "stats_join_left": Direct(joined_stats("left"), _STATS + """
 SELECT v.*, p.purchases FROM views v LEFT JOIN purchases p ON p.zone = v.zone AND p.day = v.day"""),
     "stats_join_full": Direct(joined_stats("full"), _STATS + """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,6 @@ ORDER_ROW = ["date_local", "hour", "uuid", "code", "vendor_business_type", "mini
              "total_value_local", "vendor_discount", "platform_discount", "vendor_voucher", "platform_voucher",
              "fee_before_tax", "voucher_waiver", "discount_waiver", "is_incentivised", "is_low_fee",
              "is_incentivised_or_low_fee", "is_incentivised_and_low_fee", "net_delivery_fee"]
-MINUTES = "CAST(count(*) AS BIGINT) AS minutes"
 STEP_COLUMNS = ", ".join(restaurant_funnel.STEP_PAIRS)
 SESSION_ROW = ["date_", "hour_", "ga_session_id", "lg_zone_name", "is_transaction"]
 
@@ -51,24 +53,15 @@ def order_rows_net_fee(c: Catalog, p: Params) -> DataFrame:
     return order_economics.order_rows(c, p).select(*ORDER_ROW)
 
 
-def vendor_day_totals(c: Catalog, p: Params) -> DataFrame:
-    return (active_vendors.vendor_days(c, p).groupBy("date_local", "zone_name")
-            .agg(F.count(F.lit(1)).alias("vendors"), F.count_if("is_active").alias("active_vendors")))
-
-
-def shrink_minute_totals(c: Catalog, p: Params) -> DataFrame:
-    return (shrink_conversion.shrink_minutes(c, p).groupBy("uuid", "zone_name", "title")
-            .agg(F.count("minute").alias("minutes"), F.min("minute").alias("first_minute"),
-                 F.max("minute").alias("last_minute")))
+def shrink_event_minutes(c: Catalog, p: Params) -> DataFrame:
+    return shrink_conversion.shrink_minutes(c, p).select("uuid", "zone_name", "title", "minute")
 
 
 def shrink_coverage(c: Catalog, p: Params) -> DataFrame:
     segments = coverage_segments(shrink_conversion.shrink_spans(c, p), ["lg_zone_uuid", "shrink_event"],
                                  "first_minute", "last_minute")
-    length = F.timestamp_diff("MINUTE", F.col("first_minute"), F.col("last_minute")) + 1
-    return segments.groupBy("lg_zone_uuid", "shrink_event", "day").agg(
-        F.sum(length).alias("minutes"), F.sum(length * F.col("covering")).alias("event_minutes"),
-        F.max("covering").alias("most"))
+    return minute_spine(segments, F.col("first_minute"), F.col("last_minute")).select(
+        "lg_zone_uuid", "shrink_event", "day", "minute", "covering")
 
 
 def shrink_labelled_sessions(c: Catalog, p: Params) -> DataFrame:
@@ -88,26 +81,19 @@ def zone_limits(c: Catalog, p: Params) -> DataFrame:
 
 
 def zone_minute_spine(c: Catalog, p: Params) -> DataFrame:
-    spine = densify(surge_conversion.delay_observations(c, p), "zone_name", "minute")
-    return spine.groupBy("zone_name", F.to_date("minute").alias("day")).agg(F.count("minute").alias("minutes"))
+    return densify(surge_conversion.delay_observations(c, p), "zone_name", "minute")
 
 
-def filled_delay_totals(c: Catalog, p: Params) -> DataFrame:
-    filled = surge_conversion.filled_delays(surge_conversion.delay_observations(c, p))
-    return filled.groupBy("zone_name", "created_date_local").agg(
-        F.count(F.lit(1)).alias("minutes"), F.count("mean_delay").alias("known"),
-        F.sum("mean_delay").alias("delay_sum"), F.min("time_local").alias("first_time"),
-        F.max("time_local").alias("last_time"))
+def filled_delays(c: Catalog, p: Params) -> DataFrame:
+    return surge_conversion.filled_delays(surge_conversion.delay_observations(c, p))
 
 
 def delay_validity(c: Catalog, p: Params) -> DataFrame:
+    """Validity intervals, laid out by minute again."""
     known = (surge_conversion.delay_observations(c, p).groupBy("zone_name", "minute")
              .agg(F.max("mean_delay").alias("mean_delay")))
     pieces = validity_intervals(known, "zone_name", "minute", "mean_delay")
-    length = F.timestamp_diff("MINUTE", F.col("start_minute"), F.col("end_minute")) + 1
-    return pieces.groupBy("zone_name", "day", "mean_delay").agg(
-        F.sum(length).alias("minutes"), F.min("start_minute").alias("first_minute"),
-        F.max("end_minute").alias("last_minute"))
+    return minute_spine(pieces, F.col("start_minute"), F.col("end_minute")).select("zone_name", "day", "minute", "mean_delay")
 
 
 def delay_bands(c: Catalog, p: Params) -> DataFrame:
@@ -117,16 +103,10 @@ def delay_bands(c: Catalog, p: Params) -> DataFrame:
                      "mean_delay", "mean_delay_start", "mean_delay_end", ["surge_event", "surge_fee"])
 
 
-def surge_minute_totals(c: Catalog, p: Params) -> DataFrame:
-    return surge_conversion.surge_minutes(c, p).groupBy("zone_name", "created_date_local", "surge_event").agg(
-        F.count("minute").alias("minutes"))
-
-
-def surge_segment_totals(c: Catalog, p: Params) -> DataFrame:
+def surge_segment_labels(c: Catalog, p: Params) -> DataFrame:
     """Labels from validity segments, laid out by minute again."""
     minutes = minute_spine(surge_conversion.surge_segments(c, p), F.col("start_minute"), F.col("end_minute"))
-    return (minutes.select("zone_name", "day", "minute", "surge_event").distinct()
-            .groupBy("zone_name", "day", "surge_event").agg(F.count("minute").alias("minutes")))
+    return minutes.select("zone_name", "day", "minute", "surge_event").distinct()
 
 
 def surge_labelled_sessions(c: Catalog, p: Params) -> DataFrame:
@@ -161,6 +141,11 @@ def _of_counts(part):
     return lambda c, p: part(restaurant_funnel.funnel_counts(c, p))
 
 
+def _moved(build, select, doubles=(), **changed):
+    """The same with another window or other floors, so that rows lie outside of them."""
+    return Entry(build, replace(TRAFFIC, **changed), "traffic", select, doubles)
+
+
 RESULTS: dict[str, Entry] = {
     "daily_orders": _commerce(plans.daily_orders, "order_economics", ECONOMICS),
     "daily_rainfall": _traffic(
@@ -175,6 +160,21 @@ RESULTS: dict[str, Entry] = {
     "daily_restaurant_conversion_funnel": _traffic(plans.daily_restaurant_conversion_funnel, "funnel_rows"),
 }
 
+#: All events are of January 2024. A window that starts in the middle of it folds history in, one that
+#: ends there leaves later rows out, and later floors cut the sources.
+LATE, EARLY = date(2024, 3, 21), date(2024, 1, 21)
+WINDOWS: dict[str, Entry] = {
+    "conversion_by_shrink_late_window": _moved(plans.daily_conversion_by_shrink, "shrink_result", PROFIT, as_of=LATE),
+    "conversion_by_shrink_early_window": _moved(plans.daily_conversion_by_shrink, "shrink_result", PROFIT, as_of=EARLY),
+    "conversion_by_surge_late_window": _moved(plans.daily_conversion_by_surge, "surge_result", PROFIT, as_of=LATE),
+    "conversion_by_surge_early_window": _moved(plans.daily_conversion_by_surge, "surge_result", PROFIT, as_of=EARLY),
+    "conversion_by_surge_late_floors": _moved(
+        plans.daily_conversion_by_surge, "surge_result", PROFIT, as_of=LATE, zone_stats_from=date(2024, 1, 25),
+        surge_bands_from=date(2024, 1, 24)),
+    "restaurant_funnel_late_floor": _moved(
+        plans.daily_restaurant_conversion_funnel, "funnel_rows", history_from=date(2024, 1, 12)),
+}
+
 INTERMEDIATE: dict[str, Entry] = {
     "vendor_list": _commerce(dimensions.vendor_list, "listed_vendors"),
     "vendor_zone_bridge": _commerce(dimensions.vendor_zones, "zone_bridge"),
@@ -188,16 +188,13 @@ INTERMEDIATE: dict[str, Entry] = {
     "lateness_rows": _commerce(vendor_lateness.lateness_rows, "late_orders", ("vendor_lateness_in_min",)),
     "contract_spans": _contracts(active_vendors.contract_spans, "spans"),
     "contract_days_expanded": _contracts(
-        vendor_day_totals, "SELECT date_local, zone_name, count(*) AS vendors, "
-        "count(*) FILTER (is_active) AS active_vendors FROM span_days GROUP BY ALL"),
+        active_vendors.vendor_days, "SELECT s.*, k.day AS date_local, coalesce(k.day >= s.start_date_local "
+        "AND k.day <= s.end_date_local, false) AS is_active FROM spans s, calendar k"),
     "area_events_with_zone": _traffic(shrink_conversion.area_events, "zone_events"),
-    "shrink_event_minutes": _traffic(
-        shrink_minute_totals, "SELECT uuid, zone_name, title, count(minute) AS minutes, "
-        "min(minute) AS first_minute, max(minute) AS last_minute FROM event_minutes GROUP BY uuid, zone_name, title"),
+    "shrink_event_minutes": _traffic(shrink_event_minutes, "SELECT uuid, zone_name, title, minute FROM event_minutes"),
     "shrink_coverage": _traffic(
-        shrink_coverage, "SELECT lg_zone_uuid, shrink_event, CAST(minute AS DATE) AS day, count(*) AS minutes, "
-        "CAST(sum(n) AS BIGINT) AS event_minutes, max(n) AS most FROM (SELECT lg_zone_uuid, shrink_event, minute, "
-        "count(*) AS n FROM event_minutes WHERE minute IS NOT NULL GROUP BY ALL) GROUP BY ALL"),
+        shrink_coverage, "SELECT lg_zone_uuid, shrink_event, CAST(minute AS DATE) AS day, minute, count(*) AS covering "
+        "FROM event_minutes WHERE minute IS NOT NULL GROUP BY lg_zone_uuid, shrink_event, minute"),
     "order_fee_flags": _traffic(
         order_fee_flags, "SELECT uuid, code, CAST(max(CAST(low_and_funded AS INTEGER)) AS INTEGER) AS is_low_fee, "
         "CAST(max(CAST(low_and_funded OR discount_free OR voucher_free AS INTEGER)) AS INTEGER) "
@@ -210,17 +207,11 @@ INTERMEDIATE: dict[str, Entry] = {
     "shrink_order_profit": _traffic(shrink_conversion.shrink_orders, "shrink_order_sums", PROFIT),
     "zone_delays": _traffic(zone_delays, "SELECT DISTINCT * FROM delays", ("mean_delay",)),
     "zone_delay_limits": _traffic(zone_limits, "delay_limits"),
-    "zone_minute_spine": _traffic(
-        zone_minute_spine,
-        f"SELECT zone_name, CAST(minute AS DATE) AS day, {MINUTES} FROM minute_axis GROUP BY ALL"),
-    "filled_delays": _traffic(
-        filled_delay_totals, f"SELECT zone_name, created_date_local, {MINUTES}, count(mean_delay) AS known, "
-        "sum(mean_delay) AS delay_sum, min(time_local) AS first_time, max(time_local) AS last_time "
-        "FROM filled GROUP BY ALL", ("delay_sum",)),
+    "zone_minute_spine": _traffic(zone_minute_spine, "SELECT zone_name, minute FROM minute_axis"),
+    "filled_delays": _traffic(filled_delays, "SELECT * FROM filled", ("mean_delay",)),
     "delay_validity": _traffic(
-        delay_validity, f"SELECT zone_name, created_date_local AS day, mean_delay, {MINUTES}, "
-        "min(minute) AS first_minute, max(minute) AS last_minute FROM filled WHERE mean_delay IS NOT NULL "
-        "GROUP BY zone_name, created_date_local, mean_delay", ("mean_delay",)),
+        delay_validity, "SELECT zone_name, created_date_local AS day, minute, mean_delay FROM filled "
+        "WHERE mean_delay IS NOT NULL", ("mean_delay",)),
     "surge_bands": _traffic(surge_conversion.surge_bands, "SELECT * FROM bands"),
     "cheapest_surge_labels": _traffic(
         lambda c, p: surge_conversion.cheapest_labels(surge_conversion.surge_bands(c, p)), "cheapest"),
@@ -231,14 +222,11 @@ INTERMEDIATE: dict[str, Entry] = {
         "b.surge_fee FROM known_delays k LEFT JOIN bands b ON b.zone_name = k.zone_name "
         "AND b.date_updated = CAST(k.minute AS DATE) AND k.mean_delay BETWEEN b.mean_delay_start AND b.mean_delay_end",
         ("mean_delay", "surge_fee")),
-    "surge_minute_labels": _traffic(
-        surge_minute_totals,
-        f"SELECT zone_name, created_date_local, surge_event, {MINUTES} FROM minute_labels GROUP BY ALL"),
+    "surge_minute_labels": _traffic(surge_conversion.surge_minutes, "SELECT * FROM minute_labels", ("mean_delay",)),
     "surge_segment_labels": _traffic(
-        surge_segment_totals, f"SELECT zone_name, created_date_local AS day, surge_event, {MINUTES} "
-        "FROM (SELECT DISTINCT zone_name, created_date_local, minute, surge_event FROM minute_labels "
-        f"WHERE mean_delay IS NOT NULL AND created_date_local BETWEEN DATE '{TRAFFIC.lookback_start}' "
-        f"AND DATE '{TRAFFIC.last_day}') GROUP BY ALL"),
+        surge_segment_labels, "SELECT DISTINCT zone_name, created_date_local AS day, minute, surge_event FROM minute_labels "
+        f"WHERE mean_delay IS NOT NULL AND created_date_local < DATE '{TRAFFIC.as_of}' AND created_date_local >= "
+        f"DATE '{TRAFFIC.as_of}' - INTERVAL 1 DAY - INTERVAL {TRAFFIC.lookback_months} MONTH"),
     "surge_labelled_sessions": _traffic(
         surge_labelled_sessions, f"SELECT DISTINCT {', '.join(SESSION_ROW)}, surge_event FROM surge_seen"),
     "surge_session_counts": _traffic(surge_session_counts, "surge_session_counts"),

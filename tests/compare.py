@@ -1,12 +1,7 @@
-"""Run a registered query in Spark and its SQL in DuckDB and compare rows as multisets."""
+"""Run a registered query in Spark and its SQL in DuckDB and compare rows as multisets, in DuckDB."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from datetime import date, datetime
-from decimal import Decimal
-
 import duckdb
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -26,33 +21,19 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _plain(value):
-    if isinstance(value, Decimal):
-        value = float(value)
-    if isinstance(value, float):
-        return None if math.isnan(value) else value
-    if isinstance(value, (datetime, date)):
-        return value.isoformat()
-    return value
-
-
 def differences(df, con, sql: str, show: int = 4) -> list[str]:
     names = sorted(df.columns)
-    mine = Counter(tuple(_plain(v) for v in row) for row in df.select(*names).collect())
-    result = con.execute(sql)
-    columns = [(c[0], str(c[1])) for c in result.description]
-    order = sorted(range(len(columns)), key=lambda i: columns[i][0])
-    found = []
-    if [columns[i][0] for i in order] != names:
-        return [f"columns {names} against {[columns[i][0] for i in order]}"]
-    kinds = dict(df.dtypes)
-    for i in order:
-        name, kind = columns[i]
-        if kind not in KINDS.get(kinds[name], {kind}):
-            found.append(f"type of {name}: {kinds[name]} against {kind}")
-    theirs = Counter(tuple(_plain(row[i]) for i in order) for row in result.fetchall())
-    if mine != theirs:
-        found.append(f"rows {sum(mine.values())} against {sum(theirs.values())}")
-        found += [f"only here  {r}" for r in list((mine - theirs).keys())[:show]]
-        found += [f"only there {r}" for r in list((theirs - mine).keys())[:show]]
+    con.execute(f"CREATE OR REPLACE TEMP TABLE theirs AS {sql}")
+    theirs = dict(con.execute("SELECT column_name, data_type FROM information_schema.columns WHERE table_name = 'theirs'").fetchall())
+    if sorted(theirs) != names:
+        return [f"columns {names} against {sorted(theirs)}"]
+    found = [f"type of {name}: {kind} against {theirs[name]}" for name, kind in df.dtypes
+             if theirs[name] not in KINDS.get(kind, {theirs[name]})]
+    con.register("mine", df.toArrow())
+    # Decimals come back as they are on one side and as floats on the other.
+    columns = ", ".join(f'CAST("{n}" AS DOUBLE) AS "{n}"' if theirs[n].startswith("DECIMAL") else f'"{n}"' for n in names)
+    for label, one, other in (("only here ", "mine", "theirs"), ("only there", "theirs", "mine")):
+        rest = con.execute(f"SELECT {columns} FROM {one} EXCEPT ALL SELECT {columns} FROM {other}").fetchall()
+        if rest:
+            found += [f"{len(rest)} rows {label}"] + [f"{label} {row}" for row in rest[:show]]
     return found
