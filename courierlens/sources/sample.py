@@ -386,15 +386,17 @@ TABLES: dict[str, dict[str, Callable[[Dialect], str]]] = {
 }
 
 
-_schemas: dict[str, StructType] = {}
+_schemas: dict[tuple[str, int], StructType] = {}
 
 
 def given_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its schema is looked up in the file once, not on every read."""
+    """A given table; its schema is looked up in the file once per version of it, not on every read."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    changed = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime()
+    if (path, changed) not in _schemas:
+        _schemas[path, changed] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path, changed]).parquet(path)
 
 
 def sample_catalog(spark: SparkSession, sf_dir: str, edition: str) -> Catalog:
