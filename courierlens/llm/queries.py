@@ -98,10 +98,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+#: Five hexadecimal digits of the SHA-1 are four digits to the base 32, whose fixed alphabet this is.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_DIGIT = f"substr('{_BASE32}', ((('0x' || substr(sha, part * 5 + 1, 5))::BIGINT >> (15 - 5 * place)) & 31)::INT + 1, 1)"
-#: Five hexadecimal digits of the SHA-1 are four digits to the base 32.
-_DIGEST = "array_to_string(list_transform(range(32), lambda i: " + _DIGIT.replace("part", "(i // 4)").replace("place", "(i % 4)") + "), '')"
+_DIGIT = f"substr('{_BASE32}', ((('0x' || substr(sha, i // 4 * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)"
+_DIGEST = f"array_to_string(list_transform(range(32), lambda i: {_DIGIT}), '')"
 
 #: Queries that SQL can express.
 SQL: dict[str, str] = {

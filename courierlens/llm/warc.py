@@ -75,7 +75,8 @@ def _record(page: str | None, url: str | None, payload: bytes, of: str | None, o
 class _Bundle:
     """Writes one bundle, holding one frame at a time."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, frame_bytes: int):
+        self._frame_bytes = frame_bytes
         self.name = f"pages-{uuid.uuid4().hex}.warc.zst"
         files, place = arrow_fs.FileSystem.from_uri(folder)
         files.create_dir(place, recursive=True)
@@ -90,7 +91,7 @@ class _Bundle:
         self._frame.append(record)
         self._held += len(record)
         self.written += len(record)
-        if self._held >= FRAME_BYTES:
+        if self._held >= self._frame_bytes:
             self._flush()
         return place
 
@@ -170,7 +171,7 @@ def mark_revisits(df: DataFrame, key: str, url: str, payload: str, least_bytes:
     return joined.select("key", "url", "payload", F.when(refers, F.col("first_key")).alias("refers_to"), F.when(refers, F.col("first_url")).alias("refers_url"))
 
 
-def write_bundles(marked: DataFrame, folder: str, date: str) -> DataFrame:
+def write_bundles(marked: DataFrame, folder: str, date: str, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Writes the rows of ``mark_revisits`` and returns the written index: page_id, file, frame, offset, length."""
     rows = marked.select(F.col("key").cast("string"), "url", "payload", F.col("refers_to").cast("string"), "refers_url")
 
@@ -179,7 +180,7 @@ def write_bundles(marked: DataFrame, folder: str, date: str) -> DataFrame:
         for batch in batches:
             places = []
             for page, url, payload, of, of_url in zip(*(c.to_pylist() for c in batch.columns)):
-                bundle = bundle or _Bundle(folder)
+                bundle = bundle or _Bundle(folder, frame_bytes)
                 places.append((page, bundle.name, *bundle.add(_record(page, url, payload, of, of_url, date))))
                 if bundle.written >= BUNDLE_BYTES:
                     bundle.close()
