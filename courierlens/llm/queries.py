@@ -103,8 +103,35 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGIT = f"substr('{_BASE32}', ((('0x' || substr(sha, i // 4 * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)"
 _DIGEST = f"array_to_string(list_transform(range(32), lambda i: {_DIGIT}), '')"
 
-#: Queries that SQL can express.
+_REACH = """
+     sides AS (SELECT i, j FROM links UNION ALL SELECT j, i FROM links),
+     reach AS (SELECT DISTINCT i AS id, i AS other FROM sides UNION SELECT reach.id, sides.j FROM reach JOIN sides ON sides.i = reach.other),
+     named AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"""
+
+#: Queries that SQL can express, over whole tables. Both compare all documents that share a shingle, or all vectors.
 SQL: dict[str, str] = {
+    "op1_minhash_dedup": f"""
+WITH RECURSIVE
+     words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+     sets AS (SELECT doc_id, CASE WHEN len(w) BETWEEN 1 AND 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(
+                     list_transform(range(greatest(len(w) - 3, 0)), lambda i: array_to_string(w[i + 1:i + 4], ' '))) END AS s FROM words),
+     elements AS (SELECT doc_id, unnest(s) AS x FROM sets),
+     shared AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS n FROM elements a JOIN elements b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+     links AS (SELECT i, j FROM shared JOIN sets a ON a.doc_id = i JOIN sets b ON b.doc_id = j WHERE 100 * n >= 80 * (len(a.s) + len(b.s) - n)),
+{_REACH}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN named ON id = doc_id""",
+    "op9_lattice_vectors": f"""
+WITH RECURSIVE
+     vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+     usable AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS size FROM vectors
+                WHERE len(x) > 0 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND list_inner_product(x, x) > 0),
+     links AS (SELECT a.vec_id AS i, b.vec_id AS j FROM usable a JOIN usable b
+               ON a.vec_id < b.vec_id AND len(a.x) = len(b.x) AND list_inner_product(a.x, b.x) / a.size / b.size >= 0.95),
+{_REACH}
+SELECT vec_id, (SELECT count(*) FROM sides WHERE i = vec_id) AS n_links, coalesce(component, vec_id) AS component_id,
+       coalesce(component, vec_id) = vec_id AS kept FROM vectors LEFT JOIN named ON id = vec_id""",
     "op7_warc_bundles": f"""
         WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
              named AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM hashed)

@@ -269,9 +269,10 @@ def test_ranks_over_the_whole_table(small):
 
 # Archives
 
-def test_archive_equals_the_sql(small):
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_queries_equal_their_sql(small, name):
     spark, sf_dir = small
-    assert differences(QUERIES["op7_warc_bundles"](spark, sf_dir), connect(sf_dir), SQL["op7_warc_bundles"]) == []
+    assert differences(QUERIES[name](spark, sf_dir), connect(sf_dir), SQL[name]) == []
 
 
 def test_records_are_found_by_the_index(small):
