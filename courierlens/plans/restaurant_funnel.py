@@ -1,8 +1,9 @@
 """Session funnel for the whole platform and for restaurants.
 
-The events are read once: every row gets its step flags, sessions are flagged in one
-aggregate and counted in a second, and the output rows of both verticals are laid out
-from that one small table. No event row is joined with another aggregate of the events.
+The events are read twice, browsing rows and transactions by a filtered scan each. Every row
+gets its step flags, sessions are flagged in one aggregate and counted in a second, and the
+output rows of both verticals are laid out from that one small table. No event row is joined
+with another aggregate of the events.
 """
 
 from __future__ import annotations
