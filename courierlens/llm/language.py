@@ -130,7 +130,9 @@ def learn_filters(df: DataFrame, text: str, lang: str, key: Column, documents: i
                     found, n = np.unique(grams[of == language], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), language)), pa.array(found.view(np.int64)), pa.array(n)], ["language", "gram", "n"])
 
-    drawn = rows.join(_small(df, [(k, float(v)) for k, v in most.items()], "lang string, most double"), "lang").filter("draw < most").select("lang", "text")
+    # One row per language, all of which the driver has just counted.
+    draws = F.broadcast(df.sparkSession.createDataFrame(list(most.items()), "lang string, most double"))
+    drawn = rows.join(draws, "lang").filter("draw < most").select("lang", "text")
     counted = drawn.mapInArrow(count, "language long, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     share = counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("language")))
     frequent = share.filter(F.col("share") >= LEAST_SHARE).withColumn("top", F.max("share").over(Window.partitionBy("gram")))
@@ -141,10 +143,6 @@ def learn_filters(df: DataFrame, text: str, lang: str, key: Column, documents: i
     return Filters(languages, numbers[max(languages, key=lambda x: (counts[x], x))], table, HASHES)
 
 
-def _small(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
 def predict_language(df: DataFrame, text: str, filters: Filters, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """All columns of ``df``, with the language and the share of n-grams that its filter contains.
 
