@@ -40,6 +40,20 @@ def each_block(rows: pa.Table, cell: Sequence[str], node: str) -> Iterator[tuple
             yield rows.slice(start, end - start), bool(keys[start, -1] != keys[start, -2])
 
 
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node reachable from each of ``n`` nodes over the links a-b."""
+    root = np.arange(n)
+    while len(a):
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    return root
+
+
 def compared(rows: DataFrame, cell: Sequence[str], node: str, compare: Callable[[pa.Table, bool], list[np.ndarray] | None], names: Sequence[str]) -> DataFrame:
     """Applies ``compare`` to every block; it returns one array of whole numbers per name, or None."""
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courierlens.llm.blocks import BLOCK_ROWS, blocks, compared
+from courierlens.llm.blocks import BLOCK_ROWS, blocks, compared, local_roots
 from courierlens.llm.components import components
 from courierlens.llm.shared import saved, valid_vector
 
@@ -79,20 +79,6 @@ def cells(units: np.ndarray, tables: int, lattice_blocks: int, count: int, scale
     return (found * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest node reachable from each of ``n`` nodes over the links a-b."""
-    root = np.arange(n)
-    while len(a):
-        low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
-    return root
-
-
 def _own_pairs(a: np.ndarray, b: np.ndarray, cells_of: np.ndarray, table: int, cell: int) -> tuple[np.ndarray, np.ndarray]:
     """Those pairs that share no cell of an earlier table and no smaller cell of this one."""
     for t in range(table + 1):
@@ -160,7 +146,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.9
         if not len(a):
             return None
         own = block.column("cells").combine_chunks().flatten().to_numpy().reshape(len(node), -1, count)
-        root = _roots(len(node), a, b)
+        root = local_roots(len(node), a, b)
         a, b = _own_pairs(a, b, own, block.column("table")[0].as_py(), block.column("cell")[0].as_py())
         links = np.zeros(len(node), np.int64)
         np.add.at(links, a, n[b])

@@ -4,8 +4,9 @@ Documents are sets of word shingles. Equal sets form a class, represented by its
 key. Representatives are sketched; those that agree in all coordinates of a band share a
 bucket. Within buckets sketches are compared, and pairs that may be similar enough are
 confirmed on their full sets. Since only connectedness is asked for, this is done in two
-rounds: every document is first confirmed with the partner that its sketch resembles most, and
-then only pairs that the first round has not connected are.
+rounds: every document is first confirmed with the partner that its sketch resembles most;
+then the pairs that the first round has not connected are confirmed within their blocks, so
+that a large group of copies that just miss the threshold leaves no pairs behind.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courierlens.llm.blocks import BLOCK_ROWS, blocks, compared
+from courierlens.llm.blocks import BLOCK_ROWS, blocks, compared, local_roots
 from courierlens.llm.components import components
 from courierlens.llm.shared import saved
 from courierlens.llm.sketch import sketch
@@ -87,43 +88,95 @@ def rows_of(df: DataFrame, keys: DataFrame) -> DataFrame:
     return df.join(F.broadcast(keys) if few else keys, "key", "left_semi")
 
 
-def _candidates(rows: DataFrame, coordinates: int, percent: int, best: bool) -> DataFrame:
-    """Pairs of a bucket whose size and sketch allow ``percent``; for ``best`` each node's most similar partner,
-    else all pairs of different components, each in the first bucket that they share."""
-    share = percent / 100
-    least = coordinates * share - DEVIATIONS * (coordinates * share * (1 - share)) ** 0.5
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements a sorted set shares with each of some other non-empty sets."""
+    joined = np.concatenate(others)
+    at = np.searchsorted(one, joined)
+    at[at == len(one)] = 0
+    sizes = np.array([len(x) for x in others])
+    return np.add.reduceat((one[at] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
 
-    def compare(block: pa.Table, across: bool) -> list[np.ndarray] | None:
-        node, n, part, name = (block.column(c).to_numpy() for c in ("node", "n_shingles", "slice", "component"))
-        own = np.frombuffer(b"".join(block.column("coordinates").to_pylist()), np.uint16).reshape(len(node), coordinates)
-        band, found = block.column("band")[0].as_py(), []
+
+class _Block:
+    """The members of a bucket, and which pairs of them have sizes and sketches that allow the threshold."""
+
+    def __init__(self, rows: pa.Table, across: bool, percent: int):
+        coordinates, share = BANDS * BAND_ROWS, percent / 100
+        self.rows, self._across, self._percent = rows, across, percent
+        self.node, self.n, self._part = (rows.column(c).to_numpy() for c in ("node", "n_shingles", "slice"))
+        self._own = np.frombuffer(b"".join(rows.column("coordinates").to_pylist()), np.uint16).reshape(len(self.node), coordinates)
+        self._least = coordinates * share - DEVIATIONS * (coordinates * share * (1 - share)) ** 0.5
+
+    def agreement(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For some rows at a time: which, and in how many coordinates they agree with each row; -1 where that is too few."""
+        node, n = self.node, self.n
         for at in range(0, len(node), 32):
             some = np.arange(at, min(at + 32, len(node)))
-            agree = (own[some][:, None, :] == own[None, :, :]).sum(2)
-            possible = (node[some][:, None] != node) & (100 * np.minimum(n[some][:, None], n) >= percent * np.maximum(n[some][:, None], n)) & (agree >= least)
-            if across:
-                possible &= part[some][:, None] != part
-            if best:
-                agree[~possible] = -1
-                partner = agree.argmax(1)
-                has = agree[np.arange(len(some)), partner] >= 0
-                a, b = some[has], partner[has]
-            else:
-                a, b = np.nonzero(possible & (name[some][:, None] != name) & (some[:, None] < np.arange(len(node))))
-                a = some[a]
-                same = (own[a] == own[b]).reshape(len(a), BANDS, BAND_ROWS).all(2)
-                mine = same.argmax(1) == band
-                a, b = a[mine], b[mine]
-            if len(a):
-                found.append((node[a], node[b]))
-        if not found:
-            return None
+            agree = (self._own[some][:, None, :] == self._own[None, :, :]).sum(2)
+            small, large = np.minimum(n[some][:, None], n), np.maximum(n[some][:, None], n)
+            possible = (node[some][:, None] != node) & (100 * small >= self._percent * large) & (agree >= self._least)
+            if self._across:
+                possible &= self._part[some][:, None] != self._part
+            yield some, np.where(possible, agree, -1)
+
+    def open_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Possible pairs of different components that meet in no earlier band."""
+        name, band = self.rows.column("component").to_numpy(), self.rows.column("band")[0].as_py()
+        found = [(np.empty(0, np.int64),) * 2]
+        for some, agree in self.agreement():
+            a, b = np.nonzero((agree >= 0) & (name[some][:, None] != name) & (some[:, None] < np.arange(len(name))))
+            a = some[a]
+            mine = (self._own[a] == self._own[b]).reshape(len(a), BANDS, BAND_ROWS).all(2).argmax(1) == band
+            found.append((a[mine], b[mine]))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return a, b
+
+
+def _best_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Each node and the possible partner in each of its blocks that its sketch resembles most."""
+
+    def compare(table: pa.Table, across: bool) -> list[np.ndarray] | None:
+        block, found = _Block(table, across, percent), []
+        for some, agree in block.agreement():
+            partner = agree.argmax(1)
+            has = agree[np.arange(len(some)), partner] >= 0
+            found.append((block.node[some[has]], block.node[partner[has]]))
         a, b = (np.concatenate(x) for x in zip(*found))
         return [np.minimum(a, b), np.maximum(a, b)]
 
     return compared(rows, ["bucket"], "node", compare, ["a", "b"]).distinct()
 
 
+def _still_open(rows: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node) of the nodes with possible pairs that are not connected yet."""
+
+    def compare(table: pa.Table, across: bool) -> list[np.ndarray] | None:
+        block = _Block(table, across, percent)
+        some = np.unique(np.concatenate(block.open_pairs()))
+        return [np.full(len(some), table.column("bucket")[0].as_py()), block.node[some]]
+
+    return compared(rows, ["bucket"], "node", compare, ["bucket", "node"]).distinct()
+
+
+def _links_within(rows: DataFrame, percent: int) -> DataFrame:
+    """Links among the pairs that are not connected yet, by their full sets: (a, b) from each node to one it is linked with."""
+
+    def compare(table: pa.Table, across: bool) -> list[np.ndarray] | None:
+        block = _Block(table, across, percent)
+        a, b = block.open_pairs()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+        linked = np.zeros(len(a), bool)
+        order = np.argsort(a, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(a) else ():
+            both = overlaps(sets[a[some[0]]], [sets[i] for i in b[some]])
+            linked[some] = 100 * both >= percent * (block.n[a[some]] + block.n[b[some]] - both)
+        root = local_roots(len(block.node), a[linked], b[linked])
+        some = np.flatnonzero(root != np.arange(len(root)))
+        return [block.node[root[some]], block.node[some]]
+
+    return compared(rows, ["bucket"], "node", compare, ["a", "b"])
+
+
 def similar_texts(df: DataFrame, key: str, text: str, shingle: int = 5, percent: int = 80, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of ``df``: ``key``, n_shingles, component_id, kept.
 
@@ -137,7 +190,7 @@ def similar_texts(df: DataFrame, key: str, text: str, shingle: int = 5, percent:
 
     Equal sets are reduced to one representative with partial aggregates before anything is
     compared. Buckets larger than ``block_rows`` are compared in slices, and what leaves a bucket
-    is one pair per document, then pairs between different components only.
+    is one row per document in either round.
     """
     coordinates = BANDS * BAND_ROWS
     rows = df.select(df[key].cast("long").alias("key"), df[text].cast("string").alias("text"))
@@ -160,18 +213,18 @@ def similar_texts(df: DataFrame, key: str, text: str, shingle: int = 5, percent:
     sets = saved(full_sets(rows_of(rows, keys), shingle), "sets")
     compact = saved(rows_of(nodes.withColumnRenamed("node", "key"), keys).withColumnRenamed("key", "node"), "candidate-sketches")
 
-    def with_names(names: DataFrame | None) -> DataFrame:
-        named = compact.withColumn("component", F.col("node"))
-        if names is not None:
-            of = names.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-            named = compact.join(of, F.col("node") == F.col("_node"), "left").select(*compact.columns, F.coalesce("_component", "node").alias("component"))
-        return members.join(named, "node")
-
-    first = saved(_candidates(with_names(None), coordinates, percent, True).union(two).distinct(), "pairs")
+    first = saved(_best_pairs(members.join(compact, "node"), percent).union(two).distinct(), "pairs")
     links = saved(confirmed(first, sets, percent), "text-links")
-    names = components(links)
-    second = _candidates(with_names(names), coordinates, percent, False).join(first, ["a", "b"], "left_anti")
-    more_links = saved(confirmed(saved(second, "pairs"), sets, percent), "text-links")
+    names = components(links).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    named = saved(compact.join(names, F.col("node") == F.col("_node"), "left")
+                  .select(*compact.columns, F.coalesce("_component", "node").alias("component")), "named-sketches")
+    still = saved(_still_open(members.join(named, "node"), percent), "open-members")
+    # Blocks that hold full sets count a member once per thousand elements.
+    weights = still.join(named.select("node", "n_shingles"), "node").groupBy("bucket").agg(
+        F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n_shingles") / 1000)).alias("held"))
+    again = blocks(more.join(still, ["bucket", "node"], "left_semi"), saved(weights, "open-buckets"), ["bucket"], "node", block_rows)
+    whole = again.join(named, "node").join(sets.select(F.col("key").alias("_key"), "hashes"), F.col("node") == F.col("_key")).drop("_key")
+    more_links = saved(_links_within(whole, percent), "text-links")
     names = components(links.union(more_links)).select(F.col("node").alias("_node"), "component")
 
     named = classes.join(names, F.col("node") == F.col("_node"), "left").select(F.col("set_key").alias("_set"), F.coalesce("component", "node").alias("_name"))
