@@ -84,10 +84,14 @@ def session_counts(sessions: DataFrame, label: str) -> DataFrame:
         F.count("ga_session_id").alias("total_session"))
 
 
-def full_fee_profit(catalog: Catalog, params: Params) -> DataFrame:
-    """Profit rows of restaurant orders in the window whose delivery fee was not cut."""
+def restaurant_profit(catalog: Catalog, params: Params) -> DataFrame:
+    """Profit rows of restaurant orders in the window."""
     p = catalog["order_profit"]
-    rows = p.filter((p.vendor_business_type == params.restaurant_type) & lookback(p.date_local, params)).select(
+    return p.filter((p.vendor_business_type == params.restaurant_type) & lookback(p.date_local, params)).select(
         "date_local", F.hour("expected_delivery_at_local").alias("hour_"), "expected_delivery_at_local",
         "zone_name", "order_code", "gpo_excl_wastage", "ad_rev_per_order", "sub_rev_per_order", "surge_event")
-    return not_in(rows, "order_code", fee_incentivised_codes(catalog, params), "code")
+
+
+def full_fee_profit(catalog: Catalog, params: Params) -> DataFrame:
+    """Those of them whose delivery fee was not cut."""
+    return not_in(restaurant_profit(catalog, params), "order_code", fee_incentivised_codes(catalog, params), "code")

@@ -14,7 +14,7 @@ from courierlens.operators.intervals import attribute_minute, coverage_segments
 from courierlens.operators.joins import stats_join
 from courierlens.operators.spines import minute_spine
 from courierlens.params import Params
-from courierlens.plans.conversion import full_fee_profit, restaurant_sessions, session_counts
+from courierlens.plans.conversion import full_fee_profit, restaurant_profit, restaurant_sessions, session_counts
 from courierlens.plans.dimensions import all_zones
 from courierlens.sources.catalog import Catalog
 
@@ -78,7 +78,7 @@ def shrink_orders(catalog: Catalog, params: Params, spans: DataFrame | None = No
     """
     spans = shrink_spans(catalog, params) if spans is None else spans
     profit = full_fee_profit(catalog, params).drop("surge_event")
-    days = profit.select("zone_name", F.to_date("expected_delivery_at_local").alias("day")).distinct()
+    days = restaurant_profit(catalog, params).select("zone_name", F.to_date("expected_delivery_at_local").alias("day")).distinct()
     named = spans.filter(F.col("zone_name").isNotNull())
     segments = coverage_segments(named.withColumnRenamed("zone_name", "event_zone"), ["event_zone", "shrink_event"],
                                  "first_minute", "last_minute", days=days, on={"event_zone": "zone_name"})
