@@ -1,12 +1,12 @@
 """Near-duplicate texts by MinHash sketches, banding and exact verification.
 
-Documents are sets of word shingles. Equal sets form a class, represented by its smallest
-key. Representatives are sketched; those that agree in all coordinates of a band share a
-bucket. Within buckets sketches are compared, and pairs that may be similar enough are
-confirmed on their full sets. Since only connectedness is asked for, this is done in two
-rounds: every document is first confirmed with the partner that its sketch resembles most;
-then the pairs that the first round has not connected are confirmed within their blocks, so
-that a large group of copies that just miss the threshold leaves no pairs behind.
+Documents are sets of word shingles. Equal sets form a class, which is one node however many rows
+hold it; nodes are numbered in the order of their smallest key. Nodes are sketched; those that
+agree in all coordinates of a band share a bucket. Within buckets sketches are compared, and pairs
+that may be similar enough are confirmed on their full sets. Since only connectedness is asked
+for, this is done in two rounds: every node is first confirmed with the partner that its sketch
+resembles most; then the pairs that the first round has not connected are confirmed within their
+blocks, so that a large group of copies that just miss the threshold leaves no pairs behind.
 """
 
 from __future__ import annotations
@@ -33,6 +33,11 @@ DEVIATIONS = 5.0
 MOST_BROADCAST = 1_000_000
 
 
+def set_digests(sets: list[np.ndarray]) -> pa.Array:
+    """A digest of each whole set, null for an empty one."""
+    return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
+
+
 def sketched(df: DataFrame, shingle: int, coordinates: int) -> DataFrame:
     """Per row of (key, text): key, n_shingles, set_key (a digest of the whole set), coordinates."""
     kind = df.schema["key"].dataType.simpleString()
@@ -43,7 +48,7 @@ def sketched(df: DataFrame, shingle: int, coordinates: int) -> DataFrame:
                 sets = shingle_sets(texts, shingle)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, behind - first), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    set_digests(sets),
                     pa.array([sketch(s, coordinates).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ], ["key", "n_shingles", "set_key", "coordinates"])
 
@@ -51,23 +56,39 @@ def sketched(df: DataFrame, shingle: int, coordinates: int) -> DataFrame:
 
 
 def full_sets(df: DataFrame, shingle: int) -> DataFrame:
-    """Per row of (key, text): key and its set as sorted 64-bit hashes."""
+    """Per row of (key, text): key, set_key and its set as sorted 64-bit hashes."""
     kind = df.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, behind, texts in sliced(batch.column(1).to_pylist()):
-                data = [s.tobytes() for s in shingle_sets(texts, shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, behind - first), pa.array(data, pa.binary())], ["key", "hashes"])
+                sets = shingle_sets(texts, shingle)
+                data = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, behind - first), set_digests(sets), data], ["key", "set_key", "hashes"])
+
+    return df.mapInArrow(run, f"key {kind}, set_key binary, hashes binary")
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """Adds node to rows of (key, set_key): a number of its own for each, in their order."""
+    order = ["key", "set_key"]
+    return saved(classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    return df.mapInArrow(run, f"key {kind}, hashes binary")
+
+def _sets_of(rows: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes), once per node of ``chosen`` (key, set_key, node), from rows of (key, text)."""
+    whole = full_sets(rows_of(rows, saved(chosen.select("key").distinct(), "candidates")), shingle)
+    found = saved(whole.join(chosen, ["key", "set_key"]).select("node", "hashes"), "sets")
+    # Rows that repeat a key and its set; the partial aggregate leaves one of them per task.
+    repeated = found.count() > chosen.count()
+    return saved(found.distinct(), "sets") if repeated else found
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
     kind = pairs.schema["a"].dataType.simpleString()
-    left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("of_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("of_b"))
+    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,16 +209,26 @@ def similar_texts(df: DataFrame, key: str, text: str, shingle: int = 5, percent:
     linked with nothing, has no component and is kept. Rows that repeat a key are each judged by
     their own text. Whole texts count, however long. Other columns are not read.
 
-    Equal sets are reduced to one representative with partial aggregates before anything is
-    compared. Buckets larger than ``block_rows`` are compared in slices, and what leaves a bucket
-    is one row per document in either round.
+    Equal sets are reduced to one node with partial aggregates before anything is compared, so
+    rows that repeat a document are one node, too. Buckets larger than ``block_rows`` are compared
+    in slices, and what leaves a bucket is one row per document in either round.
+    """
+    return judged(df, key, text, shingle, percent, block_rows).drop("set_key", "first")
+
+
+def judged(df: DataFrame, key: str, text: str, shingle: int, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The columns of ``similar_texts``, set_key, and first: whether the row holds its component's first set and key.
+
+    Of a component's sets that belong to its smallest key, the one with the smallest digest is first.
+    Rows that are linked with nothing for want of a key or of words are first.
     """
     coordinates = BANDS * BAND_ROWS
     rows = df.select(df[key].cast("long").alias("key"), df[text].cast("string").alias("text"))
     found = saved(sketched(rows, shingle, coordinates), "sketches")
     usable = found.filter("key is not null and n_shingles > 0")
-    classes = saved(usable.groupBy("set_key").agg(F.min("key").alias("node")), "classes")
-    nodes = usable.join(classes, (usable["set_key"] == classes["set_key"]) & (usable["key"] == classes["node"])).select("node", "n_shingles", "coordinates")
+    classes = _numbered(usable.groupBy("set_key").agg(F.min("key").alias("key")))
+    # Equal rows have equal sketches, so one of them is left per task before the join.
+    nodes = saved(usable.distinct().join(classes, ["set_key", "key"]).select("node", "n_shingles", "coordinates"), "nodes")
 
     width = 2 * BAND_ROWS
     buckets = F.array(*[F.xxhash64(F.substring("coordinates", i * width + 1, width), F.lit(i)) for i in range(BANDS)])
@@ -209,9 +240,10 @@ def similar_texts(df: DataFrame, key: str, text: str, shingle: int = 5, percent:
     more = saved(each.join(shared.filter("held > 2").select("bucket"), "bucket"), "bucket-members")
     members = blocks(more, shared.filter("held > 2"), ["bucket"], "node", block_rows)
 
-    keys = saved(more.select("node").union(two.select("a")).union(two.select("b")).distinct().select(F.col("node").alias("key")), "candidates")
-    sets = saved(full_sets(rows_of(rows, keys), shingle), "sets")
-    compact = saved(rows_of(nodes.withColumnRenamed("node", "key"), keys).withColumnRenamed("key", "node"), "candidate-sketches")
+    among = more.select("node").union(two.select("a")).union(two.select("b")).distinct()
+    chosen = saved(classes.join(among, "node"), "candidate-classes")
+    sets = _sets_of(rows, chosen, shingle)
+    compact = saved(rows_of(nodes.withColumnRenamed("node", "key"), chosen.select(F.col("node").alias("key"))).withColumnRenamed("key", "node"), "candidate-sketches")
 
     first = saved(_best_pairs(members.join(compact, "node"), percent).union(two).distinct(), "pairs")
     links = saved(confirmed(first, sets, percent), "text-links")
@@ -223,11 +255,16 @@ def similar_texts(df: DataFrame, key: str, text: str, shingle: int = 5, percent:
     weights = still.join(named.select("node", "n_shingles"), "node").groupBy("bucket").agg(
         F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n_shingles") / 1000)).alias("held"))
     again = blocks(more.join(still, ["bucket", "node"], "left_semi"), saved(weights, "open-buckets"), ["bucket"], "node", block_rows)
-    whole = again.join(named, "node").join(sets.select(F.col("key").alias("_key"), "hashes"), F.col("node") == F.col("_key")).drop("_key")
+    whole = again.join(named, "node").join(sets.select(F.col("node").alias("_node"), "hashes"), F.col("node") == F.col("_node")).drop("_node")
     more_links = saved(_links_within(whole, percent), "text-links")
     names = components(links.union(more_links)).select(F.col("node").alias("_node"), "component")
 
-    named = classes.join(names, F.col("node") == F.col("_node"), "left").select(F.col("set_key").alias("_set"), F.coalesce("component", "node").alias("_name"))
+    roots = classes.select(F.col("node").alias("_root"), F.col("key").alias("_name"))
+    named = (classes.join(names, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node"))
+             .join(roots, F.col("component") == F.col("_root"))
+             .select(F.col("set_key").alias("_set"), "_name", (F.col("component") == F.col("node")).alias("_is_root")))
     joined = found.join(named, F.col("key").isNotNull() & (F.col("set_key") == F.col("_set")), "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("_name", "key"))
-    return joined.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(component == F.col("key"), F.lit(True))
+    return joined.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), kept.alias("kept"), "set_key",
+                         (kept & F.coalesce("_is_root", F.lit(True))).alias("first"))

@@ -84,6 +84,29 @@ def test_exactly_at_the_threshold(small):
     assert found(minhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", shingle=1)) == want
 
 
+def test_repeated_rows_beside_a_near_copy_are_one_node(small, monkeypatch):
+    spark, _ = small
+    rng = random.Random(8)
+    base = [f"r{i}" for i in range(80)]
+    rows = [(1, " ".join(base))] * 3000 + [(2, edited(rng, base, 1)), (3, edited(rng, base, 1)), (4, "nothing like the others at all")]
+    # Rows that repeat a key and its set, but not its text.
+    rows += [(1, "  ".join(base))] * 500
+    saved, sizes = minhash.saved, Counter()
+
+    def counted(df, name):
+        out = saved(df, name)
+        sizes[name] = max(sizes[name], out.count())
+        if name != "sketches" and name != "sets":
+            assert sizes[name] < 500, name
+        return out
+
+    monkeypatch.setattr(minhash, "saved", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = minhash.similar_texts(df, "doc_id", "text", shingle=4).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(tuple(r) for r in out) == [(1, 1, True, 3500), (2, 1, False, 1), (3, 1, False, 1), (4, 4, True, 1)]
+    assert sizes["nodes"] == 4 and sizes["sets"] == 3502
+
+
 def test_odd_documents_are_grouped(odd_documents):
     rows = minhash.similar_texts(odd_documents, "doc_id", "text", shingle=5).collect()
     by_id = {r["doc_id"]: r for r in rows}
