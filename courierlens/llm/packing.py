@@ -17,8 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courierlens.llm.shared import saved
+
 #: Pieces per group. Enough for bins to close with little room left; one group is one task's work at a time.
 GROUP_PIECES = 4096
+#: Equal pieces are dealt in slices of this part of a group.
+SLICES = 16
 
 
 def attention_cost(capacity: int, per_token: int = 4096, fixed: int = 64) -> float:
@@ -71,24 +75,26 @@ def pack_documents(df: DataFrame, key: str, size: Column, costs: Mapping[int, fl
     its bin. Null keys and repeated rows are documents of their own. No documents, no bins.
 
     Groups are drawn by a hash of key, piece and size, so copies, a hot source or long documents
-    spread over all of them; rows equal in all of these are dealt on by their number among their
-    like, counted in slices. The number of groups grows with the number of pieces, so a group and
-    the memory of its task do not. Only keys and sizes are shuffled, once.
+    spread over all of them; rows equal in all of these are counted by a partial aggregate and dealt
+    in slices of a sixteenth of a group. A slice is one row until its group is packed. The number of groups grows with the number of pieces, so a group and
+    the memory of its task do not. Only keys and sizes are shuffled, twice.
     """
     largest = max(costs)
     rows = df.select(df[key].alias("key"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("total"))
     cut = F.greatest(F.ceil(F.col("total") / largest), F.lit(1))
-    counted = rows.agg(F.sum(cut).alias("n")).first()["n"] or 0
-    groups = max(1, math.ceil(counted / group_pieces))
-    pieces = rows.select("key", "total", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("piece"))
+    alike = saved(rows.groupBy("key", "total").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    counted = alike.agg(F.sum(cut * F.col("n")).alias("n")).first()["n"] or 0
+    groups, most = max(1, math.ceil(counted / group_pieces)), max(1, group_pieces // SLICES)
+    slices = alike.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / most) - 1)))
+    pieces = slices.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
     own = F.least(F.col("total") - F.col("piece") * largest, F.lit(largest))
-    # Repeated rows have one hash: of a hot one, neighbours in a partition go to neighbouring groups.
-    alike = F.when(F.col("key").isNull(), F.monotonically_increasing_id()).otherwise(0)
     dealt = pieces.select("key", "piece", (F.col("piece") * largest).alias("start"), own.alias("size"),
-                          F.pmod(F.xxhash64("key", "piece", "total", alike), F.lit(groups)).alias("pack_group"))
+                          F.pmod(F.xxhash64("key", "piece", "total", "slice"), F.lit(groups)).alias("pack_group"),
+                          F.least(F.col("n") - F.col("slice") * most, F.lit(most)).alias("copies"))
     kind = df.schema[key].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.loc[group.index.repeat(group.pop("copies"))]
         group = group.sort_values(["size", "key", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
         sizes = group["size"].tolist()
         bins, capacities = pack(sizes, costs)

@@ -194,6 +194,20 @@ def check_packed(rows, words):
         assert at == n
 
 
+def test_rows_that_repeat_a_key_are_dealt_to_many_groups(small):
+    spark, _ = small
+    rows = [(7, 30)] * 6000 + [(i, i % 90) for i in range(100, 400)] + [(8, 150)] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, n long").repartition(5)
+    packed = packing.pack_documents(df, "doc_id", F.col("n"), {c: packing.attention_cost(c) for c in (32, 64)}, group_pieces=512).collect()
+    assert Counter(r["doc_id"] for r in packed) == Counter({7: 6000, 8: 6000}) + Counter(i + 0 for i, n in rows[6000:6300] for _ in range(max(1, -(-n // 64))))
+    assert sum(r["size"] for r in packed) == sum(n for _, n in rows)
+    assert max(Counter(r["pack_group"] for r in packed).values()) < 3 * 512
+    filled = Counter()
+    for r in packed:
+        filled[r["pack_group"], r["bin"]] += r["size"]
+    assert all(filled[r["pack_group"], r["bin"]] == r["used"] <= r["capacity"] for r in packed)
+
+
 def test_given_documents_are_packed_whole(small):
     spark, sf_dir = small
     words = {i: len(bytes(t.encode()).split()) for i, t in documents(spark, sf_dir).items()}
