@@ -41,7 +41,7 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Arrow files of equal-length id sequences, read back."""
     documents = table(prepare(spark), sf_dir, "documents")
-    return token_files.token_files(documents, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), END_ID, SEQUENCE_LENGTH)
+    return token_files.token_files(documents, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), END_ID, SEQUENCE_LENGTH, added=True)
 
 
 def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

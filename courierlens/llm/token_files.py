@@ -15,6 +15,7 @@ most an unnamed file behind.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -44,10 +45,12 @@ class LibraryEncoder:
     """Texts to id bytes with the tokenizers library and a byte-level BPE file.
 
     The library's model encodes every piece of the splitting pattern by itself, so pieces seen
-    before are looked up. Strings of special tokens are ordinary text.
+    before are looked up. Strings of the file's added tokens are ordinary text, or with ``added``
+    become these tokens' ids, as the library does by default: texts that may hold one are encoded
+    by the library as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,17 +62,26 @@ class LibraryEncoder:
             found = model.tokenize(piece.encode().decode("latin-1").translate(table))
             return np.array([t.id for t in found], self.kind).tobytes()
 
-        self.ids = LazyMemory(encode).ids
+        self._ordinary = LazyMemory(encode).ids
+        names = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()] if added else []
+        # A normalizer may turn other strings into an added token.
+        everywhere = names and self._tokenizer.normalizer is not None
+        self._added = re.compile("" if everywhere else "|".join(map(re.escape, names))) if names else None
 
+    def ids(self, text: str | None) -> bytes:
+        if text and self._added and self._added.search(text):
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self._ordinary(text)
 
-_encoders: dict[str, LibraryEncoder] = {}
 
+_encoders: dict[tuple[str, bool], LibraryEncoder] = {}
 
-def library_encoder(path: str) -> LibraryEncoder:
-    """One per worker process and tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+
+def library_encoder(path: str, added: bool = False) -> LibraryEncoder:
+    """One per worker process, tokenizer file and way with added tokens."""
+    if (path, added) not in _encoders:
+        _encoders[path, added] = LibraryEncoder(path, added)
+    return _encoders[path, added]
 
 
 def _sequences(kind: np.dtype, length: int) -> pa.Schema:
@@ -212,8 +224,8 @@ def read_token_files(files: DataFrame, folder: str, key_type: str, key: str = "d
     return work.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def token_files(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, length: int = 2048) -> DataFrame:
-    """Writes the token files of a table into a new shared folder and reads them back."""
+def token_files(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, length: int = 2048, added: bool = False) -> DataFrame:
+    """Writes the token files of a table into a new shared folder and reads them back. For ``added`` see LibraryEncoder."""
     folder = new_folder(df.sparkSession, "tokens")
-    files = saved(write_token_files(df, key, text, lambda: library_encoder(tokenizer), end_id, folder, length), "token-file-list")
+    files = saved(write_token_files(df, key, text, lambda: library_encoder(tokenizer, added), end_id, folder, length), "token-file-list")
     return read_token_files(files, folder, df.schema[key].dataType.simpleString(), key)

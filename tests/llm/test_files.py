@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from compare import connect, differences
-from courierlens.llm import bpe, packing, sharding, token_files, warc
+from courierlens.llm import bpe, packing, queries, sharding, token_files, warc
 from courierlens.llm.pieces import PATTERN, LazyMemory, pieces, slices
 from courierlens.llm.queries import END_ID, QUERIES, SEQUENCE_COSTS, SQL
 from courierlens.llm.shared import global_rank, new_folder
@@ -90,6 +90,17 @@ def test_token_files_of_odd_and_no_documents(odd_documents):
     assert token_files.token_files(odd_documents.limit(0), "doc_id", "text", LIBRARY, END_ID).collect() == []
 
 
+def test_added_tokens_get_the_ids_of_the_unmodified_library(small, monkeypatch):
+    spark, _ = small
+    texts = dict(enumerate([*odd_texts(200), "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "plain"]))
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    tokenizer = Tokenizer.from_file(LIBRARY)
+    monkeypatch.setitem(globals(), "library", lambda: lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
+    check_tokens(QUERIES["op3_token_files"](spark, "").collect(), texts)
+    assert 50256 in tokenizer.encode(texts[200], add_special_tokens=False).ids
+
+
 # Byte-level BPE
 
 def test_ids_and_bytes_of_the_given_documents(small):
