@@ -1,24 +1,30 @@
-"""Quality filter by importance weights of hashed n-grams, and importance resampling.
+"""Quality filter by hashed n-grams, and importance resampling.
 
-Two generative models are counted over hashed n-grams: one of the target (documents labelled
-good) and one of all raw documents. A document's log weight is the log ratio of the two. It has
-two parts, both independent of length:
+Generative models are counted over hashed n-grams: of the target (documents labelled good) and of
+all raw documents. N-grams are words, pairs of words, and windows of six bytes at every character
+(six letters of Latin script, three of Cyrillic, two of Chinese). A document's log weight is
+log p(target) - log p(raw): over all its n-grams, each as often as it occurs, the sum of the log
+ratios of their smoothed probabilities, which may have either sign. Each kind of n-grams is a
+model of its own, and the three ratios are multiplied.
 
-- of the first four, six and eight bytes of words, presence per document. An n-gram counts
-  against a document if the target has it less often than raw text does, even at the upper
-  bound of what the target's count may be by chance. N-grams too rare to tell count nothing.
+Whether a document is accepted is told by another number, its score. It has two parts, both
+independent of length:
+
+- of the same n-grams, presence per document. An n-gram counts against a document if the target
+  has it less often than raw text does, even at the upper bound of what the target's count may be
+  by chance. N-grams too rare to tell count nothing.
 - of pairs of word shapes (case, digits, punctuation, repetition of the word before), the mean
   log ratio over the document, times a factor.
 
-A document is accepted if its log weight reaches the threshold that separates labelled
-documents best. Importance resampling draws documents without replacement in proportion to
-their weights: the k with the largest log weight plus Gumbel noise.
+A document is accepted if its score reaches the threshold that separates labelled documents best.
+Importance resampling draws documents without replacement in proportion to their weights: the k
+with the largest log weight plus Gumbel noise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +33,11 @@ from pyspark.sql import functions as F
 
 from courierlens.llm.shared import global_rank, saved
 from courierlens.llm.sharding import unit
-from courierlens.llm.words import sliced, word_forms
+from courierlens.llm.words import runs, sliced, word_forms
 
-#: Lengths of the n-grams at the start of words, buckets of each length (a power of two) and shapes of words.
-HEADS = (4, 6, 8)
-HEAD_BITS = 18
+#: Bytes of a window, buckets of each kind of n-grams (a power of two) and shapes of words.
+WINDOW = 6
+GRAM_BITS = 18
 SHAPES = 64
 #: Labelled rows that the target model and the threshold are fitted on, drawn by a hash of their id.
 LABELLED_ROWS = 30_000
@@ -40,79 +46,121 @@ SHAPE_FACTOR = 10.0
 #: How much keeping good documents counts against finding bad ones when the threshold is chosen.
 KEEP = 10.0
 
-_SHAPES_FROM = len(HEADS) << HEAD_BITS
+_KINDS = 3
+_SHAPES_FROM = _KINDS << GRAM_BITS
 _BUCKETS = _SHAPES_FROM + SHAPES * SHAPES
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word n-grams, each once per text, and pairs of shapes: buckets and the text of each."""
-    heads, shapes, firsts = word_forms(texts, HEADS)
-    owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
-    shift = np.uint64(64 - HEAD_BITS)
-    buckets = np.concatenate([(h >> shift).astype(np.int64) + (i << HEAD_BITS) for i, h in enumerate(heads)])
-    once = np.unique(np.tile(owner, len(HEADS)) * _SHAPES_FROM + buckets)
+def _once(buckets: np.ndarray, firsts: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """True for one occurrence of each bucket in each text. ``place`` is room for a number per bucket."""
+    found = np.empty(len(buckets), bool)
+    numbers = np.arange(len(buckets), dtype=np.int32)
+    for first, behind in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
+        some, own = buckets[first:behind], numbers[first:behind]
+        place[some] = own
+        found[first:behind] = place[some] == own
+    return found
+
+
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams, all that occur: buckets, the text of each, and true for one of each in its text. Pairs of shapes: buckets and texts."""
+    words, shapes, firsts, windows, window_firsts = word_forms(texts, WINDOW)
+    numbers = np.arange(len(texts))
+    owner = np.repeat(numbers, np.diff(firsts))
+    within = owner[1:] == owner[:-1]
+    pair_firsts = np.concatenate([[0], np.cumsum(np.maximum(np.diff(firsts) - 1, 0))])
+    kinds = [(words, owner, firsts), (runs(words, 2)[within], owner[1:][within], pair_firsts),
+             (windows, np.repeat(numbers, np.diff(window_firsts)), window_firsts)]
+    shift, place = np.uint64(64 - GRAM_BITS), np.zeros(1 << GRAM_BITS, np.int32)
+    small = [(h >> shift).astype(np.int64) for h, _, _ in kinds]
+    once = np.concatenate([_once(b, f, place) for b, (_, _, f) in zip(small, kinds)])
+    grams = np.concatenate([b + (i << GRAM_BITS) for i, b in enumerate(small)])
     before = np.full(len(shapes), SHAPES - 1)
-    before[1:] = np.where(owner[1:] == owner[:-1], shapes[:-1], SHAPES - 1)
-    return once % _SHAPES_FROM, once // _SHAPES_FROM, _SHAPES_FROM + before * SHAPES + shapes, owner
+    before[1:] = np.where(within, shapes[:-1], SHAPES - 1)
+    return grams, np.concatenate([o for _, o, _ in kinds]), once, _SHAPES_FROM + before * SHAPES + shapes, owner
 
 
 def counts(df: DataFrame) -> DataFrame:
-    """(good, bucket, n) over rows of (good, text), with the number of texts as bucket -1."""
+    """(bucket, n, texts) over rows of (text): how often a bucket occurs and, of n-grams, in how many texts. Bucket -1 has the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, _BUCKETS), np.int64)
-        rows = np.zeros(2, np.int64)
+        total, holding, rows = np.zeros(_BUCKETS, np.int64), np.zeros(_BUCKETS, np.int64), 0
         for batch in batches:
-            good = np.array(batch.column(0).to_pylist(), np.int64)
-            for first, behind, texts in sliced(batch.column(1).to_pylist()):
-                mine = good[first:behind]
-                rows += np.bincount(mine, minlength=2)
-                once, of_once, pairs, of_pairs = features(texts)
-                for g in np.unique(mine):
-                    total[g] += np.bincount(np.concatenate([once[mine[of_once] == g], pairs[mine[of_pairs] == g]]), minlength=_BUCKETS)
-        for g in (0, 1):
-            some = np.flatnonzero(total[g])
-            for at in range(0, len(some), 50_000):
-                part = some[at:at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), g)), pa.array(part), pa.array(total[g][part])], ["good", "bucket", "n"])
-            if rows[g]:
-                yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([-1]), pa.array([rows[g]])], ["good", "bucket", "n"])
-
-    return df.mapInArrow(run, "good long, bucket long, n long").groupBy("good", "bucket").agg(F.sum("n").alias("n"))
+            rows += batch.num_rows
+            for _, _, texts in sliced(batch.column(0).to_pylist()):
+                grams, _, once, pairs, _ = features(texts)
+                total += np.bincount(grams, minlength=_BUCKETS)
+                total += np.bincount(pairs, minlength=_BUCKETS)
+                holding += np.bincount(grams[once], minlength=_BUCKETS)
+        some = np.flatnonzero(total)
+        names = ["bucket", "n", "texts"]
+        for at in range(0, len(some), 50_000):
+            part = some[at:at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part]), pa.array(holding[part])], names)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([rows]), pa.array([rows])], names)
+
+    return df.mapInArrow(run, "bucket long, n long, texts long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
 @dataclass(frozen=True)
 class WeightModel:
-    """Log ratio per bucket, of fixed size, and the least log weight that is accepted."""
+    """Per bucket the log ratio and the penalty (of shapes: their part of the score), of fixed size, and the least score that is accepted."""
 
     ratios: np.ndarray
+    penalties: np.ndarray
     threshold: float
 
-    def weights(self, texts: list[bytes]) -> np.ndarray:
-        once, of_once, pairs, of_pairs = features(texts)
-        words = np.bincount(of_once, self.ratios[once], len(texts))
-        shapes = np.bincount(of_pairs, self.ratios[pairs], len(texts)) / np.maximum(np.bincount(of_pairs, minlength=len(texts)), 1)
-        return words + SHAPE_FACTOR * shapes
+    def weights(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Log weights and scores."""
+        grams, of_grams, once, pairs, of_pairs = features(texts)
+        weight = np.bincount(of_grams, self.ratios[grams], len(texts))
+        words = np.bincount(of_grams[once], self.penalties[grams[once]], len(texts))
+        shapes = np.bincount(of_pairs, self.penalties[pairs], len(texts)) / np.maximum(np.bincount(of_pairs, minlength=len(texts)), 1)
+        return weight, words + SHAPE_FACTOR * shapes
+
+
+@dataclass(frozen=True)
+class Counted:
+    """How often each bucket occurs, in how many texts, and the number of texts."""
+
+    n: np.ndarray
+    texts: np.ndarray
+    rows: int
+
+
+def _dense(counted: DataFrame) -> Counted:
+    n, texts, rows = np.zeros(_BUCKETS), np.zeros(_BUCKETS), 0
+    for batch in counted.select("bucket", "n", "texts").toArrow().to_batches():
+        bucket, some, holding = (c.to_numpy() for c in batch.columns)
+        n[bucket[bucket >= 0]] = some[bucket >= 0]
+        texts[bucket[bucket >= 0]] = holding[bucket >= 0]
+        rows += int(some[bucket < 0].sum())
+    return Counted(n, texts, rows)
+
 
+def log_ratios(target: Counted, raw: Counted) -> np.ndarray:
+    """Per bucket log p(target) - log p(raw), each kind of n-grams by itself.
 
-def _dense(counted: DataFrame, good: int) -> tuple[np.ndarray, int]:
-    table, rows = np.zeros(_BUCKETS), 0
-    for batch in counted.filter(F.col("good") == good).select("bucket", "n").toArrow().to_batches():
-        bucket, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        table[bucket[bucket >= 0]] = n[bucket >= 0]
-        rows += int(n[bucket < 0].sum())
-    return table, rows
+    Both are smoothed by the same number per bucket: one occurrence in a text as long as the target.
+    """
+    found = np.zeros(_BUCKETS)
+    for kind in range(_KINDS):
+        own = slice(kind << GRAM_BITS, (kind + 1) << GRAM_BITS)
+        expected = raw.n[own] * (target.n[own].sum() / max(raw.n[own].sum(), 1))
+        found[own] = np.log((target.n[own] + 1) / (expected + 1))
+    return found
 
 
-def log_ratios(target: np.ndarray, target_rows: int, raw: np.ndarray, raw_rows: int) -> np.ndarray:
-    """Per bucket the log of target over raw; see the module's text for the two parts."""
-    heads, shapes = slice(0, _SHAPES_FROM), slice(_SHAPES_FROM, None)
+def penalties(target: Counted, raw: Counted) -> np.ndarray:
+    """Per bucket its part of the score; see the module's text for the two parts."""
+    grams, shapes = slice(0, _SHAPES_FROM), slice(_SHAPES_FROM, None)
     found = np.zeros(_BUCKETS)
-    expected = raw[heads] * (target_rows / max(raw_rows, 1))
-    at_most = target[heads] + 8 * np.sqrt(target[heads]) + 4
-    found[heads] = np.minimum(0, np.log(at_most / np.maximum(expected, 1e-9)))
-    expected = raw[shapes] * (target[shapes].sum() / max(raw[shapes].sum(), 1))
-    found[shapes] = np.log((target[shapes] + 1) / (expected + 1))
+    expected = raw.texts[grams] * (target.rows / max(raw.rows, 1))
+    at_most = target.texts[grams] + 8 * np.sqrt(target.texts[grams]) + 4
+    found[grams] = np.minimum(0, np.log(at_most / np.maximum(expected, 1e-9)))
+    expected = raw.n[shapes] * (target.n[shapes].sum() / max(raw.n[shapes].sum(), 1))
+    found[shapes] = np.log((target.n[shapes] + 1) / (expected + 1))
     return found
 
 
@@ -140,26 +188,26 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str,
     drawn = drawn.filter(F.col("of").isNotNull() & (F.pmod(F.xxhash64("of"), F.lit(1_000_000)) < share * 1_000_000))
     # About labelled_rows rows of two numbers, so every task can have them.
     labelled = saved(texts.join(F.broadcast(drawn), F.col("key") == F.col("of")).select("good", "text"), "labelled")
-    target, target_rows = _dense(counts(labelled.filter("good = 1")), 1)
-    if not target_rows:
-        return WeightModel(np.zeros(_BUCKETS), float("-inf"))
-    raw, raw_rows = _dense(counts(texts.select(F.lit(0).cast("long").alias("good"), "text")), 0)
-    model = WeightModel(log_ratios(target, target_rows, raw, raw_rows), float("-inf"))
-    scored = weigh(labelled, "text", model, "weight").select("good", "weight").toArrow()
-    is_good, weight = scored.column("good").to_numpy() == 1, scored.column("weight").to_numpy()
-    return WeightModel(model.ratios, best_threshold(weight[is_good], weight[~is_good]))
-
-
-def weigh(df: DataFrame, text: str, model: WeightModel, name: str) -> DataFrame:
-    """All columns of ``df`` and each row's log weight. A null text or one without words weighs 0. No shuffle."""
-    schema = df.select("*", F.lit(0.0).alias(name)).schema
+    target = _dense(counts(labelled.filter("good = 1").select("text")))
+    if not target.rows:
+        return WeightModel(np.zeros(_BUCKETS), np.zeros(_BUCKETS), float("-inf"))
+    raw = _dense(counts(texts.select("text")))
+    model = WeightModel(log_ratios(target, raw), penalties(target, raw), float("-inf"))
+    scored = weigh(labelled, "text", model, "weight", "score").select("good", "score").toArrow()
+    is_good, score = scored.column("good").to_numpy() == 1, scored.column("score").to_numpy()
+    return replace(model, threshold=best_threshold(score[is_good], score[~is_good]))
+
+
+def weigh(df: DataFrame, text: str, model: WeightModel, weight: str, score: str) -> DataFrame:
+    """All columns of ``df`` and each row's log weight and score. A null text or one without words has 0 in both. No shuffle."""
+    schema = df.select("*", F.lit(0.0).alias(weight), F.lit(0.0).alias(score)).schema
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, behind, texts in sliced(batch.column(at).cast(pa.string()).to_pylist()):
                 part = batch.slice(first, behind - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.weights(texts))], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, model.weights(texts))], schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -188,8 +236,8 @@ def select_quality(df: DataFrame, key: str, text: str, labels: DataFrame, label_
     """
     model = fit(df, key, text, labels, label_key, good)
     rows = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
-    weighed = saved(weigh(rows, "text", model, "log_weight").select("key", "log_weight"), "weights")
-    accepted = F.col("log_weight") >= model.threshold
-    k = int(share * weighed.filter(accepted).count())
+    accepted = (F.col("score") >= model.threshold).alias("accepted")
+    weighed = saved(weigh(rows, "text", model, "log_weight", "score").select("key", "log_weight", accepted), "weights")
+    k = int(share * weighed.filter("accepted").count())
     drawn = resample(weighed, "key", "log_weight", k)
-    return drawn.select(F.col("key").alias(key), "log_weight", accepted.alias("accepted"), "sample_key", "sampled")
+    return drawn.select(F.col("key").alias(key), "log_weight", "accepted", "sample_key", "sampled")

@@ -28,10 +28,10 @@ def keep_known_language(docs: DataFrame, key: str, text: str, lang: str, least:
 
 
 def keep_good_quality(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, good: Column) -> DataFrame:
-    """Documents whose importance weight reaches the threshold fitted on the labelled ones among them."""
+    """Documents whose score reaches the threshold fitted on the labelled ones among them."""
     model = quality.fit(docs, key, text, labels, label_key, good)
-    name = fresh(docs.columns, "log_weight")
-    return quality.weigh(docs, text, model, name).filter(F.col(name) >= model.threshold).select(*docs.columns)
+    names = [fresh(docs.columns, "log_weight"), fresh(docs.columns, "score")]
+    return quality.weigh(docs, text, model, *names).filter(F.col(names[1]) >= model.threshold).select(*docs.columns)
 
 
 def keep_one_of_similar(docs: DataFrame, key: str, text: str, shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -73,12 +73,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 _KINDS = np.array([1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if 32 < b < 127 and not 97 <= b <= 122 else 0 for b in range(256)])
 
 
-def word_forms(texts: list[bytes], heads: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Per word the hashes of its first bytes, so many as ``heads`` say, and its shape; where texts begin.
+def word_forms(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and shapes of all words, where each text's words begin, and hashes of ``window`` bytes and where each text's begin.
 
-    The shape, a number below 64, says if the word starts in upper case, if it has more than one
+    A shape, a number below 64, says if the word starts in upper case, if it has more than one
     capital and more than small letters, if it has digits, if it has no, one or several other
-    characters, and if it repeats the word before it.
+    characters, and if it repeats the word before it. Windows, of at most eight bytes, begin at
+    every character but white space that has so many bytes of its text from there on.
     """
     data, plain, begin, end = _words(texts)
     firsts = _firsts(texts, begin)
@@ -86,11 +87,20 @@ def word_forms(texts: list[bytes], heads: tuple[int, ...]) -> tuple[list[np.ndar
     upper, digit, other = (np.concatenate([[0], np.cumsum(kinds == k)]) for k in (1, 2, 3))
     n_upper, n_digit, n_other = (c[end] - c[begin] for c in (upper, digit, other))
     loud = (n_upper > 1) & (2 * n_upper > (end - begin) - n_digit - n_other)
-    words, *cut = _hashes(data, begin, [end, *[np.minimum(begin + n, end) for n in heads]])
+    words = _hashes(data, begin, [end])[0]
     again = np.zeros(len(words), bool)
     again[1:] = words[1:] == words[:-1]
     again[firsts[:-1][firsts[:-1] < len(words)]] = False
-    return cut, (kinds[begin] == 1) * 1 + loud * 2 + (n_digit > 0) * 4 + np.minimum(n_other, 2) * 8 + again * 32, firsts
+    shapes = (kinds[begin] == 1) * 1 + loud * 2 + (n_digit > 0) * 4 + np.minimum(n_other, 2) * 8 + again * 32
+    edges = np.concatenate([[0], np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))]) + 1
+    starts = ~_SPACE[data] & ((data & 0xC0) != 0x80)
+    for back in range(1, window):
+        starts[np.maximum(edges[1:] - 1 - back, 0)] = False
+    at = np.flatnonzero(starts)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data), "<u8", padded, strides=(1,))
+    windows = mix(eight[at] & np.uint64((1 << 8 * window) - 1))
+    return words, shapes, firsts, windows, np.searchsorted(at, edges)
 
 
 def runs(words: np.ndarray, length: int) -> np.ndarray:

@@ -198,6 +198,29 @@ def test_junk_and_insults_weigh_less_than_clean_text(small):
     assert {r["doc_id"] for r in drawn} == {r["doc_id"] for r in rows if r["sampled"]}
 
 
+def test_log_weights_are_the_literal_ratio_of_both_models(small):
+    """Words, pairs of words and windows of six bytes, each kind a smoothed model of its own; evidence of either sign."""
+    spark, _ = small
+    rng = random.Random(4)
+    good, bad = [f"fine{i}" for i in range(30)], [f"poor{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(good if i % 2 else bad, k=40)) + " été 語語語語") for i in range(80)] + [(80, None), (81, "  \n      "), (82, "ab")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    weight = {r["doc_id"]: r["log_weight"] for r in quality.select_quality(df, "doc_id", "text", labels, "doc_id", good_label()).collect()}
+
+    def kinds(text):
+        data = (text or "").encode()
+        words = data.split()
+        starts = [i for i in range(len(data) - 5) if data[i:i + 1].strip() and data[i] & 0xC0 != 0x80]
+        return [words, list(zip(words, words[1:])), [data[i:i + 6] for i in starts]]
+
+    raw, target = ([Counter(g for i, t in rows if drawn(i) for g in kinds(t)[k]) for k in range(3)] for drawn in (lambda i: True, lambda i: i < 40 and i % 2))
+    want = {i: sum(np.log((target[k][g] + 1) / (raw[k][g] * sum(target[k].values()) / sum(raw[k].values()) + 1)) for k in range(3) for g in kinds(t)[k]) for i, t in rows}
+    # Few of the 262,144 buckets of a kind are shared by two n-grams.
+    assert all(abs(weight[i] - want[i]) < 0.5 + 0.02 * abs(want[i]) for i in want)
+    assert weight[80] == weight[81] == 0 and min(weight[i] for i in range(1, 80, 2)) > 0 > max(weight[i] for i in range(0, 80, 2))
+
+
 def test_resampling_follows_the_weights(small):
     spark, _ = small
     df = spark.range(20000).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, F.log(F.lit(3.0))).otherwise(0.0).alias("w"))
