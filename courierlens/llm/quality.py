@@ -10,9 +10,10 @@ model of its own, and the three ratios are multiplied.
 Whether a document is accepted is told by another number, its score. It has two parts, both
 independent of length:
 
-- of the same n-grams, presence per document. An n-gram counts against a document if the target
-  has it less often than raw text does, even at the upper bound of what the target's count may be
-  by chance. N-grams too rare to tell count nothing.
+- of words, of their first four, six and eight bytes, and of windows that begin beyond ASCII,
+  presence per document. One of them counts against a document if the target has it less often
+  than raw text does, even at the upper bound of what the target's count may be by chance. Those
+  too rare to tell count nothing.
 - of pairs of word shapes (case, digits, punctuation, repetition of the word before), the mean
   log ratio over the document, times a factor.
 
@@ -35,7 +36,8 @@ from courierlens.llm.shared import global_rank, saved
 from courierlens.llm.sharding import unit
 from courierlens.llm.words import runs, sliced, word_forms
 
-#: Bytes of a window, buckets of each kind of n-grams (a power of two) and shapes of words.
+#: Lengths of the n-grams at the start of words, bytes of a window, buckets of each kind of n-grams (a power of two) and shapes of words.
+HEADS = (4, 6, 8)
 WINDOW = 6
 GRAM_BITS = 18
 SHAPES = 64
@@ -46,8 +48,10 @@ SHAPE_FACTOR = 10.0
 #: How much keeping good documents counts against finding bad ones when the threshold is chosen.
 KEEP = 10.0
 
-_KINDS = 3
-_SHAPES_FROM = _KINDS << GRAM_BITS
+#: Kinds that are counted as often as they occur, and kinds of which presence in a text counts.
+_KINDS, _HELD = 3, 2 + len(HEADS)
+_HELD_FROM = _KINDS << GRAM_BITS
+_SHAPES_FROM = (_KINDS + _HELD) << GRAM_BITS
 _BUCKETS = _SHAPES_FROM + SHAPES * SHAPES
 
 
@@ -62,45 +66,42 @@ def _once(buckets: np.ndarray, firsts: np.ndarray, place: np.ndarray) -> np.ndar
     return found
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """N-grams, all that occur: buckets, the text of each, and true for one of each in its text. Pairs of shapes: buckets and texts."""
-    words, shapes, firsts, windows, window_firsts = word_forms(texts, WINDOW)
+def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and the text of each: of n-grams, all that occur; of what counts once per text; of pairs of shapes."""
+    (words, *heads), shapes, firsts, windows, window_firsts, wide = word_forms(texts, HEADS, WINDOW)
     numbers = np.arange(len(texts))
-    owner = np.repeat(numbers, np.diff(firsts))
+    owner, of_window = np.repeat(numbers, np.diff(firsts)), np.repeat(numbers, np.diff(window_firsts))
     within = owner[1:] == owner[:-1]
-    pair_firsts = np.concatenate([[0], np.cumsum(np.maximum(np.diff(firsts) - 1, 0))])
-    kinds = [(words, owner, firsts), (runs(words, 2)[within], owner[1:][within], pair_firsts),
-             (windows, np.repeat(numbers, np.diff(window_firsts)), window_firsts)]
     shift, place = np.uint64(64 - GRAM_BITS), np.zeros(1 << GRAM_BITS, np.int32)
-    small = [(h >> shift).astype(np.int64) for h, _, _ in kinds]
-    once = np.concatenate([_once(b, f, place) for b, (_, _, f) in zip(small, kinds)])
-    grams = np.concatenate([b + (i << GRAM_BITS) for i, b in enumerate(small)])
+    small = [(h >> shift).astype(np.int64) for h in (words, runs(words, 2)[within], windows, *heads)]
+    grams = np.concatenate([b + (i << GRAM_BITS) for i, b in enumerate(small[:_KINDS])])
+    wide_firsts = np.concatenate([[0], np.cumsum(np.bincount(of_window[wide], minlength=len(texts)))])
+    held = [(small[0], owner, firsts), (small[2][wide], of_window[wide], wide_firsts), *[(b, owner, firsts) for b in small[_KINDS:]]]
+    once = [_once(b, f, place) for b, _, f in held]
+    holding = np.concatenate([b[o] + ((_KINDS + i) << GRAM_BITS) for i, ((b, _, _), o) in enumerate(zip(held, once))])
+    of_holding = np.concatenate([t[o] for (_, t, _), o in zip(held, once)])
     before = np.full(len(shapes), SHAPES - 1)
     before[1:] = np.where(within, shapes[:-1], SHAPES - 1)
-    return grams, np.concatenate([o for _, o, _ in kinds]), once, _SHAPES_FROM + before * SHAPES + shapes, owner
+    return [(grams, np.concatenate([owner, owner[1:][within], of_window])), (holding, of_holding), (_SHAPES_FROM + before * SHAPES + shapes, owner)]
 
 
 def counts(df: DataFrame) -> DataFrame:
-    """(bucket, n, texts) over rows of (text): how often a bucket occurs and, of n-grams, in how many texts. Bucket -1 has the number of texts."""
+    """(bucket, n) over rows of (text), with the number of texts as bucket -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, holding, rows = np.zeros(_BUCKETS, np.int64), np.zeros(_BUCKETS, np.int64), 0
+        total, rows = np.zeros(_BUCKETS, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for _, _, texts in sliced(batch.column(0).to_pylist()):
-                grams, _, once, pairs, _ = features(texts)
-                total += np.bincount(grams, minlength=_BUCKETS)
-                total += np.bincount(pairs, minlength=_BUCKETS)
-                holding += np.bincount(grams[once], minlength=_BUCKETS)
+                total += np.bincount(np.concatenate([b for b, _ in features(texts)]), minlength=_BUCKETS)
         some = np.flatnonzero(total)
-        names = ["bucket", "n", "texts"]
         for at in range(0, len(some), 50_000):
             part = some[at:at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part]), pa.array(holding[part])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["bucket", "n"])
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([rows]), pa.array([rows])], names)
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([rows])], ["bucket", "n"])
 
-    return df.mapInArrow(run, "bucket long, n long, texts long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    return df.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -113,30 +114,28 @@ class WeightModel:
 
     def weights(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Log weights and scores."""
-        grams, of_grams, once, pairs, of_pairs = features(texts)
+        (grams, of_grams), (held, of_held), (pairs, of_pairs) = features(texts)
         weight = np.bincount(of_grams, self.ratios[grams], len(texts))
-        words = np.bincount(of_grams[once], self.penalties[grams[once]], len(texts))
+        words = np.bincount(of_held, self.penalties[held], len(texts))
         shapes = np.bincount(of_pairs, self.penalties[pairs], len(texts)) / np.maximum(np.bincount(of_pairs, minlength=len(texts)), 1)
         return weight, words + SHAPE_FACTOR * shapes
 
 
 @dataclass(frozen=True)
 class Counted:
-    """How often each bucket occurs, in how many texts, and the number of texts."""
+    """The count of each bucket, and the number of texts."""
 
     n: np.ndarray
-    texts: np.ndarray
     rows: int
 
 
 def _dense(counted: DataFrame) -> Counted:
-    n, texts, rows = np.zeros(_BUCKETS), np.zeros(_BUCKETS), 0
-    for batch in counted.select("bucket", "n", "texts").toArrow().to_batches():
-        bucket, some, holding = (c.to_numpy() for c in batch.columns)
-        n[bucket[bucket >= 0]] = some[bucket >= 0]
-        texts[bucket[bucket >= 0]] = holding[bucket >= 0]
-        rows += int(some[bucket < 0].sum())
-    return Counted(n, texts, rows)
+    table, rows = np.zeros(_BUCKETS), 0
+    for batch in counted.select("bucket", "n").toArrow().to_batches():
+        bucket, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        table[bucket[bucket >= 0]] = n[bucket >= 0]
+        rows += int(n[bucket < 0].sum())
+    return Counted(table, rows)
 
 
 def log_ratios(target: Counted, raw: Counted) -> np.ndarray:
@@ -154,11 +153,11 @@ def log_ratios(target: Counted, raw: Counted) -> np.ndarray:
 
 def penalties(target: Counted, raw: Counted) -> np.ndarray:
     """Per bucket its part of the score; see the module's text for the two parts."""
-    grams, shapes = slice(0, _SHAPES_FROM), slice(_SHAPES_FROM, None)
+    held, shapes = slice(_HELD_FROM, _SHAPES_FROM), slice(_SHAPES_FROM, None)
     found = np.zeros(_BUCKETS)
-    expected = raw.texts[grams] * (target.rows / max(raw.rows, 1))
-    at_most = target.texts[grams] + 8 * np.sqrt(target.texts[grams]) + 4
-    found[grams] = np.minimum(0, np.log(at_most / np.maximum(expected, 1e-9)))
+    expected = raw.n[held] * (target.rows / max(raw.rows, 1))
+    at_most = target.n[held] + 8 * np.sqrt(target.n[held]) + 4
+    found[held] = np.minimum(0, np.log(at_most / np.maximum(expected, 1e-9)))
     expected = raw.n[shapes] * (target.n[shapes].sum() / max(raw.n[shapes].sum(), 1))
     found[shapes] = np.log((target.n[shapes] + 1) / (expected + 1))
     return found

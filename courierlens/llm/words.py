@@ -73,8 +73,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 _KINDS = np.array([1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if 32 < b < 127 and not 97 <= b <= 122 else 0 for b in range(256)])
 
 
-def word_forms(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and shapes of all words, where each text's words begin, and hashes of ``window`` bytes and where each text's begin.
+def word_forms(texts: list[bytes], heads: tuple[int, ...], window: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words and of their first bytes, so many as ``heads`` say, shapes, and where each text's words begin;
+    hashes of ``window`` bytes, where each text's begin, and which begin beyond ASCII.
 
     A shape, a number below 64, says if the word starts in upper case, if it has more than one
     capital and more than small letters, if it has digits, if it has no, one or several other
@@ -87,7 +88,8 @@ def word_forms(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
     upper, digit, other = (np.concatenate([[0], np.cumsum(kinds == k)]) for k in (1, 2, 3))
     n_upper, n_digit, n_other = (c[end] - c[begin] for c in (upper, digit, other))
     loud = (n_upper > 1) & (2 * n_upper > (end - begin) - n_digit - n_other)
-    words = _hashes(data, begin, [end])[0]
+    cut = _hashes(data, begin, [end, *[np.minimum(begin + n, end) for n in heads]])
+    words = cut[0]
     again = np.zeros(len(words), bool)
     again[1:] = words[1:] == words[:-1]
     again[firsts[:-1][firsts[:-1] < len(words)]] = False
@@ -100,7 +102,7 @@ def word_forms(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray(len(data), "<u8", padded, strides=(1,))
     windows = mix(eight[at] & np.uint64((1 << 8 * window) - 1))
-    return words, shapes, firsts, windows, np.searchsorted(at, edges)
+    return cut, shapes, firsts, windows, np.searchsorted(at, edges), data[at] >= 0x80
 
 
 def runs(words: np.ndarray, length: int) -> np.ndarray:

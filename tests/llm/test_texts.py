@@ -221,6 +221,19 @@ def test_log_weights_are_the_literal_ratio_of_both_models(small):
     assert weight[80] == weight[81] == 0 and min(weight[i] for i in range(1, 80, 2)) > 0 > max(weight[i] for i in range(0, 80, 2))
 
 
+def test_what_stands_behind_the_eighth_byte_counts(small):
+    spark, _ = small
+    rng = random.Random(9)
+    letters, cyrillic = [chr(c) for c in range(0x4E00, 0x4E60)], "абвгдежз"
+    clean = ["".join(rng.choices(letters, k=60)) for _ in range(400)]
+    rows = [(i, t if i % 4 else t[:30] + "罵罵罵" + t[30:]) for i, t in enumerate(clean)]
+    rows += [(1000 + i, "".join(rng.choices(cyrillic, k=9)) + " прекрасн" + ("ый" if i % 4 else "уккк")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, 0 if i % 4 else 1) for i, _ in rows if i % 8 < 5], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = quality.select_quality(df, "doc_id", "text", labels, "doc_id", good_label()).collect()
+    assert all(r["accepted"] == (r["doc_id"] % 4 != 0) for r in out)
+
+
 def test_resampling_follows_the_weights(small):
     spark, _ = small
     df = spark.range(20000).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, F.log(F.lit(3.0))).otherwise(0.0).alias("w"))
