@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courierlens.llm import bpe, language, lattice, minhash, multi_index, packing, quality, sharding, token_files, warc
+from courierlens.llm import bpe, exact, language, lattice, merkle, minhash, multi_index, packing, quality, sharding, token_files, warc
 from courierlens.llm.shared import prepare, table
 
 #: Id that ends each document in the token files.
@@ -84,6 +84,25 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(prepare(spark), sf_dir, "documents"), "doc_id", "text", "lang")
 
 
+def op12_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of several equal documents stays: the one with the largest id."""
+    found = exact.exact_owners(table(prepare(spark), sf_dir, "documents"), "doc_id", "text", keep="largest")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of the documents, a tree per source, and every document held against it, half of them altered."""
+    documents = table(prepare(spark), sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    altered = merkle.leaf_digest([*fields[:-1], F.replace(F.col("text"), F.lit("\n"), F.lit(""))])
+    leaf, chosen = merkle.leaf_digest(fields), F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    rows = documents.select("doc_id", "source", leaf.alias("leaf"), F.when(chosen, altered).otherwise(leaf).alias("shown"))
+    held = merkle.manifest(rows, "source", "doc_id", "leaf")
+    shown = held.leaves.select("doc_id", "tree", "index", "shown", F.lower(F.hex("digest")).alias("leaf"))
+    return merkle.proofs(held, shown).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                                             (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_multi_index": op2_multi_index,
@@ -95,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_importance_resampling": op8_importance_resampling,
     "op9_lattice_vectors": op9_lattice_vectors,
     "op10_language_filters": op10_language_filters,
+    "op12_patricia_owners": op12_patricia_owners,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
@@ -108,6 +129,24 @@ _REACH = """
      reach AS (SELECT DISTINCT i AS id, i AS other FROM sides UNION SELECT reach.id, sides.j FROM reach JOIN sides ON sides.i = reach.other),
      named AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"""
 
+#: A leaf: every field as ``-`` or its number of bytes, a colon and the value.
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen(CAST({0} AS VARCHAR)), ':', {0}) END"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + ", " + _FIELD.replace("{0}", "{text}") + "))"
+_SIDES = """coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+                      coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS behind"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a short ASCII string: bit by bit, by the fixed reflected polynomial 0xEDB88320."""
+    byte = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS UBIGINT))"
+    step = "CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END"
+    of_byte = f"list_reduce(list_prepend(xor(x, b), range(8)::UBIGINT[]), lambda y, _: {step})"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {byte}), lambda x, b: {of_byte}), 4294967295::UBIGINT)"
+
+
+_CRC = _crc32("CAST(doc_id AS VARCHAR)")
+_EVEN_CRC = f"{_CRC} % 2 = 0"
+
 #: Queries that SQL can express, over whole tables. Both compare all documents that share a shingle, or all vectors.
 SQL: dict[str, str] = {
     "op1_minhash_dedup": f"""
@@ -139,4 +178,35 @@ SELECT vec_id, (SELECT count(*) FROM sides WHERE i = vec_id) AS n_links, coalesc
                CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
         FROM named""",
+    "op12_patricia_owners": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+             owners AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256 FROM d JOIN owners USING (text)""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE
+     d AS (SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf, {_LEAF.format(text="replace(text, chr(10), '')")} AS altered FROM documents),
+     leaves AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i,
+                       count(*) OVER (PARTITION BY source) AS n FROM d),
+     nodes AS (SELECT tree, 0 AS level, i, n, leaf AS h FROM leaves
+               UNION ALL
+               SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, level, i // 3, n),
+     subroots AS (SELECT tree, h AS subroot FROM nodes WHERE n = 1),
+     above AS (SELECT 0 AS level, tree - 1 AS i, count(*) OVER () AS n, subroot AS h FROM subroots
+               UNION ALL
+               SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM above WHERE n > 1 GROUP BY level, i // 3, n),
+     steps AS (SELECT a.tree, a.level, a.i, {_SIDES} FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.i // 3 = b.i // 3
+               WHERE a.n > 1 GROUP BY ALL),
+     above_steps AS (SELECT a.level, a.i, {_SIDES} FROM above a JOIN above b ON a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+     tall AS (SELECT tree, max(level) AS levels FROM nodes GROUP BY tree),
+     path AS (SELECT l.doc_id, s.level, s.before, s.behind FROM leaves l JOIN steps s ON s.tree = l.tree AND s.i = l.i // CAST(pow(3, s.level) AS BIGINT)
+              UNION ALL
+              SELECT l.doc_id, t.levels + s.level, s.before, s.behind FROM leaves l JOIN tall t ON t.tree = l.tree
+              JOIN above_steps s ON s.i = (l.tree - 1) // CAST(pow(3, s.level) AS BIGINT)),
+     proofs AS (SELECT doc_id, sha256(string_agg(before || behind, '' ORDER BY level)) AS proof_sha256 FROM path GROUP BY doc_id),
+     folded AS (SELECT doc_id, 0 AS level, CASE WHEN {_EVEN_CRC} THEN altered ELSE leaf END AS h FROM leaves
+                UNION ALL
+                SELECT f.doc_id, f.level + 1, sha256(p.before || f.h || p.behind) FROM folded f JOIN path p ON p.doc_id = f.doc_id AND p.level = f.level),
+     ends AS (SELECT doc_id, arg_max(h, level) AS folded_root FROM folded GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (tree) JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id), (SELECT h AS root FROM above WHERE n = 1)""",
 }
