@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courierlens.llm import bpe, exact, language, lattice, merkle, minhash, multi_index, packing, quality, sharding, token_files, warc
+from courierlens.llm import bpe, exact, language, lattice, merkle, minhash, multi_index, packing, periodic, quality, sharding, token_files, warc
 from courierlens.llm.shared import prepare, table
 
 #: Id that ends each document in the token files.
@@ -84,6 +84,30 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(prepare(spark), sf_dir, "documents"), "doc_id", "text", "lang")
 
 
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """Documents chosen by the checksum of their id repeat a stretch of their words up to the end."""
+    checksum = F.crc32(F.col("doc_id").cast("string"))
+    chosen = documents.withColumns({"_h": F.when(checksum % 10 == 0, F.expr("crc32(cast(doc_id as string)) div 10")),
+                                    "_words": F.when(checksum % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))})
+    first = chosen.withColumn("_n", F.size("_words")).withColumn("_a", F.when(F.col("_n") > 0, F.col("_h") % F.col("_n")).cast("int"))
+    period = first.withColumn("_p", F.expr("cast(1 + (_n - _a) div (3 + _h % 8) as int)"))
+    copies = F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), F.expr("cast((_n - _a) div _p + 1 as int)")))
+    repeated = F.concat(F.slice("_words", F.lit(1), F.col("_a")), F.slice(copies, F.lit(1), F.col("_n") - F.col("_a")))
+    return period.select("doc_id", F.when(F.col("_a").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of four periods or more in all documents, some of them planted, and digests of what is left without them."""
+    documents = table(prepare(spark), sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
+    found = periodic.periodic_runs(with_planted_runs(documents), "doc_id", "text")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("_best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"), F.col("_best.length").alias("length"),
+        (-F.col("_best.period")).alias("period"), F.expr("(1000 * _best.length) div (-_best.period)").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op12_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of several equal documents stays: the one with the largest id."""
     found = exact.exact_owners(table(prepare(spark), sf_dir, "documents"), "doc_id", "text", keep="largest")
@@ -114,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_importance_resampling": op8_importance_resampling,
     "op9_lattice_vectors": op9_lattice_vectors,
     "op10_language_filters": op10_language_filters,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_patricia_owners": op12_patricia_owners,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -178,6 +203,24 @@ SELECT vec_id, (SELECT count(*) FROM sides WHERE i = vec_id) AS n_links, coalesc
                CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
         FROM named""",
+    "op11_periodic_runs": f"""
+WITH found AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {_CRC} AS h FROM documents),
+     sized AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM found),
+     dealt AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM sized),
+     words AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(CASE WHEN a IS NULL THEN w ELSE
+                      list_transform(range(n), lambda i: w[CAST(1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END AS BIGINT)]) END) AS word FROM dealt),
+     equal AS (SELECT doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y USING (doc_id, word) WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+     stretches AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal),
+     long AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM stretches GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+     runs AS (SELECT doc_id, start, length, min(q) AS period FROM long GROUP BY doc_id, start, length),
+     listed AS (SELECT doc_id, count(*) AS n_runs, arg_max(struct_pack(start, length, period), row(length, -start, -period)) AS best,
+                       string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+     dropped AS (SELECT DISTINCT w.doc_id, w.i FROM words w JOIN runs r ON r.doc_id = w.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length),
+     kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+       CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM found LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op12_patricia_owners": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
              owners AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
