@@ -23,7 +23,7 @@ from courierlens.llm.trie import Trie
 #: Bytes that a trie may take in a task, and bytes of strings meant for a partition.
 TRIE_BYTES, PART_BYTES = 128 << 20, 64 << 20
 #: Rows and bytes of a batch that a task gives out.
-OUT_ROWS, OUT_BYTES = 4096, 8 << 20
+OUT_ROWS, OUT_BYTES = 1000, 1 << 20
 
 _TERMINALS = "length long, digest binary, owner long, owner_row long, copies long, text binary"
 _ENTRIES = pa.schema([("length", pa.int64()), ("digest", pa.binary()), ("owner", pa.int64()), ("owner_row", pa.int64()),

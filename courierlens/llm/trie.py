@@ -88,13 +88,15 @@ class Trie:
 
     def terminals(self, top: Node | None = None, before: bytes = b"") -> Iterator[tuple[bytes, list]]:
         """(string, [rank, copies, mark]) of all terminals at and below ``top``."""
-        todo = [(top or self.root, before)]
+        # One buffer holds the path; what was pushed with a node says how much of it leads there.
+        path, todo = bytearray(before), [(top or self.root, len(before))]
         while todo:
-            node, before = todo.pop()
-            text = before + node.edge
+            node, start = todo.pop()
+            del path[start:]
+            path += node.edge
             if node.entry is not None:
-                yield text, node.entry
-            todo += [(child, text) for child in node.below.values()]
+                yield bytes(path), node.entry
+            todo += [(child, len(path)) for child in node.below.values()]
 
     def entries(self) -> Iterator[list]:
         """[rank, copies, mark] of all terminals; their strings are not put together."""
