@@ -18,9 +18,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def literal_runs(words, least_length=6, least_exponent=4):
-    """All maximal stretches by trying every period at every word."""
-    found = {}
-    for q in range(1, len(words) // least_exponent + 1):
+    """All maximal stretches by trying every period, in which any two words are equal, at every word."""
+    found, places = {}, {}
+    for i, w in enumerate(words):
+        places.setdefault(w, []).append(i)
+    apart = {j - i for of in places.values() for i in of for j in of if i < j <= i + len(words) // least_exponent}
+    for q in sorted(apart):
         i = 0
         while i + q < len(words):
             if words[i] != words[i + q]:
