@@ -23,14 +23,14 @@ def extreme_with_ties(df: DataFrame, keys: Sequence[str], measure: str, label: s
                       name: str) -> DataFrame:
     """Smallest or largest ``measure`` per key with every label that attains it.
 
-    Aggregate, then look the labels up: the aggregate is combined before the shuffle,
-    so no key has to fit one task. A key without any measure keeps one NULL label.
+    Distinct labels are ranked in one scan, and Spark limits each key to its first rank before the
+    shuffle, so a key that holds a large share of the rows sends its best labels per task. A key
+    without any measure, or with a NULL part, keeps one NULL label.
     """
-    best = F.min(measure) if how == "min" else F.max(measure)
-    extremes = df.groupBy(*keys).agg(best.alias(name))
-    labels = df.select(*[F.col(k).alias(f"_on_{k}") for k in keys], F.col(measure).alias("_measure"),
-                       F.col(label)).distinct()
-    condition = F.col(name) == F.col("_measure")
+    known = F.col(measure).isNotNull()
     for k in keys:
-        condition = condition & (F.col(k) == F.col(f"_on_{k}"))
-    return extremes.join(labels, condition, "left").select(*keys, label, name)
+        known = known & F.col(k).isNotNull()
+    labels = df.select(*keys, F.when(known, F.col(label)).alias(label), F.col(measure).alias(name)).distinct()
+    order = F.col(name).asc_nulls_last() if how == "min" else F.col(name).desc_nulls_last()
+    best = labels.withColumn("_rank", F.rank().over(W.partitionBy(*keys).orderBy(order))).filter(F.col("_rank") == 1)
+    return best.select(*keys, label, name)

@@ -53,9 +53,11 @@ def coverage_segments(spans: DataFrame, keys: Sequence[str], start: str, end: st
 
     A span adds +1 where it starts and -1 behind its end; a running sum per day turns
     the netted steps into segments. However many spans pile up on one key, a day holds
-    at most one step per minute.
+    at most one step per minute. With ``days``, spans count only on the days listed there
+    for their key (``on`` as in ``cut_to_days``), however long they are.
     """
-    cut = split_by_day(spans.select(*keys, start, end), start, end)
+    given = spans.select(*keys, start, end)
+    cut = split_by_day(given, start, end) if days is None else cut_to_days(given, days, on, start, end)
     step = F.expr(_MINUTE)
     steps = F.explode(F.array(
         F.struct(F.col(start).alias("at"), F.lit(1).alias("step")),
