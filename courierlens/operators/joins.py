@@ -7,10 +7,14 @@ measured at run time) allow, and otherwise sort-merges with hot keys split.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courierlens.operators.dyadic import TOP_LEVEL, point_cells, span_cells
+
 
 def semi_in(df: DataFrame, column: str, sub: DataFrame, sub_column: str) -> DataFrame:
     """Rows whose value is IN the other column."""
@@ -62,6 +66,46 @@ def band_join(df: DataFrame, bands: DataFrame, on: Mapping[str, str], value: str
     return df.join(theirs, _equal(on) & inside, "left").select(*df.columns, *carry)
 
 
+def spread_band_join(df: DataFrame, bands: DataFrame, on: Mapping[str, str], value: str, low: str, high: str,
+                     carry: Sequence[str], per_bucket: int = 64) -> DataFrame:
+    """``band_join`` for keys with many bands: the same rows, joined by equality of buckets.
+
+    A key's value axis is cut into buckets, as many as leave ``per_bucket`` bands to each, so their
+    width adapts to the key. A band is listed by the few aligned cells that make up its buckets, a
+    value looks up one cell per level, and only bands of its cells are compared with it. Values are
+    looked up once per key, however many rows repeat them. A key with few bands has one bucket.
+    """
+    names = [f"_on_{i}" for i in range(len(on))]
+    theirs = bands.filter(F.col(low) <= F.col(high)).select(
+        *[F.col(c).alias(n) for c, n in zip(on.values(), names)], F.col(low).alias("_low"), F.col(high).alias("_high"),
+        *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    axis = theirs.groupBy(*[F.col(n).alias(f"{n}_axis") for n in names]).agg(
+        F.min("_low").alias("_base"), F.max("_high").alias("_top"), F.ceil(F.count(F.lit(1)) / per_bucket).alias("_buckets"))
+
+    def bucket(at: str) -> Column:
+        base, top = F.col("_base").cast("double"), F.col("_top").cast("double")
+        # Rises with the value, infinite bounds included, so a value within a band is within its buckets.
+        share = F.nanvl((F.col(at).cast("double") - base) / (top - base), F.lit(0.0))
+        last = F.col("_buckets") - 1
+        return (F.when(F.col(at) <= F.col("_base"), 0).when(F.col(at) >= F.col("_top"), last)
+                .otherwise(F.least(F.floor(share * F.col("_buckets")), last)).cast("long"))
+
+    def with_axis(rows: DataFrame) -> DataFrame:
+        return rows.join(axis, _all_equal({n: f"{n}_axis" for n in names}))
+
+    cells = with_axis(theirs).select(*[F.col(n).alias(f"{n}_of") for n in names], "_low", "_high", *[f"_carry_{c}" for c in carry],
+                                     F.inline(span_cells(bucket("_low"), bucket("_high"))).alias("_level", "_cell"))
+    points = df.select(*[F.col(c).alias(n) for c, n in zip(on, names)], F.col(value).alias("_value"))
+    points = points.filter(reduce(and_, [F.col(n).isNotNull() for n in (*names, "_value")])).distinct()
+    levels = F.least(F.lit(TOP_LEVEL), F.ceil(F.log2(F.col("_buckets")))).cast("int")
+    probes = with_axis(points).select(*names, "_value", F.inline(point_cells(bucket("_value"), levels)))
+    same = _all_equal({n: f"{n}_of" for n in names} | {"level": "_level", "cell": "_cell"})
+    hits = probes.join(cells, same & F.col("_value").between(F.col("_low"), F.col("_high")))
+    hits = hits.select(*names, "_value", *[f"_carry_{c}" for c in carry])
+    meet = _all_equal(dict(zip(on, names)) | {value: "_value"})
+    return df.join(hits, meet, "left").select(*df.columns, *[F.col(f"_carry_{c}").alias(c) for c in carry])
+
+
 def clamped_band_label(df: DataFrame, bands: DataFrame, on: Mapping[str, str], value: str, low: str,
                        high: str, fee: str, label: str, below: float) -> DataFrame:
     """Label(s) of the band a value falls in, clamped at both ends.
@@ -98,8 +142,8 @@ def stats_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def _equal(on: Mapping[str, str]) -> Column:
-    condition = None
-    for mine, theirs in on.items():
-        equal = F.col(mine) == F.col(f"_on_{theirs}")
-        condition = equal if condition is None else condition & equal
-    return condition
+    return _all_equal({mine: f"_on_{theirs}" for mine, theirs in on.items()})
+
+
+def _all_equal(pairs: Mapping[str, str]) -> Column:
+    return reduce(and_, [F.col(mine) == F.col(theirs) for mine, theirs in pairs.items()])

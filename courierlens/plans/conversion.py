@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,20 @@ from courierlens.params import Params
 from courierlens.sources.catalog import Catalog
 
 
+class Facts(NamedTuple):
+    """What both results are computed from: sessions as of ``restaurant_sessions``, profit rows of all
+    restaurant orders, and those of them whose delivery fee was not cut."""
+
+    sessions: DataFrame
+    profit: DataFrame
+    full_fee: DataFrame
+
+
+def facts(catalog: Catalog, params: Params) -> Facts:
+    """The window's facts, straight from the input tables."""
+    return Facts(restaurant_sessions(catalog, params), restaurant_profit(catalog, params), full_fee_profit(catalog, params))
+
+
 def order_fee_flags(catalog: Catalog, params: Params) -> DataFrame:
     """Orders of the window, whether their fee was low at the platform's cost, or cut at all.
 
@@ -33,6 +49,11 @@ def order_fee_flags(catalog: Catalog, params: Params) -> DataFrame:
     discounts = (d.filter((d.entity == params.entity) & lookback(d.created_date_utc, params))
                  .groupBy("uuid").agg(ever(any_like(d.discount_type, pattern)).alias("discount_free"),
                                       ever(fully_platform_funded(d.platform_share_pct)).alias("funded")))
+    return joined_fee_flags(orders, vouchers, discounts)
+
+
+def joined_fee_flags(orders: DataFrame, vouchers: DataFrame, discounts: DataFrame) -> DataFrame:
+    """Flags from distinct (uuid, code, low_fee), and one row per uuid of vouchers and of discounts."""
     low = F.col("low_fee") & F.col("funded")
     cut = F.col("discount_free") | F.col("voucher_free") | low
     return orders.join(vouchers, "uuid").join(discounts, "uuid").select(

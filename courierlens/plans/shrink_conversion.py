@@ -14,7 +14,7 @@ from courierlens.operators.intervals import attribute_minute, coverage_segments
 from courierlens.operators.joins import stats_join
 from courierlens.operators.spines import minute_spine
 from courierlens.params import Params
-from courierlens.plans.conversion import full_fee_profit, restaurant_profit, restaurant_sessions, session_counts
+from courierlens.plans.conversion import Facts, full_fee_profit, restaurant_profit, restaurant_sessions, session_counts
 from courierlens.plans.dimensions import all_zones
 from courierlens.sources.catalog import Catalog
 
@@ -52,7 +52,7 @@ def shrink_minutes(catalog: Catalog, params: Params) -> DataFrame:
                         "minute", keep_empty=True).drop("first_minute", "last_minute", "shrink_event")
 
 
-def shrink_sessions(catalog: Catalog, params: Params, spans: DataFrame | None = None) -> DataFrame:
+def shrink_sessions(catalog: Catalog, params: Params, spans: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
     """Sessions labelled by the events of their zone id at their start minute.
 
     All sessions start within the window, so spans are clipped to it before they are cut by day.
@@ -62,26 +62,35 @@ def shrink_sessions(catalog: Catalog, params: Params, spans: DataFrame | None =
     bounded = spans.filter(F.col("first_minute").isNotNull() & F.col("last_minute").isNotNull()).withColumns({
         "first_minute": F.greatest("first_minute", at(params.lookback_start)), "last_minute": F.least("last_minute", window)})
     segments = coverage_segments(bounded, ["lg_zone_uuid", "shrink_event"], "first_minute", "last_minute")
-    labelled = attribute_minute(restaurant_sessions(catalog, params), segments,
+    sessions = restaurant_sessions(catalog, params) if sessions is None else sessions
+    labelled = attribute_minute(sessions, segments,
                                 {"lg_zone_uuid": "lg_zone_uuid"}, F.col("local_ts"),
                                 "first_minute", "last_minute", ["shrink_event"])
     return labelled.withColumn("shrink_event", F.coalesce("shrink_event", F.lit(params.no_shrink)))
 
 
-def shrink_orders(catalog: Catalog, params: Params, spans: DataFrame | None = None) -> DataFrame:
+def order_segments(spans: DataFrame, profit: DataFrame) -> DataFrame:
+    """How many events of each label are in force, on the days on which a zone's orders are delivered.
+
+    An order may be delivered on another day than the one it is booked on, so the days are read
+    off the orders, whichever they are; an event that is open for centuries has segments on those alone.
+    """
+    days = profit.select("zone_name", F.to_date("expected_delivery_at_local").alias("day")).distinct()
+    named = spans.filter(F.col("zone_name").isNotNull()).withColumnRenamed("zone_name", "event_zone")
+    return coverage_segments(named, ["event_zone", "shrink_event"], "first_minute", "last_minute",
+                             days=days, on={"event_zone": "zone_name"})
+
+
+def shrink_orders(catalog: Catalog, params: Params, spans: DataFrame | None = None, facts: Facts | None = None) -> DataFrame:
     """Orders and profit labelled by the events of their zone name at their delivery minute.
 
     ``covering`` is the number of events of one label in force: an order is summed once
-    per event, and counted once. An order may be delivered on another day than the one it is
-    booked on, so spans are cut to the days on which a zone's orders are delivered, whichever
-    they are.
+    per event, and counted once.
     """
     spans = shrink_spans(catalog, params) if spans is None else spans
-    profit = full_fee_profit(catalog, params).drop("surge_event")
-    days = restaurant_profit(catalog, params).select("zone_name", F.to_date("expected_delivery_at_local").alias("day")).distinct()
-    named = spans.filter(F.col("zone_name").isNotNull())
-    segments = coverage_segments(named.withColumnRenamed("zone_name", "event_zone"), ["event_zone", "shrink_event"],
-                                 "first_minute", "last_minute", days=days, on={"event_zone": "zone_name"})
+    booked = restaurant_profit(catalog, params) if facts is None else facts.profit
+    profit = (full_fee_profit(catalog, params) if facts is None else facts.full_fee).drop("surge_event")
+    segments = order_segments(spans, booked)
     labelled = attribute_minute(profit, segments,
                                 {"zone_name": "event_zone"}, F.col("expected_delivery_at_local"),
                                 "first_minute", "last_minute", ["shrink_event", "covering"])
@@ -94,12 +103,13 @@ def shrink_orders(catalog: Catalog, params: Params, spans: DataFrame | None = No
                  F.sum(net * copies).alias("total_gp_wo_ad")))
 
 
-def daily_conversion_by_shrink(catalog: Catalog, params: Params) -> DataFrame:
+def daily_conversion_by_shrink(catalog: Catalog, params: Params, facts: Facts | None = None) -> DataFrame:
+    """The window's result, from ``facts`` if they are given (see ``rolling.py``)."""
     keys = ["date_", "hour_", "lg_zone_name", "shrink_event"]
     spans = shrink_spans(catalog, params)
-    orders = shrink_orders(catalog, params, spans).withColumnsRenamed(
+    orders = shrink_orders(catalog, params, spans, facts).withColumnsRenamed(
         {"date_local": "date_", "zone_name": "lg_zone_name"})
-    sessions = session_counts(shrink_sessions(catalog, params, spans), "shrink_event")
+    sessions = session_counts(shrink_sessions(catalog, params, spans, facts and facts.sessions), "shrink_event")
     joined = stats_join(sessions, orders, keys)
     closed = F.col("shrink_event") == params.closed
     return joined.select(

@@ -15,7 +15,7 @@ from courierlens.operators.joins import clamped_band_label, stats_join
 from courierlens.operators.nested import explode_structs
 from courierlens.operators.spines import densify, fill_forward, latest_before
 from courierlens.params import Params
-from courierlens.plans.conversion import full_fee_profit, restaurant_sessions, session_counts
+from courierlens.plans.conversion import Facts, full_fee_profit, restaurant_sessions, session_counts
 from courierlens.plans.dimensions import all_zones
 from courierlens.sources.catalog import Catalog
 
@@ -95,20 +95,22 @@ def surge_minutes(catalog: Catalog, params: Params) -> DataFrame:
     return labelled.select(*delays.columns, "surge_event").distinct()
 
 
-def surge_sessions(catalog: Catalog, params: Params) -> DataFrame:
+def surge_sessions(catalog: Catalog, params: Params, sessions: DataFrame | None = None) -> DataFrame:
     """Sessions with the surge label(s) of their zone at their start minute, NULL if none."""
-    return attribute_minute(restaurant_sessions(catalog, params), surge_segments(catalog, params),
+    sessions = restaurant_sessions(catalog, params) if sessions is None else sessions
+    return attribute_minute(sessions, surge_segments(catalog, params),
                             {"lg_zone_name": "zone_name"}, F.col("local_ts"),
                             "start_minute", "end_minute", ["surge_event"])
 
 
-def surge_orders(catalog: Catalog, params: Params) -> DataFrame:
+def surge_orders(catalog: Catalog, params: Params, profit: DataFrame | None = None) -> DataFrame:
     """Orders and profit by the label the profit table carries; a missing one is ``params.no_surge``.
 
     It becomes so before grouping: orders without a label and those labelled so are one row.
     """
     net = without_ads(F.col("gpo_excl_wastage"), F.col("ad_rev_per_order"), F.col("sub_rev_per_order"))
-    return (full_fee_profit(catalog, params)
+    profit = full_fee_profit(catalog, params) if profit is None else profit
+    return (profit
             .withColumn("surge_event", F.coalesce("surge_event", F.lit(params.no_surge)))
             .groupBy("date_local", "hour_", "zone_name", "surge_event")
             .agg(F.count_distinct("order_code").alias("total_orders"),
@@ -116,9 +118,10 @@ def surge_orders(catalog: Catalog, params: Params) -> DataFrame:
                  F.sum(net).alias("total_gp_wo_ad")))
 
 
-def daily_conversion_by_surge(catalog: Catalog, params: Params) -> DataFrame:
+def daily_conversion_by_surge(catalog: Catalog, params: Params, facts: Facts | None = None) -> DataFrame:
+    """The window's result, from ``facts`` if they are given (see ``rolling.py``)."""
     keys = ["date_", "hour_", "lg_zone_name", "surge_event"]
-    orders = surge_orders(catalog, params).withColumnsRenamed(
+    orders = surge_orders(catalog, params, facts and facts.full_fee).withColumnsRenamed(
         {"date_local": "date_", "zone_name": "lg_zone_name"})
-    sessions = session_counts(surge_sessions(catalog, params), "surge_event")
+    sessions = session_counts(surge_sessions(catalog, params, facts and facts.sessions), "surge_event")
     return stats_join(sessions, orders, keys).orderBy(*keys)

@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courierlens import plans
+from courierlens.functions.measures import sum_or_zero, without_ads
+from courierlens.operators.bitmaps import distinct_counts
+from courierlens.operators.dyadic import attribute_cells
 from courierlens.operators.intervals import coverage_segments, validity_intervals
-from courierlens.operators.joins import band_join
+from courierlens.operators.joins import band_join, spread_band_join
 from courierlens.operators.spines import densify, minute_spine
 from courierlens.params import Params
 from courierlens.plans import active_vendors, conversion, dimensions
 from courierlens.plans import offline_hours, order_economics, restaurant_funnel, shrink_conversion, surge_conversion
 from courierlens.plans import vendor_lateness
 from courierlens.registry.entries import Entry
+from courierlens.registry.refreshes import shrink_refreshed, surge_refreshed
 from courierlens.registry.relations import GROUP_KEYS
 from courierlens.sources.catalog import Catalog
 from courierlens.sources.sample import COMMERCE, CONTRACTS, TRAFFIC
@@ -68,6 +72,25 @@ def shrink_labelled_sessions(c: Catalog, p: Params) -> DataFrame:
     return shrink_conversion.shrink_sessions(c, p).select(*SESSION_ROW, "shrink_event").distinct()
 
 
+def shrink_sessions_by_cells(c: Catalog, p: Params) -> DataFrame:
+    """The same labels from raw spans, looked up by dyadic cells."""
+    labelled = attribute_cells(conversion.restaurant_sessions(c, p), shrink_conversion.shrink_spans(c, p), {"lg_zone_uuid": "lg_zone_uuid"},
+                               F.col("local_ts"), "first_minute", "last_minute", ["shrink_event"])
+    return labelled.withColumn("shrink_event", F.coalesce("shrink_event", F.lit(p.no_shrink))).select(*SESSION_ROW, "shrink_event").distinct()
+
+
+def shrink_profit_by_cells(c: Catalog, p: Params) -> DataFrame:
+    """Orders and profit per label, an order once per event that holds its minute, looked up by dyadic cells."""
+    spans = shrink_conversion.shrink_spans(c, p).withColumnRenamed("zone_name", "event_zone")
+    labelled = attribute_cells(conversion.full_fee_profit(c, p), spans, {"zone_name": "event_zone"},
+                               F.col("expected_delivery_at_local"), "first_minute", "last_minute", ["shrink_event"])
+    net = without_ads(F.col("gpo_excl_wastage"), F.col("ad_rev_per_order"), F.col("sub_rev_per_order"))
+    return (labelled.withColumn("shrink_event", F.coalesce("shrink_event", F.lit(p.no_shrink)))
+            .groupBy("date_local", "hour_", "zone_name", "shrink_event")
+            .agg(F.count_distinct("order_code").alias("total_orders"), sum_or_zero(F.col("gpo_excl_wastage")).alias("total_gp"),
+                 F.sum(net).alias("total_gp_wo_ad")))
+
+
 def shrink_session_counts(c: Catalog, p: Params) -> DataFrame:
     return conversion.session_counts(shrink_conversion.shrink_sessions(c, p), "shrink_event")
 
@@ -103,6 +126,21 @@ def delay_bands(c: Catalog, p: Params) -> DataFrame:
                      "mean_delay", "mean_delay_start", "mean_delay_end", ["surge_event", "surge_fee"])
 
 
+def delay_bands_by_buckets(c: Catalog, p: Params) -> DataFrame:
+    """The same rows with a bucket for every two bands."""
+    known = (surge_conversion.delay_observations(c, p).withColumn("day", F.to_date("minute"))
+             .groupBy("zone_name", "day", "minute").agg(F.max("mean_delay").alias("mean_delay")))
+    return spread_band_join(known, surge_conversion.surge_bands(c, p), {"zone_name": "zone_name", "day": "date_updated"},
+                            "mean_delay", "mean_delay_start", "mean_delay_end", ["surge_event", "surge_fee"], per_bucket=2)
+
+
+def sessions_by_grain(c: Catalog, p: Params) -> DataFrame:
+    """Distinct sessions and buying sessions per hour, day and zone and in all, from one shuffle of the events."""
+    events = restaurant_funnel.browsing_events(c, p).unionByName(restaurant_funnel.transaction_events(c, p))
+    return distinct_counts(events, "ga_session_id", [["zone_name", "date_local", "hour_"], ["zone_name", "date_local"], ["zone_name"], []],
+                           {"sessions": F.lit(True), "buyers": F.col("event_action") == p.transaction})
+
+
 def surge_segment_labels(c: Catalog, p: Params) -> DataFrame:
     """Labels from validity segments, laid out by minute again."""
     minutes = minute_spine(surge_conversion.surge_segments(c, p), F.col("start_minute"), F.col("end_minute"))
@@ -171,10 +209,17 @@ WINDOWS: dict[str, Entry] = {
     "conversion_by_surge_late_floors": _moved(
         plans.daily_conversion_by_surge, "surge_result", PROFIT, as_of=LATE, zone_stats_from=date(2024, 1, 25),
         surge_bands_from=date(2024, 1, 24)),
+    "conversion_by_shrink_refreshed": _traffic(shrink_refreshed, "shrink_result", PROFIT),
+    "conversion_by_surge_refreshed": _traffic(surge_refreshed, "surge_result", PROFIT),
+    "conversion_by_surge_refreshed_late_window": _moved(surge_refreshed, "surge_result", PROFIT, as_of=LATE),
     "restaurant_funnel_late_floor": _moved(
         plans.daily_restaurant_conversion_funnel, "funnel_rows", history_from=date(2024, 1, 12)),
 }
 
+IN_BAND = ("SELECT k.zone_name, CAST(k.minute AS DATE) AS day, k.minute, k.mean_delay, b.surge_event, "
+           "b.surge_fee FROM known_delays k LEFT JOIN bands b ON b.zone_name = k.zone_name "
+           "AND b.date_updated = CAST(k.minute AS DATE) AND k.mean_delay BETWEEN b.mean_delay_start AND b.mean_delay_end")
+
 INTERMEDIATE: dict[str, Entry] = {
     "vendor_list": _commerce(dimensions.vendor_list, "listed_vendors"),
     "vendor_zone_bridge": _commerce(dimensions.vendor_zones, "zone_bridge"),
@@ -203,6 +248,9 @@ INTERMEDIATE: dict[str, Entry] = {
         lambda c, p: conversion.fee_incentivised_codes(c, p).distinct(), "SELECT DISTINCT code FROM cut_codes"),
     "shrink_labelled_sessions": _traffic(
         shrink_labelled_sessions, f"SELECT DISTINCT {', '.join(SESSION_ROW)}, shrink_event FROM shrink_seen"),
+    "shrink_sessions_by_cells": _traffic(
+        shrink_sessions_by_cells, f"SELECT DISTINCT {', '.join(SESSION_ROW)}, shrink_event FROM shrink_seen"),
+    "shrink_profit_by_cells": _traffic(shrink_profit_by_cells, "shrink_order_sums", PROFIT),
     "shrink_session_counts": _traffic(shrink_session_counts, "shrink_session_counts"),
     "shrink_order_profit": _traffic(shrink_conversion.shrink_orders, "shrink_order_sums", PROFIT),
     "zone_delays": _traffic(zone_delays, "SELECT DISTINCT * FROM delays", ("mean_delay",)),
@@ -217,11 +265,8 @@ INTERMEDIATE: dict[str, Entry] = {
         lambda c, p: surge_conversion.cheapest_labels(surge_conversion.surge_bands(c, p)), "cheapest"),
     "dearest_surge_labels": _traffic(
         lambda c, p: surge_conversion.dearest_labels(surge_conversion.surge_bands(c, p)), "dearest"),
-    "delay_band_join": _traffic(
-        delay_bands, "SELECT k.zone_name, CAST(k.minute AS DATE) AS day, k.minute, k.mean_delay, b.surge_event, "
-        "b.surge_fee FROM known_delays k LEFT JOIN bands b ON b.zone_name = k.zone_name "
-        "AND b.date_updated = CAST(k.minute AS DATE) AND k.mean_delay BETWEEN b.mean_delay_start AND b.mean_delay_end",
-        ("mean_delay", "surge_fee")),
+    "delay_band_join": _traffic(delay_bands, IN_BAND, ("mean_delay", "surge_fee")),
+    "delay_band_join_by_buckets": _traffic(delay_bands_by_buckets, IN_BAND, ("mean_delay", "surge_fee")),
     "surge_minute_labels": _traffic(surge_conversion.surge_minutes, "SELECT * FROM minute_labels", ("mean_delay",)),
     "surge_segment_labels": _traffic(
         surge_segment_labels, "SELECT DISTINCT zone_name, created_date_local AS day, minute, surge_event FROM minute_labels "
@@ -233,6 +278,12 @@ INTERMEDIATE: dict[str, Entry] = {
     "surge_order_profit": _traffic(surge_conversion.surge_orders, "surge_order_sums", PROFIT),
     "web_events_deduplicated": _traffic(restaurant_funnel.web_events, "dedup_events"),
     "valid_orders": _traffic(restaurant_funnel.valid_orders, "good_orders"),
+    "sessions_by_grain": _traffic(
+        sessions_by_grain, """SELECT CASE WHEN grouping(zone_name) = 1 THEN '' WHEN grouping(date_local) = 1 THEN 'zone_name'
+            WHEN grouping(hour_) = 1 THEN 'zone_name,date_local' ELSE 'zone_name,date_local,hour_' END AS grain, zone_name, date_local, hour_,
+       count(DISTINCT ga_session_id) AS sessions, count(DISTINCT ga_session_id) FILTER (event_action = 'transaction') AS buyers
+FROM dedup_events WHERE ga_session_id IS NOT NULL
+GROUP BY GROUPING SETS ((zone_name, date_local, hour_), (zone_name, date_local), (zone_name), ())"""),
     "session_step_flags": _traffic(
         session_steps, f"""SELECT {GROUP_KEYS}, ga_session_id,
        coalesce(bool_or(event_action = 'home_screen.loaded'), false) AS home,

@@ -1,0 +1,136 @@
+"""Dyadic cells, bands by buckets, distinct counts by bitmaps and ranked extremes against the plain forms."""
+
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from courierlens.operators.aggregates import extreme_with_ties
+from courierlens.operators.bitmaps import distinct_counts
+from courierlens.operators.dyadic import attribute_cells, minute_number, point_cells, span_cells
+from courierlens.operators.intervals import attribute_minute, split_by_day
+from courierlens.operators.joins import band_join, spread_band_join
+from rows import result
+from test_scale import TASKS, per_task
+
+START = datetime(2024, 1, 1, 20, 0)
+
+
+def minutes(rng, spread):
+    return START + timedelta(minutes=rng.randrange(spread))
+
+
+def overlapping_spans(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(80):
+        start = minutes(rng, 4000)
+        end = rng.choice([start + timedelta(minutes=rng.randrange(-5, 3000)), start, None])
+        rows.append((rng.choice(["a", "hot", "hot", None]), f"l{i % 7}", start, end))
+    return spark.createDataFrame([*rows, ("hot", "none", None, START)], "key string, label string, a timestamp_ntz, b timestamp_ntz")
+
+
+@pytest.mark.parametrize("top", [0, 3, 26])
+def test_cells_make_up_their_span(spark, top):
+    rng = random.Random(top)
+    rows = [(a := rng.randrange(-300, 300), a + rng.randrange(-3, 200)) for _ in range(200)] + [(None, 5), (5, None), (7, 7)]
+    for r in spark.createDataFrame(rows, "a long, b long").select("a", "b", span_cells(F.col("a"), F.col("b"), top).alias("c")).collect():
+        if r["a"] is None or r["b"] is None or r["a"] > r["b"]:
+            assert r["c"] is None
+            continue
+        parts = sorted((c["cell"] << c["level"], (c["cell"] + 1) << c["level"]) for c in r["c"])
+        assert parts[0][0] == r["a"] and parts[-1][1] == r["b"] + 1 and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+    held = spark.range(1).select(point_cells(F.lit(-5), 3).alias("c")).first()["c"]
+    assert [(c["level"], c["cell"]) for c in held] == [(0, -5), (1, -3), (2, -2), (3, -1)]
+
+
+def test_a_century_is_fewer_than_sixty_cells(spark):
+    df = spark.createDataFrame([(datetime(1970, 1, 3, 1, 7), datetime(2069, 12, 30, 3, 13)), (datetime(1, 1, 1), datetime(9999, 12, 31))], "a timestamp_ntz, b timestamp_ntz")
+    sizes = [r[0] for r in df.select(F.size(span_cells(minute_number(F.col("a")), minute_number(F.col("b"))))).collect()]
+    assert sizes[0] < 60 and sizes[1] < 140
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_attribution_by_cells_equals_attribution_by_minute(spark, seed):
+    rng = random.Random(seed)
+    facts = spark.createDataFrame(
+        [(i, rng.choice(["a", "b", "hot", None]), rng.choice([None, minutes(rng, 7000) + timedelta(seconds=rng.randrange(60))])) for i in range(200)]
+        + [(i, "hot", START + timedelta(minutes=500)) for i in range(200, 400)], "id int, zone string, ts timestamp_ntz")
+    spans = overlapping_spans(spark, seed)
+    want = attribute_minute(facts, split_by_day(spans, "a", "b"), {"zone": "key"}, F.col("ts"), "a", "b", ["label"])
+    for top in (26, 4):
+        assert result(attribute_cells(facts, spans, {"zone": "key"}, F.col("ts"), "a", "b", ["label"], top)) == result(want)
+    far = spark.createDataFrame([("hot", "ever", datetime(1900, 1, 1), datetime(2999, 1, 1))], spans.schema)
+    assert attribute_cells(facts, far, {"zone": "key"}, F.col("ts"), "a", "b", ["label"]).filter("label = 'ever'").count() == facts.filter("zone = 'hot' and ts is not null").count()
+
+
+@pytest.mark.parametrize("per_bucket", [1, 3, 64])
+def test_bands_by_buckets_equal_the_band_join(spark, per_bucket):
+    rng = random.Random(per_bucket)
+    bands = [(rng.choice(["a", "hot", "hot", None]), low := rng.choice([rng.randrange(-20, 40) / 4, rng.random() * 1e6]), low + rng.choice([0, 0.25, 3, 50, -1]), f"l{i}")
+             for i in range(120)]
+    bands += [("hot", -5.0, float("inf"), "open"), ("hot", 2.0, 2.0, "point"), ("hot", 2.0, 2.0, "again"), ("inf", float("-inf"), float("inf"), "all"), ("one", 1.0, 1.0, "x"), ("a", None, 3.0, "n")]
+    rows = [(i, rng.choice(["a", "b", "hot", "inf", "one", None]), rng.choice([None, rng.randrange(-30, 60) / 4, rng.random() * 1e6, 2.0, 1.0, float("nan"), float("inf")])) for i in range(500)]
+    facts = spark.createDataFrame(rows, "id int, zone string, value double")
+    df = spark.createDataFrame(bands, "key string, low double, high double, label string")
+    want = band_join(facts, df, {"zone": "key"}, "value", "low", "high", ["label"])
+    # As text, for NaN differs from itself.
+    assert str(result(spread_band_join(facts, df, {"zone": "key"}, "value", "low", "high", ["label"], per_bucket))) == str(result(want))
+
+
+def test_many_bands_of_one_key_are_spread_over_tasks(spark):
+    bands = spark.range(100_000).select(F.lit("hot").alias("key"), (F.col("id") * 3).alias("low"), (F.col("id") * 3 + F.col("id") % 5).alias("high"), F.col("id").alias("label"))
+    facts = spark.range(100_000).select("id", F.lit("hot").alias("zone"), F.pmod(F.xxhash64("id"), F.lit(300_000)).alias("value"))
+
+    def build():
+        return spread_band_join(facts, bands, {"zone": "key"}, "value", "low", "high", ["label"])
+
+    tasks = per_task(spark, build, merge=False)
+    assert len(tasks) == TASKS and max(tasks) < 3 * sum(tasks) / TASKS
+    literal = spark.range(100_000).select("id", F.pmod(F.xxhash64("id"), F.lit(300_000)).alias("v"))
+    # A value v lies in band v // 3, and in the one before it if that reaches so far.
+    here, before = F.floor(F.col("v") / 3), F.floor(F.col("v") / 3) - 1
+    hits = (F.col("v") - here * 3 <= here % 5).cast("int") + ((before >= 0) & (F.col("v") - before * 3 <= before % 5)).cast("int")
+    assert build().count() == literal.agg(F.sum(F.greatest(F.lit(1), hits))).first()[0]
+
+
+def test_distinct_counts_of_all_grains(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, *(f"s{i}" for i in range(60)), "hot", "hot", "hot"]), rng.choice(["z", "y", None]), rng.choice([1, 2, None]), rng.choice(["buy", "see", None])) for _ in range(800)]
+    df = spark.createDataFrame(rows, "session string, zone string, hour int, action string")
+    grains = [["zone", "hour"], ["zone"], []]
+    found = distinct_counts(df, "session", grains, {"sessions": F.lit(True), "buyers": F.col("action") == "buy"})
+    want = []
+    for grain in grains:
+        place = [("session", "zone", "hour", "action").index(k) for k in grain]
+        sets: dict = {}
+        for r in rows:
+            if r[0] is not None:
+                both = sets.setdefault(tuple(r[p] for p in place), (set(), set()))
+                both[0].add(r[0])
+                if r[3] == "buy":
+                    both[1].add(r[0])
+        for key, (seen, bought) in sets.items():
+            at = dict(zip(grain, key))
+            want.append((",".join(grain), at.get("zone"), at.get("hour"), len(seen), len(bought)))
+    assert result(found, "grain", "zone", "hour", "sessions", "buyers") == sorted(want, key=lambda r: tuple((v is not None, str(v)) for v in r))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ExistingRDD") == 1
+    assert distinct_counts(df.limit(0), "session", [["zone"]], {"n": F.lit(True)}).count() == 0
+
+
+@pytest.mark.parametrize("how", ["min", "max"])
+def test_ranked_extremes_equal_the_joined_form(spark, how):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "hot", "hot", None]), rng.choice(["none", "x", "y", None]) , rng.choice([None, 1, 2, 3])) for _ in range(300)] + [("empty", "x", None), ("empty", "y", None)]
+    df = spark.createDataFrame(rows, "key string, label string, fee int")
+    best = F.min("fee") if how == "min" else F.max("fee")
+    limits = df.groupBy("key").agg(best.alias("top"))
+    labels = df.select(F.col("key").alias("k"), F.col("fee").alias("f"), "label").distinct()
+    want = limits.join(labels, (F.col("key") == F.col("k")) & (F.col("top") == F.col("f")), "left").select("key", "label", "top")
+    got = extreme_with_ties(df, ["key"], "fee", "label", how, "top")
+    assert result(got) == result(want)
+    plan = extreme_with_ties(df, ["key"], "fee", "label", how, "top")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ExistingRDD") == 1 and "WindowGroupLimit" in plan and "Join" not in plan
