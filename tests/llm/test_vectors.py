@@ -147,15 +147,70 @@ def test_recall_of_a_partial_search_and_ties_in_many_blocks(small, monkeypatch):
     assert hits >= 0.95 * 10 * len(queries)
 
 
-def test_cells_are_visited_by_rising_distance():
+@pytest.mark.parametrize("tile", [1, 3, 16])
+def test_cells_are_visited_by_rising_distance(tile):
     rng = np.random.default_rng(3)
     d1, d2 = rng.random(12), rng.random(9)
     counts = rng.integers(0, 3, 108)
-    visited = multi_index.traverse(d1, d2, counts, 10**6)
+    visited, last = multi_index.traverse(d1, d2, counts, 10**6, tile)
     sums = [d1[c // 9] + d2[c % 9] for c in visited]
-    assert sums == sorted(sums) and sorted(visited) == np.flatnonzero(counts).tolist()
-    part = multi_index.traverse(d1, d2, counts, 20)
-    assert part == visited[:len(part)] and 20 <= counts[part].sum() < 23
+    assert sums == sorted(sums) and sorted(visited) == np.flatnonzero(counts).tolist() and last == sums[-1]
+    for wanted in (1, 20, 60):
+        part, last = multi_index.traverse(d1, d2, counts, wanted, tile)
+        assert part.tolist() == visited[:len(part)].tolist() and wanted <= counts[part].sum() < wanted + 3 and last == sums[len(part) - 1]
+    assert len(multi_index.traverse(d1, d2, counts * 0, 5, tile)[0]) == 0
+
+
+def lists(rows):
+    got = {}
+    for r in rows.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return got
+
+
+def test_every_query_gets_its_neighbours_whatever_is_repeated(small, monkeypatch):
+    """A third of the rows on one id, as copies and as different vectors, that is a query itself; the given parameters."""
+    spark, _ = small
+    monkeypatch.setattr(multi_index, "BLOCK_ENTRIES", 128)
+    monkeypatch.setattr(multi_index, "BLOCK_QUERIES", 64)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1200, 16))
+    ids = np.arange(1200)
+    copies = np.repeat(x[100:101], 900, 0)
+    many = np.concatenate([x, copies, x[100] + 0.01 * rng.standard_normal((60, 16)), x[:40], x[200:201]])
+    names = np.concatenate([ids, np.full(900, 100), np.full(60, 300), np.arange(2000, 2040), [100]])
+    df = frame(spark, names, many).repartition(6)
+    got = lists(multi_index.nearest(df, "vec_id", "embedding", F.col("vec_id").isin(100, 200, 500), least=10))
+    rows = {(int(i), tuple(v)) for i, v in zip(names, many)}
+    distinct = np.array([v for _, v in sorted(rows)])
+    of = np.array([i for i, _ in sorted(rows)])
+    assert {q: len(v) for q, v in got.items()} == {100: 20, 200: 10, 500: 10}
+    assert all(i != q for q, v in got.items() for i, _ in v)
+    near = sorted(s for i, s in zip(of, np.sqrt(((distinct - x[100]) ** 2).sum(1))) if i != 100)[:10]
+    assert [s for _, s in got[100]][:10] != [] and set(np.round(near, 9)) <= set(np.round([s for _, s in got[100]], 9))
+    few = lists(multi_index.nearest(df.filter("vec_id in (100, 300)"), "vec_id", "embedding", F.col("vec_id") == 100))
+    assert len(few[100]) == 20 and {i for i, _ in few[100]} == {300}
+
+
+def test_distances_beyond_the_range_of_squares(small):
+    spark, _ = small
+    big = [[3e200, 0.0], [0.0, 4e200], [1e-200, 0.0], [0.0, 1e-200], [1.0, 1.0]]
+    got = lists(multi_index.nearest(frame(spark, range(5), big), "vec_id", "embedding", F.lit(True)))
+    assert got[0][-1] == (1, pytest.approx(5e200, rel=1e-12)) and got[2][0] == (3, pytest.approx(2**0.5 * 1e-200, rel=1e-12))
+    assert all(len(v) == 4 and np.isfinite([s for _, s in v]).all() for v in got.values())
+
+
+def test_recall_at_the_given_parameters(small):
+    """Vectors that fill the sphere evenly, the hardest case; a query looks at 35 % of the rows."""
+    spark, _ = small
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((8000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.arange(8000)
+    want = brute(ids, x, ids[ids % 100 == 0], 10)
+    got = lists(multi_index.nearest(frame(spark, ids, x), "vec_id", "embedding", F.col("vec_id") % 100 == 0))
+    assert all(len(got[q]) == 10 for q in want)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
 
 
 def test_components_of_random_graphs(small):
