@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from courierlens.llm.blocks import BLOCK_ROWS, blocks, compared, local_roots
 from courierlens.llm.components import components
@@ -69,6 +70,19 @@ def full_sets(df: DataFrame, shingle: int) -> DataFrame:
     return df.mapInArrow(run, f"key {kind}, set_key binary, hashes binary")
 
 
+def with_set_keys(df: DataFrame, text: str, shingle: int, name: str) -> DataFrame:
+    """``df`` with the digest of each text's whole set, null for one without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index(text)
+            for first, behind, texts in sliced(batch.column(place).to_pylist()):
+                part = batch.slice(first, behind - first)
+                yield pa.RecordBatch.from_arrays([*part.columns, set_digests(shingle_sets(texts, shingle))], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, BinaryType())]))
+
+
 def _numbered(classes: DataFrame) -> DataFrame:
     """Adds node to rows of (key, set_key): a number of its own for each, in their order."""
     order = ["key", "set_key"]

@@ -35,19 +35,29 @@ def keep_good_quality(docs: DataFrame, key: str, text: str, labels: DataFrame, l
 
 
 def keep_one_of_similar(docs: DataFrame, key: str, text: str, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest key of each group of near-duplicates.
+    """One document of each group of near-duplicates: that with the smallest key.
 
-    Documents without words or without key stay. Of rows equal in all columns one stays; rows that
-    repeat a key with another text are judged by the smallest component of their key's texts.
+    A document is a key with a text, so texts that share a key are judged one by one: of a group's
+    texts under its smallest key the one with the smallest digest stays. Of rows that repeat a key and
+    its shingles one stays, chosen by a hash of all columns. Documents without key stay, and so
+    do those without words, but of rows equal in all columns with a key one stays. An empty table gives none.
     """
-    found = saved(minhash.similar_texts(docs, key, text, shingle, percent), "similar")
-    name = fresh(docs.columns, "_key")
-    keys = found.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(name)).agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    judged = minhash.judged(docs.select(docs[key].alias("k"), docs[text].alias("t")), "k", "t", shingle, percent)
+    found = saved(judged.filter("k is not null").select("k", "set_key", "first"), "similar")
+    keys = found.groupBy("k").agg(F.min("first").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
     keys = saved(keys.filter("not _kept or _rows > 1"), "similar-keys")
-    left = _without(docs, key, keys, name)
-    # Keys that several rows have: few, unless rows are repeated.
-    repeated = docs.join(keys.filter("_kept and _rows > 1"), docs[key] == F.col(name), "left_semi").distinct()
-    return left.unionByName(repeated)
+    name, digest, row = (fresh(docs.columns, c) for c in ("_key", "_digest", "_row"))
+    left = _without(docs, key, keys.withColumnRenamed("k", name), name)
+
+    # Keys of several rows are looked at by key and shingles: few, unless rows are repeated.
+    again = keys.filter("_rows > 1").select(F.col("k").alias(name))
+    stay = found.filter("first").join(again, F.col("k") == F.col(name), "left_semi").distinct().select(F.col("k").alias(name), F.col("set_key").alias("_of"))
+    repeated = minhash.with_set_keys(docs.join(again, docs[key] == F.col(name), "left_semi"), text, shingle, digest)
+    repeated = repeated.join(stay, (repeated[key] == F.col(name)) & repeated[digest].eqNullSafe(F.col("_of")), "left_semi")
+    whole = F.xxhash64(*[F.col(c) for c in docs.columns])
+    one = repeated.groupBy(key, digest, F.when(F.col(digest).isNull(), whole).alias(name)).agg(
+        F.min_by(F.struct(*[F.col(c) for c in docs.columns]), whole).alias(row))
+    return left.unionByName(one.select(f"{row}.*"))
 
 
 def _without(docs: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:

@@ -271,6 +271,34 @@ def test_pipeline_stages_keep_columns_and_take_effect(small):
     assert dict(packed) == words
 
 
+def test_one_row_of_each_group_stays_whatever_keys_and_rows_are_repeated(small):
+    """Keys with several texts, near copies under one key, rows equal but for another column, hot repeated rows."""
+    spark, _ = small
+    rng = random.Random(6)
+    bases = [[f"w{b}_{i}" for i in range(40)] for b in range(12)]
+    rows = [(1, " ".join(bases[0]), "x"), (2, edited(rng, bases[0], 1), "x"), (2, "only here and nowhere else at all", "x"),
+            (3, " ".join(bases[1]), "x"), (3, edited(rng, bases[1], 1), "x")]
+    rows += [(rng.randrange(4, 30), edited(rng, rng.choice(bases), rng.choice([0, 0, 1, 2])), rng.choice("xy")) for _ in range(160)]
+    rows += [(7, " ".join(bases[2]), "x")] * 300 + [(7, edited(rng, bases[2], 1), "y")]
+    rows += [(8, None, "x"), (8, None, "x"), (8, "", "x"), (None, " ".join(bases[0]), "x"), (None, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, first string").repartition(4)
+    left = [tuple(r) for r in stages.keep_one_of_similar(df, "doc_id", "text").collect()]
+    assert set(left) <= set(rows)
+    assert Counter(r for r in left if r[0] is None or not shingles(r[1], 5)) == Counter([(8, None, "x"), (8, "", "x"), (None, " ".join(bases[0]), "x"), (None, None, "y")])
+    # All pairs of distinct texts, named by their smallest key.
+    texts = {}
+    for key, text, _ in rows:
+        if key is not None and shingles(text, 5):
+            texts[text] = min(key, texts.get(text, key))
+    named = sorted(texts, key=lambda t: texts[t])
+    component = {named[i]: named[c] for i, (_, c) in groups(list(enumerate(named)), 5).items()}
+    stayed = Counter(component[t] for k, t, _ in left if k is not None and shingles(t, 5))
+    assert set(stayed) == set(component.values()) and set(stayed.values()) == {1}
+    assert all(k == texts[component[t]] for k, t, _ in left if k is not None and shingles(t, 5))
+    empty = stages.keep_one_of_similar(df.limit(0), "doc_id", "text")
+    assert empty.count() == 0 and empty.columns == df.columns
+
+
 def test_stages_on_odd_documents(odd_documents):
     spark = odd_documents.sparkSession
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
