@@ -177,16 +177,20 @@ def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
 def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, good: Column, labelled_rows: int = LABELLED_ROWS) -> WeightModel:
     """Counts the raw model over all documents, and target model and threshold over labelled ones.
 
-    About ``labelled_rows`` labels are drawn by a hash of their key if there are more; a label whose
-    ``good`` is null counts as not good. Without good documents all weights are 0 and all are
-    accepted. Bucket counts and one weight per drawn row reach the driver, both bounded.
+    About ``labelled_rows`` labelled keys are drawn by a hash if there are more. A key counts once: it is good
+    if all of its labels say so (one whose ``good`` is null does not), and where several rows have it,
+    the text with the smallest hash stands for them. So the rows fitted on, and the scores of these
+    that reach the driver, are as many as the keys drawn. Without good documents all weights are 0
+    and all are accepted. Counts per bucket, of fixed size, reach the driver too.
     """
     texts = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-    share = min(1.0, labelled_rows / max(labels.count(), 1))
-    drawn = labels.select(labels[label_key].alias("of"), F.coalesce(good, F.lit(False)).cast("long").alias("good"))
-    drawn = drawn.filter(F.col("of").isNotNull() & (F.pmod(F.xxhash64("of"), F.lit(1_000_000)) < share * 1_000_000))
-    # About labelled_rows rows of two numbers, so every task can have them.
-    labelled = saved(texts.join(F.broadcast(drawn), F.col("key") == F.col("of")).select("good", "text"), "labelled")
+    each = labels.select(labels[label_key].alias("of"), F.coalesce(good, F.lit(False)).cast("long").alias("good")).filter(F.col("of").isNotNull())
+    keys = saved(each.groupBy("of").agg(F.min("good").alias("good")), "labels")
+    share = min(1.0, labelled_rows / max(keys.count(), 1))
+    drawn = keys.filter(F.pmod(F.xxhash64("of"), F.lit(1_000_000)) < share * 1_000_000)
+    # A row of two numbers per drawn key, so every task can have them.
+    joined = texts.join(F.broadcast(drawn), F.col("key") == F.col("of"))
+    labelled = saved(joined.groupBy("of").agg(F.min("good").alias("good"), F.min_by("text", F.xxhash64("text")).alias("text")), "labelled").select("good", "text")
     target = _dense(counts(labelled.filter("good = 1").select("text")))
     if not target.rows:
         return WeightModel(np.zeros(_BUCKETS), np.zeros(_BUCKETS), float("-inf"))
