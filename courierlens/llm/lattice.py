@@ -9,7 +9,9 @@ compared exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,38 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courierlens.llm.blocks import BLOCK_ROWS, blocks, compared, local_roots
+from courierlens.llm.blocks import BLOCK_ROWS, blocks, each_block, local_roots
 from courierlens.llm.components import components
 from courierlens.llm.shared import saved, valid_vector
 
-#: Tables, lattice blocks per table, cells per table that a vector is put into.
-TABLES, BLOCKS, CELLS = 10, 2, 6
-#: Projected length of a unit step; the lattice's points lie 1.41 apart.
-SCALE = 0.65
+#: Members of a cell up to which its pairs are compared together with those of other cells, and pairs at a time.
+SMALL_CELL, PAIRS = 64, 1 << 16
+
+
+@dataclass(frozen=True)
+class Grid:
+    """How vectors are put into cells.
+
+    ``tables`` projections to ``lattice_blocks`` blocks of eight dimensions, ``count`` cells per table and
+    vector, and the projected length of a unit step (the lattice's points lie 1.41 apart).
+    """
+
+    tables: int
+    lattice_blocks: int
+    count: int
+    scale: float
+
+
+#: Grids for tables of up to so many vectors. A pair with a cosine of 0.95 shares a cell of a table with
+#: probability 0.60, 0.61, 0.60, 0.48 and 0.40, so all but one in a thousand such pairs share one; of two
+#: unrelated vectors so few do that a vector meets about two of them at the upper end of each range.
+GRIDS = [(20_000, Grid(10, 2, 6, 0.65)), (60_000, Grid(10, 3, 8, 0.5)), (600_000, Grid(10, 3, 16, 0.6)),
+         (2_500_000, Grid(14, 4, 16, 0.5)), (math.inf, Grid(16, 4, 32, 0.58))]
+
+
+def grid_for(rows: int) -> Grid:
+    """Smaller cells for larger tables."""
+    return next(grid for most, grid in GRIDS if rows <= most)
 
 
 def nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -53,11 +79,12 @@ def shortest_e8() -> np.ndarray:
     return np.vstack([halves, pairs])
 
 
-def cells(units: np.ndarray, tables: int, lattice_blocks: int, count: int, scale: float, seed: int = 11) -> np.ndarray:
+def cells(units: np.ndarray, grid: Grid, seed: int = 11) -> np.ndarray:
     """Per row ``tables * count`` cell numbers, those of a table beside each other, its home first.
 
     Probes change one block: of all blocks' neighbouring points those closest to the vector.
     """
+    tables, lattice_blocks, count, scale = grid.tables, grid.lattice_blocks, grid.count, grid.scale
     steps, dim = shortest_e8(), units.shape[1]
     rng = np.random.default_rng([seed, dim])
     projections = rng.standard_normal((tables, dim, 8 * lattice_blocks)) * scale
@@ -79,24 +106,92 @@ def cells(units: np.ndarray, tables: int, lattice_blocks: int, count: int, scale
     return (found * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def _own_pairs(a: np.ndarray, b: np.ndarray, cells_of: np.ndarray, table: int, cell: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those pairs that share no cell of an earlier table and no smaller cell of this one."""
-    for t in range(table + 1):
-        kept = []
-        for at in range(0, len(a), 65536):
-            left, right = cells_of[a[at:at + 65536], t], cells_of[b[at:at + 65536], t]
+def _own_pairs(a: np.ndarray, b: np.ndarray, cells_of: np.ndarray, table: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs that share no cell of an earlier table and no smaller cell of this one. ``table`` and ``cell`` are per pair."""
+    for t in range(cells_of.shape[1]):
+        kept = [np.empty(0, bool)]
+        for at in range(0, len(a), PAIRS // 16):
+            some = slice(at, at + PAIRS // 16)
+            left, right = cells_of[a[some], t], cells_of[b[some], t]
             same = (left[:, :, None] == right[:, None, :]).any(2)
-            if t == table:
-                same &= left < cell
+            same &= (t < table[some, None]) | ((t == table[some, None]) & (left < cell[some, None]))
             kept.append(~same.any(1))
-        if kept:
-            mine = np.concatenate(kept)
-            a, b = a[mine], b[mine]
+        mine = np.concatenate(kept)
+        a, b, table, cell = a[mine], b[mine], table[mine], cell[mine]
     return a, b
 
 
-def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95, tables: int = TABLES, lattice_blocks: int = BLOCKS,
-                    count: int = CELLS, scale: float = SCALE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _near_in_small_cells(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of the same cell with a cosine of the threshold or more. Cells hold all rows, from ``starts`` to ``ends``."""
+    rows = np.arange(len(units))
+    partners = np.repeat(ends, ends - starts) - rows - 1
+    found = [(np.empty(0, np.int64),) * 2]
+    total = np.cumsum(partners)
+    first = 0
+    while first < len(rows):
+        done = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        n = partners[first:last]
+        a = np.repeat(rows[first:last], n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        near = np.einsum("ij,ij->i", units[a], units[b]) >= threshold
+        found.append((a[near], b[near]))
+        first = last
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _unit_rows(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    x = column.combine_chunks().flatten().to_numpy().reshape(rows, -1)
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _links(part: pa.Table, across: bool | None, threshold: float, count: int) -> pa.Table:
+    """(node, links, to) of one dimension's rows: of a block that is compared by itself, or (None) of many small cells."""
+    node, n, cell, table = (part.column(c).to_numpy() for c in ("node", "n", "cell", "table"))
+    units = _unit_rows(part.column("x"), len(node))
+    if across is None:
+        low = part.column("low").to_numpy()
+        starts = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (low[1:] != low[:-1])))
+        a, b = _near_in_small_cells(units, starts, np.append(starts[1:], len(cell)), threshold)
+    else:
+        a, b = np.nonzero(np.triu(units @ units.T >= threshold, 1))
+        if across:
+            own = part.column("slice").to_numpy()
+            a, b = a[own[a] != own[b]], b[own[a] != own[b]]
+    root = local_roots(len(node), a, b)
+    cells_of = part.column("cells").combine_chunks().flatten().to_numpy().reshape(len(node), -1, count)
+    a, b = _own_pairs(a, b, cells_of, table[a], cell[a])
+    links = np.zeros(len(node), np.int64)
+    np.add.at(links, a, n[b])
+    np.add.at(links, b, n[a])
+    some = np.flatnonzero((links > 0) | (root != np.arange(len(node))))
+    return pa.table({"node": node[some], "links": links[some], "to": node[root[some]]})
+
+
+def _compared(members: DataFrame, threshold: float, count: int) -> DataFrame:
+    """(node, links, to) of all blocks: the number of links found there, and the smallest node connected to.
+
+    Cells of up to SMALL_CELL members are compared together, larger ones block by block.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("dim", "cell", "low", "high")], 1)
+        _, of, sizes = np.unique(keys, axis=0, return_inverse=True, return_counts=True)
+        small = (sizes[of.ravel()] <= SMALL_CELL) & (keys[:, 2] == keys[:, 3])
+        found = [pa.table({c: pa.array([], pa.int64()) for c in ("node", "links", "to")})]
+        few = rows.filter(pa.array(small)).sort_by([(c, "ascending") for c in ("dim", "cell", "low", "node")])
+        for dim in pc.unique(few.column("dim")).to_pylist():
+            found.append(_links(few.filter(pc.equal(few.column("dim"), dim)), None, threshold, count))
+        many = rows.filter(pa.array(~small))
+        if len(many):
+            found += [_links(block, across, threshold, count) for block, across in each_block(many, ["dim", "cell"], "node")]
+        return pa.concat_tables(found)
+
+    return members.groupBy("work").applyInArrow(run, "node long, links long, to long")
+
+
+def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.95, grid: Grid | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of ``df``: ``key``, n_links, component_id, kept.
 
     Rows are linked if the cosine of their vectors in double precision is ``threshold`` or more.
@@ -106,7 +201,8 @@ def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.9
     compared. Rows without key have no links, a null component and are not kept. Rows that repeat a
     key and a vector are one row in the links and as many in the result.
 
-    Equal vectors are counted once, with their number. Cells with more than ``block_rows`` vectors
+    Equal vectors are counted once, with their number. The grid follows the number of vectors (see GRIDS),
+    so cells hold about as many unrelated vectors in a large table as in a small one. Cells with more than ``block_rows`` vectors
     are compared in pairs of slices, so no task holds more than two slices. A pair that shares
     several cells belongs to the smallest of them, so each link is counted once without collecting
     links; a block gives two rows per vector at most, its links there and the smallest vector it
@@ -116,6 +212,8 @@ def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.9
     usable = rows.filter(F.col("id").isNotNull() & valid_vector(F.col("x")))
     # Equal vectors make one node, named by its smallest key. A row that is repeated counts once.
     nodes = saved(usable.distinct().groupBy("x").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "vectors")
+    grid = grid or grid_for(nodes.count())
+    count = grid.count
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +222,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.9
                 part = batch.filter(pc.equal(pc.list_value_length(vectors), dim))
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 x = x / np.abs(x).max(1)[:, None]
-                found = cells(x / np.linalg.norm(x, axis=1)[:, None], tables, lattice_blocks, count, scale)
+                found = cells(x / np.linalg.norm(x, axis=1)[:, None], grid)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.full(len(x), dim, np.int32)), lists], ["node", "x", "n", "dim", "cells"])
 
@@ -134,27 +232,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.9
     members = blocks(each.withColumn("table", F.floor(F.col("place") / count)), shared, ["dim", "cell"], "node", block_rows)
     with_vectors = members.join(placed.select("node", "x", "n", "cells"), "node")
 
-    def compare(block: pa.Table, across: bool) -> list[np.ndarray] | None:
-        node, n, part = (block.column(c).to_numpy() for c in ("node", "n", "slice"))
-        x = block.column("x").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        x = x / np.abs(x).max(1)[:, None]
-        units = x / np.linalg.norm(x, axis=1)[:, None]
-        a, b = np.nonzero(np.triu(units @ units.T >= threshold, 1))
-        if across:
-            apart = part[a] != part[b]
-            a, b = a[apart], b[apart]
-        if not len(a):
-            return None
-        own = block.column("cells").combine_chunks().flatten().to_numpy().reshape(len(node), -1, count)
-        root = local_roots(len(node), a, b)
-        a, b = _own_pairs(a, b, own, block.column("table")[0].as_py(), block.column("cell")[0].as_py())
-        links = np.zeros(len(node), np.int64)
-        np.add.at(links, a, n[b])
-        np.add.at(links, b, n[a])
-        some = np.flatnonzero((links > 0) | (root != np.arange(len(node))))
-        return [node[some], links[some], node[root[some]]]
-
-    linked = saved(compared(with_vectors, ["dim", "cell"], "node", compare, ["node", "links", "to"]), "vector-links")
+    linked = saved(_compared(with_vectors, threshold, count), "vector-links")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     named = components(linked.select(F.col("node").alias("a"), F.col("to").alias("b")))
     found = (nodes.select("x", "node", "n").join(links, "node", "left").join(named, "node", "left")

@@ -84,16 +84,41 @@ def test_nearest_lattice_points():
     assert len(np.unique(lattice.shortest_e8(), axis=0)) == 240 and (lattice.shortest_e8() ** 2).sum(1).std() == 0
 
 
-def test_pairs_at_the_threshold_share_a_cell():
+@pytest.mark.parametrize("grid", [grid for _, grid in lattice.GRIDS])
+def test_pairs_at_the_threshold_share_a_cell(grid):
     rng = np.random.default_rng(2)
     a, other = rng.standard_normal((2, 3000, 64))
     a /= np.linalg.norm(a, axis=1)[:, None]
     other -= (other * a).sum(1)[:, None] * a
     b = 0.95 * a + (1 - 0.95**2) ** 0.5 * other / np.linalg.norm(other, axis=1)[:, None]
-    one, two = (lattice.cells(v, lattice.TABLES, lattice.BLOCKS, lattice.CELLS, lattice.SCALE) for v in (a, b))
+    one, two = (lattice.cells(v, grid) for v in (a, b))
     assert np.mean([bool(set(p) & set(q)) for p, q in zip(one.tolist(), two.tolist())]) > 0.998
 
 
+def test_unrelated_vectors_seldom_share_a_cell_of_their_grid():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for most, grid in lattice.GRIDS[:3]:
+        cells, n = np.unique(lattice.cells(x, grid), return_counts=True)
+        # Pairs per vector, carried to the upper end of the grid's range.
+        assert (n * (n - 1.0)).sum() / 2 / len(x) * (most / len(x)) < 4
+    assert lattice.grid_for(1) == lattice.GRIDS[0][1] and lattice.grid_for(10**12) == lattice.GRIDS[-1][1]
+
+
+@pytest.mark.parametrize("grid", [grid for _, grid in lattice.GRIDS[1:3]])
+def test_links_do_not_depend_on_the_grid(small, grid, monkeypatch):
+    spark, _ = small
+    monkeypatch.setattr(lattice, "PAIRS", 64)
+    rng = np.random.default_rng(14)
+    x = np.concatenate([clusters(rng, [90, 7, 3, 3], noise=0.015), rng.standard_normal((100, 64))])
+    ids = rng.permutation(len(x)) + 3
+    want = linked(ids, x)
+    got = components_of(lattice.similar_vectors(frame(spark, ids, x), "vec_id", "embedding", grid=grid))
+    assert [got[i][1] for i in sorted(want)] == [want[i][1] for i in sorted(want)]
+    assert sum(abs(got[i][0] - want[i][0]) for i in want) <= 0.002 * sum(n for n, _ in want.values())
+
+
 def test_odd_vectors(small):
     spark, _ = small
     nan, inf = float("nan"), float("inf")
