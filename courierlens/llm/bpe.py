@@ -93,15 +93,15 @@ class Vocabulary:
                 break
         return True
 
-    def fill(self, text: str, last: list[int], first: int = 0) -> None:
-        """Fills in the last token of every prefix of ``text`` that ends behind ``first``.
+    def fill(self, text: str, last: list[int], first: int = 0, until: int | None = None) -> None:
+        """Fills in the last token of every prefix of ``text`` that ends behind ``first``, up to ``until``.
 
         ``last`` has one entry per border between characters. Characters beyond Latin-1 are in
         no token, so they separate texts that are handled together. -1 marks the start of a text.
         """
         known, fits = self._fit.get, self.fits
         from_here = max(0, first - self.longest)
-        for at, (token, length) in self.ending.iter(text, from_here):
+        for at, (token, length) in self.ending.iter(text, from_here, len(text) if until is None else until):
             end = at + 1
             if last[end] < 0 and end > first:
                 before = last[end - length]
@@ -141,10 +141,13 @@ class Vocabulary:
 
 
 class Prefixes:
-    """The last token of every byte prefix of ``data``, for one growing or changing piece."""
+    """The last token of every byte prefix of ``data``, for one growing or changing piece.
+
+    ``filled`` says how many entries the last change has computed.
+    """
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self._vocabulary, self.data, self._last = vocabulary, b"", [-1]
+        self._vocabulary, self.data, self._last, self.filled = vocabulary, b"", [-1], 0
         self.append(data)
 
     def append(self, more: bytes) -> Prefixes:
@@ -153,14 +156,30 @@ class Prefixes:
         self.data += more
         self._last += [-1] * len(more)
         self._vocabulary.fill(self.data.decode("latin-1"), self._last, known)
+        self.filled = len(more)
         return self
 
     def edit(self, start: int, end: int, new: bytes) -> Prefixes:
-        """Replaces data[start:end]. Prefixes up to ``start`` stay, the rest is encoded anew."""
-        behind = self.data[end:]
-        self.data = self.data[:start]
-        del self._last[start + 1:]
-        return self.append(new + behind)
+        """Replaces data[start:end]. Prefixes up to ``start`` stay.
+
+        An entry follows from the bytes and the entries within the length of the longest token ahead
+        of it. So where that many entries behind the new bytes are what they were, all later ones are, too.
+        """
+        old, longest = self._last, self._vocabulary.longest
+        shift, changed = len(new) - (end - start), start + len(new)
+        self.data = self.data[:start] + new + self.data[end:]
+        size, text = len(self.data), self.data.decode("latin-1")
+        last = old[:start + 1] + [-1] * (size - start)
+        done = start
+        while done < size:
+            step = min(size, done + 2 * longest)
+            self._vocabulary.fill(text, last, done, step)
+            done = step
+            first = done - longest + 1
+            if first > changed and last[first:done + 1] == old[first - shift:done + 1 - shift]:
+                break
+        self._last, self.filled = last[:done + 1] + old[done + 1 - shift:], done - start
+        return self
 
     def ids(self) -> list[int]:
         return self._vocabulary.walk(self._last, 0, len(self.data))
