@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from courierlens.llm.shared import saved
+
 #: Hexadecimal digits of a digest that make up a number; 52 bits, which a double holds exactly.
 DIGITS = 13
 #: Rows that one task numbers.
@@ -41,8 +43,8 @@ def number_slots(df: DataFrame, shard: str, order: Sequence[str], position: str,
     """Adds slot: 0, 1, 2 ... within each shard, along ``position`` (a number in (0, 1)) and then ``order``.
 
     A shard is cut into ranges of ``position`` that one task can number; where a range starts
-    follows from the row counts of the ranges before it. Rows equal in all columns are counted
-    before they are shuffled and get neighbouring slots. ``rows`` is the number of rows.
+    follows from the row counts of the ranges before it. Rows equal in all columns, ``position``
+    among them, are counted before they are shuffled and get neighbouring slots. ``rows`` is the number of rows.
     """
     ranges = max(1, math.ceil(rows / SLOT_ROWS))
     keys = df.columns
@@ -63,14 +65,17 @@ def assign_shards(df: DataFrame, key: str, text: str, weights: Sequence[float],
     ``grown`` are the weights with one shard more; grown_shard differs from shard only where it is
     that shard. A null text has no bytes: size 1, checksum 0. A null key is placed as the empty
     text. Equal keys share a shard. Repeated rows get a slot each. Other columns are not read, and
-    texts are reduced to their size and checksum before anything is shuffled.
+    texts are reduced to their size and checksum before anything is shuffled. Slots follow a hash
+    of the whole row and of the part of the table that it lies in, so a key or row that fills the table is
+    numbered by many tasks, as that many counts.
     """
     if len(grown) != len(weights) + 1 or list(grown[:-1]) != list(weights):
         raise ValueError("grown must add one shard to weights")
     value = F.coalesce(df[text].cast("string"), F.lit(""))
     rows = df.select(
         df[key].alias("key"), (F.octet_length(value) + 1).cast("long").alias("size"), F.crc32(value.cast("binary")).alias("text_crc32"),
-        rendezvous(df[key], weights).alias("shard"), rendezvous(df[key], grown).alias("grown_shard"),
-        unit(F.coalesce(df[key].cast("string"), F.lit(""))).alias("position"))
-    slots = number_slots(rows, "shard", ["key", "size", "text_crc32"], "position", df.count())
+        rendezvous(df[key], weights).alias("shard"), rendezvous(df[key], grown).alias("grown_shard"), F.spark_partition_id().alias("part"))
+    place = F.concat_ws("/", F.coalesce(F.col("key").cast("string"), F.lit("")), "size", "text_crc32", "part")
+    rows = saved(rows, "shard-rows").withColumn("position", unit(place)).drop("part")
+    slots = number_slots(rows, "shard", ["key", "size", "text_crc32"], "position", rows.count())
     return slots.select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

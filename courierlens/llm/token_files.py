@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,14 +144,16 @@ def write_token_files(df: DataFrame, key: str, text: str, make_encoder: Callable
                       folder: str, length: int = 2048) -> DataFrame:
     """Encodes whole texts, ends each with ``end_id`` and writes all ids in ascending order of ``key``.
 
-    Returns the table of files: file, first_key, documents, tokens, sequences, start (ids in all
+    Returns the table of files: part, file, first_key, documents, tokens, sequences, start (ids in all
     files before it). A null or empty text is its end id alone. Null keys come first; rows with
-    equal keys are ordered by their text and stay together. No rows, no files. Other columns are
-    not read. The rows are range-partitioned by key, one shuffle; a task holds one batch of rows.
+    equal keys are ordered by a hash of their text, and equal rows as they lie in the table. No
+    rows, no files. Other columns are not read. The rows are range-partitioned by key, hash and place,
+    one shuffle, so a key that fills the table goes to many files; a task holds one batch of rows.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"), "text")
+    rows = df.select(df[key].alias("key"), df[text].cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, own, first = None, None, None
@@ -165,10 +168,11 @@ def write_token_files(df: DataFrame, key: str, text: str, make_encoder: Callable
         if writer:
             writer.close()
             counts = [pa.array([n], pa.int64()) for n in (writer.documents, writer.tokens, writer.sequences)]
-            yield pa.RecordBatch.from_arrays([pa.array([writer.name]), first, *counts], ["file", "first_key", "documents", "tokens", "sequences"])
+            part = pa.array([TaskContext.get().partitionId()], pa.int64())
+            yield pa.RecordBatch.from_arrays([part, pa.array([writer.name]), first, *counts], ["part", "file", "first_key", "documents", "tokens", "sequences"])
 
-    files = ordered.mapInArrow(run, f"file string, first_key {kind}, documents long, tokens long, sequences long")
-    return running_total(saved(files, "token-files"), ["first_key"], "tokens", "start")
+    files = ordered.mapInArrow(run, f"part long, file string, first_key {kind}, documents long, tokens long, sequences long")
+    return running_total(saved(files, "token-files"), ["part"], "tokens", "start")
 
 
 def open_token_file(folder: str, name: str) -> pa.ipc.RecordBatchFileReader:
