@@ -1,22 +1,32 @@
 """Best-fit packing into bins of several permitted lengths.
 
-Documents are dealt at random into groups of a few thousand pieces, and each group is packed
-by itself, longest pieces first. A piece goes into the open bin, of whatever length, that it
-leaves with the least room. If none has room, a bin is opened whose length costs least for
-the tokens it can be expected to hold: its cost divided by its length, or by what is left to
-pack if that is less. When the group is packed, every bin is exchanged for the cheapest
+``pack_texts`` makes sequences of token ids: each task encodes its texts, packs a few thousand
+pieces at a time and gives out whole sequences, so nothing is shuffled and a group is what a task
+holds. ``pack_documents`` packs documents of any kind by their sizes: they are dealt at random
+into groups of a few thousand pieces.
+
+A group is packed by itself, longest pieces first. A piece goes into the open bin, of whatever
+length, that it leaves with the least room. If none has room, a bin is opened whose length costs
+least for the tokens it can be expected to hold: its cost divided by its length, or by what is
+left to pack if that is less. When the group is packed, every bin is exchanged for the cheapest
 permitted length that holds its contents.
 """
 
 from __future__ import annotations
 
+import base64
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courierlens.llm.pieces import PATTERN
 from courierlens.llm.shared import saved
 
 #: Pieces per group. Enough for bins to close with little room left; one group is one task's work at a time.
@@ -112,6 +122,108 @@ def pack_documents(df: DataFrame, key: str, size: Column, costs: Mapping[int, fl
     return packed.withColumnRenamed("key", key)
 
 
+_encodings: dict[str, tiktoken.Encoding] = {}
+
+
+def encoding(path: str) -> tiktoken.Encoding:
+    """The tokenizer of a file of base64 tokens and ranks, one per worker process. Without special tokens."""
+    if path not in _encodings:
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
+        _encodings[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path]
+
+
+#: Ids in a batch of sequences that a task gives out.
+OUT_IDS = 1 << 19
+
+
+def _packed(keys: list, ids: list[np.ndarray], costs: Mapping[int, float], key_type: pa.DataType, number: int) -> Iterator[pa.RecordBatch]:
+    """The sequences of one group of documents."""
+    largest = max(costs)
+    cuts = [(d, at) for d, x in enumerate(ids) for at in range(0, max(len(x), 1), largest)]
+    sizes = [min(len(ids[d]) - at, largest) for d, at in cuts]
+    bins, capacities = pack(sizes, costs)
+    of: list[list[int]] = [[] for _ in capacities]
+    for i in sorted(range(len(cuts)), key=lambda i: (-sizes[i], i)):
+        of[bins[i]].append(i)
+    first = 0
+    while first < len(of):
+        last, held = first + 1, capacities[first]
+        while last < len(of) and held + capacities[last] <= OUT_IDS:
+            held, last = held + capacities[last], last + 1
+        out, mask = np.zeros(held, np.int32), np.zeros(held, bool)
+        at, used, pieces = 0, [], []
+        for b in range(first, last):
+            offset = 0
+            for i in of[b]:
+                d, start = cuts[i]
+                out[at + offset:at + offset + sizes[i]] = ids[d][start:start + sizes[i]]
+                pieces.append((d, start // largest, start, sizes[i], offset))
+                offset += sizes[i]
+            mask[at:at + offset] = True
+            used.append(offset)
+            at += capacities[b]
+        ends = pa.array(np.cumsum([0, *capacities[first:last]]), pa.int32())
+        rows = pa.StructArray.from_arrays(
+            [pa.array([keys[p[0]] for p in pieces], key_type), *[pa.array([p[i] for p in pieces], pa.int64()) for i in (1, 2, 3, 4)]], ["key", "piece", "start", "size", "offset"])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(last - first, number)), pa.array(np.arange(first, last)), pa.array(capacities[first:last], pa.int64()), pa.array(used, pa.int64()),
+            pa.ListArray.from_arrays(ends, pa.array(out)), pa.ListArray.from_arrays(ends, pa.array(mask)),
+            pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(of[b]) for b in range(first, last)]]), pa.int32()), rows),
+        ], ["pack_group", "bin", "capacity", "used", "ids", "mask", "pieces"])
+        first = last
+
+
+def pack_texts(df: DataFrame, key: str, text: str, vocabulary: str, costs: Mapping[int, float], end_id: int | None = None,
+               group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Packs whole texts into sequences of token ids, written to the shared folder and read back.
+
+    One row per sequence: pack_group, bin, capacity, used, ids (as many as the capacity, 0 behind what is
+    used), mask (true up to ``used``), pieces (key, piece, start in the document, size, offset in the
+    sequence), which are the boundaries. ``vocabulary`` is the path of a file of base64 tokens and ranks that
+    every executor has; each document ends with ``end_id``, the first id beyond the vocabulary if none is
+    given. ``costs`` maps each permitted length to its cost. A document longer than the largest length is
+    cut into pieces of that length and a rest. A null or empty text is its end id. Null keys and repeated
+    rows are documents of their own. Other columns are not read. No rows, no sequences.
+
+    A group is what a task has read when it holds ``group_pieces`` pieces, so its memory is
+    bounded, whatever keys or sizes the rows have. No shuffle.
+    """
+    rows = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
+    kind, largest = rows.schema["key"].dataType.simpleString(), max(costs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = encoding(vocabulary)
+        end = tokens.n_vocab if end_id is None else end_id
+        number = TaskContext.get().partitionId() << 32
+        keys: list = []
+        ids: list[np.ndarray] = []
+        pieces = 0
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys.append(name)
+                ids.append(np.array([*tokens.encode_ordinary(value or ""), end], np.int32))
+                pieces += -(-len(ids[-1]) // largest)
+                if pieces >= group_pieces:
+                    yield from _packed(keys, ids, costs, batch.schema.field(0).type, number)
+                    keys, ids, pieces, number = [], [], 0, number + 1
+        if keys:
+            yield from _packed(keys, ids, costs, batch.schema.field(0).type, number)
+
+    schema = (f"pack_group long, bin long, capacity long, used long, ids array<int>, mask array<boolean>, "
+              f"pieces array<struct<key: {kind}, piece: long, start: long, size: long, offset: long>>")
+    return saved(rows.mapInArrow(run, schema), "packed-sequences")
+
+
+def packed_pieces(sequences: DataFrame, key: str) -> DataFrame:
+    """Where each piece lies: ``key``, piece, start, size, pack_group, bin, offset, capacity, used, and a hash of its ids there."""
+    each = sequences.select("pack_group", "bin", "capacity", "used", "ids", F.explode("pieces").alias("p"))
+    own = F.slice("ids", (F.col("p.offset") + 1).cast("int"), F.col("p.size").cast("int"))
+    return each.select(F.col("p.key").alias(key), "p.piece", "p.start", "p.size", "pack_group", "bin", "p.offset", "capacity", "used",
+                       F.xxhash64(own).alias("ids_hash"))
+
+
 def word_count(text: Column) -> Column:
     """Runs of characters other than ASCII white space."""
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))

@@ -16,7 +16,7 @@ END_ID = 2
 #: Tokens of a sequence in the token files.
 SEQUENCE_LENGTH = 2048
 SHARDS = 8
-#: Sequence lengths, in words, that documents are packed into, and what a sequence costs.
+#: Sequence lengths, in tokens, that documents are packed into, and what a sequence costs.
 SEQUENCE_COSTS = {n: packing.attention_cost(n) for n in (512, 1024, 2048, 4096)}
 #: One vector in so many is a query.
 QUERY_STEP = 100
@@ -51,9 +51,10 @@ def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in sequences of four permitted lengths, by their number of words."""
+    """Documents in sequences of token ids of four permitted lengths, read back: where each piece lies, with a hash of its ids."""
     documents = table(prepare(spark), sf_dir, "documents")
-    return packing.pack_documents(documents, "doc_id", packing.word_count(F.col("text")), SEQUENCE_COSTS)
+    sequences = packing.pack_texts(documents, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), SEQUENCE_COSTS)
+    return packing.packed_pieces(sequences, "doc_id")
 
 
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

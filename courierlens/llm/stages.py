@@ -28,7 +28,12 @@ def keep_known_language(docs: DataFrame, key: str, text: str, lang: str, least:
 
 
 def keep_good_quality(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, good: Column) -> DataFrame:
-    """Documents whose score reaches the threshold fitted on the labelled ones among them."""
+    """Documents whose score reaches the threshold fitted on the labelled ones among them.
+
+    A null text, and one without words, has the score 0 like any other text without evidence. Labels without
+    key, or of other documents, count nothing; without good ones all documents stay. Repeated rows are
+    judged alike, and all of them stay or go. An empty table gives none.
+    """
     model = quality.fit(docs, key, text, labels, label_key, good)
     names = [fresh(docs.columns, "log_weight"), fresh(docs.columns, "score")]
     return quality.weigh(docs, text, model, *names).filter(F.col(names[1]) >= model.threshold).select(*docs.columns)
@@ -65,6 +70,16 @@ def _without(docs: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame
     return docs.join(F.broadcast(keys) if few else keys, docs[key] == F.col(name), "left_anti")
 
 
+def pack_tokens(docs: DataFrame, key: str, text: str, vocabulary: str, costs: dict[int, float]) -> DataFrame:
+    """Where each piece of each document lies in which sequence of token ids, read back from the sequences.
+
+    A null or empty text is its end id. Null keys and repeated rows are documents of their own. An empty table
+    gives no rows.
+    """
+    return packing.packed_pieces(packing.pack_texts(docs, key, text, vocabulary, costs), key)
+
+
 def pack_words(docs: DataFrame, key: str, text: str, costs: dict[int, float]) -> DataFrame:
-    """Documents in sequences of the permitted lengths, by their number of words."""
+    """Documents in sequences of the permitted lengths, by their number of words. Nulls and empty texts have
+    size 0, repeated rows are documents of their own, an empty table gives no rows."""
     return packing.pack_documents(docs, key, packing.word_count(F.col(text)), costs)

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from compare import connect, differences
 from courierlens.llm import bpe, packing, queries, sharding, token_files, warc
-from courierlens.llm.pieces import PATTERN, LazyMemory, pieces, slices
+from courierlens.llm.pieces import ENTRY_BYTES, PATTERN, LazyMemory, Memory, pieces, slices
 from courierlens.llm.queries import END_ID, QUERIES, SEQUENCE_COSTS, SQL
 from courierlens.llm.shared import global_rank, new_folder
 
@@ -134,6 +134,18 @@ def test_appending_and_editing_equal_encoding_anew():
         assert table.ids() == bpe.Prefixes(vocabulary, data[:cut] + b"xyz" + data[end:]).ids()
 
 
+def test_a_small_edit_in_a_long_piece_fills_few_entries():
+    vocabulary, rng = bpe.encoder(MULTI).vocabulary, random.Random(2)
+    data = "".join(rng.choice("aeinorst") for _ in range(60_000)).encode()
+    table = bpe.Prefixes(vocabulary, data)
+    for start, end, new in [(10, 11, b"x"), (30_000, 30_004, b""), (59_980, 59_990, b"qq"), (0, 0, b"start "), (500, 500, b"\xff\xfe"), (7, 9_000, b"short"), (0, 5, b"")]:
+        data = data[:start] + new + data[end:]
+        table.edit(start, end, new)
+        assert table.data == data and table.filled <= len(new) + 8 * vocabulary.longest
+        assert table.ids() == bpe.Prefixes(vocabulary, data).ids()
+    assert table.append(b"more").ids() == bpe.Prefixes(vocabulary, data + b"more").ids() and table.filled == 4
+
+
 def test_bpe_of_odd_documents_returns_ids_and_bytes(odd_documents):
     rows = {r["doc_id"]: r for r in bpe.encode_texts(odd_documents.filter("doc_id is not null"), "doc_id", "text", MULTI).collect()}
     empty = hashlib.sha256(b"").hexdigest()
@@ -143,12 +155,27 @@ def test_bpe_of_odd_documents_returns_ids_and_bytes(odd_documents):
     assert bpe.encode_texts(odd_documents.limit(0), "doc_id", "text", MULTI).collect() == []
 
 
-def test_a_small_memory_forgets_but_stays_right():
-    encode, calls = (lambda p: p.encode()), Counter()
-    memory = LazyMemory(lambda p: (calls.update([p]), encode(p))[1], limit=3)
+@pytest.mark.parametrize("kind", [Memory, LazyMemory])
+def test_a_small_memory_forgets_but_stays_right(kind):
+    def encode(p):
+        return [x.encode() for x in p] if kind is Memory else p.encode()
+
+    memory = kind(encode, limit=3 * ENTRY_BYTES)
+    ids = (lambda t: memory.ids([t])[0]) if kind is Memory else memory.ids
     for text in ["a b c d e", "a b", "x y z", "a b c"] * 5:
-        assert memory.ids(text) == text.encode()
-    assert len(memory) <= 8 and list(slices([5, 1, 9, 0, 0], 6)) == [(0, 2), (2, 3), (3, 5)]
+        assert ids(text) == text.encode()
+    held = memory if kind is LazyMemory else memory._known
+    assert len(held) <= 8 and list(slices([5, 1, 9, 0, 0], 6)) == [(0, 2), (2, 3), (3, 5)]
+
+
+@pytest.mark.parametrize("kind", [Memory, LazyMemory])
+def test_long_pieces_are_not_remembered(kind):
+    memory = kind(lambda p: [x.encode() for x in p] if kind is Memory else p.encode())
+    texts = [chr(0x4E00 + i) * 10_000 for i in range(50)] + ["short one"]
+    for _ in range(2):
+        assert (memory.ids(texts) if kind is Memory else [memory.ids(t) for t in texts]) == [t.encode() for t in texts]
+    held = memory if kind is LazyMemory else memory._known
+    assert sum(map(len, held)) < 100
 
 
 # Packing
@@ -219,12 +246,54 @@ def test_rows_that_repeat_a_key_are_dealt_to_many_groups(small):
     assert all(filled[r["pack_group"], r["bin"]] == r["used"] <= r["capacity"] for r in packed)
 
 
-def test_given_documents_are_packed_whole(small):
+def check_sequences(sequences, want, costs):
+    """Every document's ids, ended, lie in the pieces of the sequences, once; padding is masked; the length is the cheapest."""
+    found = Counter()
+    parts = defaultdict(list)
+    for r in sequences:
+        used = sum(p["size"] for p in r["pieces"])
+        assert used == r["used"] <= r["capacity"] == len(r["ids"]) == len(r["mask"])
+        assert r["capacity"] == min((c for c in costs if c >= used), key=lambda c: (costs[c], c))
+        assert r["mask"] == [True] * used + [False] * (r["capacity"] - used) and not any(r["ids"][used:])
+        at = 0
+        for p in r["pieces"]:
+            assert p["offset"] == at and p["start"] == p["piece"] * max(costs)
+            at += p["size"]
+            parts[p["key"], p["piece"]].append(tuple(r["ids"][p["offset"]:at]))
+            found[p["key"]] += p["piece"] == 0
+    assert found == Counter(k for k, _ in want)
+    for key, ids in {k: v for k, v in want}.items():
+        own = [v for k, v in want if k == key]
+        for piece in range(-(-len(ids) // max(costs))):
+            cut = slice(piece * max(costs), (piece + 1) * max(costs))
+            assert {p for p in parts[key, piece]} >= {tuple(ids[cut])}
+        assert sum(map(len, own)) == sum(len(p) for (k, _), pieces in parts.items() if k == key for p in pieces)
+    assert len({(r["pack_group"], r["bin"]) for r in sequences}) == len(sequences)
+
+
+def test_sequences_hold_the_ids_of_the_given_documents(small):
     spark, sf_dir = small
-    words = {i: len(bytes(t.encode()).split()) for i, t in documents(spark, sf_dir).items()}
+    encode, texts = ranked(), documents(spark, sf_dir)
+    want = [(i, [*encode.encode_ordinary(t), encode.n_vocab]) for i, t in texts.items()]
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    check_sequences(packing.pack_texts(df, "doc_id", "text", MULTI, SEQUENCE_COSTS).collect(), want, SEQUENCE_COSTS)
     rows = QUERIES["op5_best_fit_packing"](spark, sf_dir).collect()
-    check_packed(rows, words)
-    assert {r["capacity"] for r in rows} <= set(SEQUENCE_COSTS)
+    check_packed(rows, {i: len(x) for i, x in want})
+    assert {r["capacity"] for r in rows} <= set(SEQUENCE_COSTS) and len({r["ids_hash"] for r in rows}) > 100
+
+
+def test_sequences_of_odd_documents_and_many_groups(odd_documents):
+    encode, costs = ranked(), {8: 8.0, 64: 60.0}
+    rows = [(r["doc_id"], [*encode.encode_ordinary(r["text"] or ""), 9]) for r in odd_documents.collect()]
+    sequences = packing.pack_texts(odd_documents, "doc_id", "text", MULTI, costs, end_id=9, group_pieces=100).collect()
+    check_sequences(sequences, rows, costs)
+    assert packing.pack_texts(odd_documents.limit(0), "doc_id", "text", MULTI, costs).collect() == []
+    same = odd_documents.sparkSession.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
+    sequences = packing.pack_texts(same, "doc_id", "text", MULTI, costs, group_pieces=100).collect()
+    sizes = Counter()
+    for r in sequences:
+        sizes[r["pack_group"]] += len(r["pieces"])
+    assert sum(sizes.values()) == 3000 and max(sizes.values()) <= 100
 
 
 def test_packing_of_odd_documents_in_small_groups(odd_documents):
@@ -262,6 +331,44 @@ def test_shards_of_the_given_documents(small):
     assert len(rows) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_a_hot_document_is_numbered_by_many_tasks(small, monkeypatch):
+    """A third of the rows without an id and with different texts, a third the same row."""
+    spark, _ = small
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 500)
+    kind = F.col("id") % 3
+    df = spark.range(0, 30_000, 1, 16).select(F.when(kind == 2, F.col("id")).when(kind == 1, 5).alias("doc_id"), F.when(kind == 0, F.repeat(F.lit("x"), (F.col("id") % 700).cast("int"))).otherwise("same").alias("text"))
+    rows = sharding.assign_shards(df, "doc_id", "text", [1.0] * 4, [1.0] * 5)
+    slots = defaultdict(list)
+    for r in rows.collect():
+        slots[r["shard"]].append(r["slot"])
+    assert sum(map(len, slots.values())) == 30_000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    place = F.floor(sharding.unit(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), (F.octet_length("text") + 1).cast("long"), F.crc32(F.col("text").cast("binary")), F.spark_partition_id())) * 60)
+    ranges = df.groupBy(place.alias("r"), sharding.rendezvous(F.col("doc_id"), [1.0] * 4).alias("s")).count().collect()
+    assert max(r["count"] for r in ranges) < 30_000 / 8
+
+
+def test_a_hot_document_goes_to_many_token_files(small):
+    spark, _ = small
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, 7).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 50).alias("text"))
+        folder = new_folder(spark, "tokens")
+        files = token_files.write_token_files(hot, "doc_id", "text", lambda: token_files.library_encoder(LIBRARY), END_ID, folder, length=16).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(files) == 8 and max(f["documents"] for f in files) < 3 * 4000 / 8
+    ordered = sorted(files, key=lambda f: f["part"])
+    assert [f["start"] for f in ordered] == list(np.cumsum([0] + [f["tokens"] for f in ordered])[:-1])
+    keys = []
+    for f in ordered:
+        index = token_files.open_token_file(folder, f"{f['file']}-index")
+        keys += [k for i in range(index.num_record_batches) for k in index.get_batch(i).column(0).to_pylist()]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0)) and len(keys) == 4000
+
+
 def test_weights_ranges_and_repeated_rows(small, monkeypatch):
     spark, _ = small
     monkeypatch.setattr(sharding, "SLOT_ROWS", 500)
