@@ -105,8 +105,9 @@ class Filters:
 def learn_filters(df: DataFrame, text: str, lang: str, key: Column, documents: int = SAMPLE_DOCUMENTS) -> Filters:
     """Filters from labelled rows: about ``documents`` rows per language, drawn by a hash of ``key``.
 
-    Rows without language are left out. What comes to the driver is one row per language and one
-    per filter position. Without rows there are no languages.
+    Rows without language are left out. What comes to the driver is one row per language, of which there
+    are as many as a label set has, and one per filter position and word of 64 languages, a number fixed by
+    the parameters. Without rows there are no languages.
     """
     rows = df.filter(df[lang].isNotNull()).select(df[lang].cast("string").alias("lang"), df[text].cast("string").alias("text"),
                                                   F.pmod(F.xxhash64(key), F.lit(1_000_000)).alias("draw"))
@@ -136,10 +137,19 @@ def learn_filters(df: DataFrame, text: str, lang: str, key: Column, documents: i
     counted = drawn.mapInArrow(count, "language long, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     share = counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("language")))
     frequent = share.filter(F.col("share") >= LEAST_SHARE).withColumn("top", F.max("share").over(Window.partitionBy("gram")))
-    for batch in frequent.filter(F.col("share") * MOST_TIMES >= F.col("top")).select("language", "gram").toArrow().to_batches():
-        language, grams = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        for at in positions(grams, POSITION_BITS, HASHES):
-            np.bitwise_or.at(table, (at, language // 64), np.uint64(1) << (language % 64).astype(np.uint64))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            language, grams = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            bit = (np.uint64(1) << (language % 64).astype(np.uint64)).view(np.int64)
+            for at in positions(grams, POSITION_BITS, HASHES):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(language // 64), pa.array(bit)], ["position", "word", "bits"])
+
+    chosen = frequent.filter(F.col("share") * MOST_TIMES >= F.col("top")).select("language", "gram")
+    filled = chosen.mapInArrow(place, "position long, word long, bits long").groupBy("position", "word").agg(F.bit_or("bits").alias("bits"))
+    for batch in filled.toArrow().to_batches():
+        at, word, bits = (batch.column(i).to_numpy() for i in range(3))
+        table[at, word] = bits.view(np.uint64)
     return Filters(languages, numbers[max(languages, key=lambda x: (counts[x], x))], table, HASHES)
 
 
@@ -181,7 +191,12 @@ def fold(key: Column) -> Column:
 
 
 def identify(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """``key``, held_out, lang_pred and score of every row, with filters learned from the rows not held out."""
+    """``key``, held_out, lang_pred and score of every row, with filters learned from the rows not held out.
+
+    A null text, and one without letters, is ``und`` with score 0; so is every text if no row that is not held
+    out has a language. A null key is held out or not as the empty text. Repeated rows are answered alike, each.
+    Other columns are not read. An empty table gives none.
+    """
     rows = df.select(df[key].alias("key"), df[text].cast("string").alias("text"), df[lang].alias("lang"))
     filters = learn_filters(rows.filter(fold(F.col("key")) != 2), "text", "lang", F.coalesce(F.col("key").cast("string"), F.lit("")))
     found = predict_language(rows.select("key", (fold(F.col("key")) == 2).alias("held_out"), "text"), "text", filters)
