@@ -37,6 +37,9 @@ class Params:
     utc_offset_hours: int = 8
     lookback_months: int = 2
 
+    #: Whether sums of amounts are the same bit for bit however rows are partitioned, at some cost.
+    exact_sums: bool = False
+
     # First day each source is read from (fixed values)
     economics_from: date = date(2022, 6, 1)
     history_from: date = date(2022, 1, 1)

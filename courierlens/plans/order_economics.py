@@ -5,28 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courierlens.functions.accounts import Account, keep
 from courierlens.functions.clock import on_or_after
-from courierlens.functions.measures import ratio
+from courierlens.functions.measures import ratio, total
 from courierlens.functions.rules import any_positive, flag, floor_zero, subsidy_split
 from courierlens.params import Params
 from courierlens.sources.catalog import Catalog
 
 
-def eligible_orders(catalog: Catalog, params: Params) -> DataFrame:
+def eligible_orders(catalog: Catalog, params: Params, account: Account | None = None) -> DataFrame:
     """Valid delivered orders with their vendor type; an unknown vendor drops the order."""
     o, t = catalog["shop_orders"], catalog["vendor_types"]
-    orders = o.filter(
-        (o.entity == params.entity)
-        & on_or_after(o.expected_delivery_at_local, params.economics_from)
-        & (o.created_date_utc < F.lit(params.as_of))
-        & ~o.is_test_order
-        & o.is_valid_order
-        & (o.expedition_type == params.delivery)
-        & (o.minimum_delivery_value_local != params.wide_area_minimum)
-    ).select("uuid", "code", "vendor_code", "expected_delivery_at_local", "minimum_delivery_value_local",
+    orders = keep(o, "shop_orders", {
+        "tenant": o.entity == params.entity,
+        "delivered since": on_or_after(o.expected_delivery_at_local, params.economics_from),
+        "created before": o.created_date_utc < F.lit(params.as_of),
+        "no test": ~o.is_test_order,
+        "valid": o.is_valid_order,
+        "by delivery": o.expedition_type == params.delivery,
+        "other minimum": o.minimum_delivery_value_local != params.wide_area_minimum,
+    }, account).select("uuid", "code", "vendor_code", "expected_delivery_at_local", "minimum_delivery_value_local",
              "total_value_local", "delivery_fee_original_local", "delivery_fee_vat_rate")
-    types = t.filter((t.entity == params.entity) & (t.business_type_apac != params.excluded_store_type)
-                     ).select("vendor_code", "business_type_apac", "is_kitchens")
+    types = keep(t, "vendor_types", {"tenant": t.entity == params.entity, "other store": t.business_type_apac != params.excluded_store_type},
+                 account).select("vendor_code", "business_type_apac", "is_kitchens")
     expected, fee = F.col("expected_delivery_at_local"), F.col("delivery_fee_original_local")
     kind, kitchens = F.col("business_type_apac"), F.col("is_kitchens")
     return orders.join(types, "vendor_code").select(
@@ -43,9 +44,10 @@ def eligible_orders(catalog: Catalog, params: Params) -> DataFrame:
         flag(fee.isin(*params.low_fees)).alias("is_low_fee"))
 
 
-def _subsidies(rows: DataFrame, name: str, kind: str, amount: str, params: Params) -> DataFrame:
+def _subsidies(rows: DataFrame, name: str, kind: str, amount: str, params: Params, account: Account | None) -> DataFrame:
     vendor, platform = subsidy_split(F.col(amount), F.col("platform_share_pct"))
-    split = rows.filter((rows.entity == params.entity) & (rows.created_date_utc < F.lit(params.as_of))).select(
+    conditions = {"tenant": rows.entity == params.entity, "created before": rows.created_date_utc < F.lit(params.as_of)}
+    split = keep(rows, f"order_{name}s", conditions, account).select(
         "uuid", F.col(kind).alias("_kind"), vendor.alias(f"vendor_{name}"), platform.alias(f"platform_{name}"))
     free = F.col("_kind") == params.free_delivery
     paid = any_positive(F.col(f"vendor_{name}"), F.col(f"platform_{name}"))
@@ -55,14 +57,14 @@ def _subsidies(rows: DataFrame, name: str, kind: str, amount: str, params: Param
         flag(paid).alias(f"{name}_paid"))
 
 
-def voucher_rows(catalog: Catalog, params: Params) -> DataFrame:
+def voucher_rows(catalog: Catalog, params: Params, account: Account | None = None) -> DataFrame:
     """Vouchers split by payer: both parts, the free-delivery amount, whether anything was paid."""
-    return _subsidies(catalog["order_vouchers"], "voucher", "type", "value_local", params)
+    return _subsidies(catalog["order_vouchers"], "voucher", "type", "value_local", params, account)
 
 
-def discount_rows(catalog: Catalog, params: Params) -> DataFrame:
+def discount_rows(catalog: Catalog, params: Params, account: Account | None = None) -> DataFrame:
     """The same of discounts."""
-    return _subsidies(catalog["order_discounts"], "discount", "discount_type", "discount_amount_local", params)
+    return _subsidies(catalog["order_discounts"], "discount", "discount_type", "discount_amount_local", params, account)
 
 
 def with_net_fee(rows: DataFrame) -> DataFrame:
@@ -93,16 +95,16 @@ def order_rows(catalog: Catalog, params: Params) -> DataFrame:
     })
 
 
-def _per_order(rows: DataFrame, name: str) -> DataFrame:
+def _per_order(rows: DataFrame, name: str, params: Params) -> DataFrame:
     """Subsidy rows of an order that waive the same amount, as one row with their count."""
     return rows.groupBy("uuid", f"{name}_free").agg(
         F.count(F.lit(1)).alias(f"{name}_rows"),
         F.sum(f"{name}_paid").alias(f"{name}_paid"),
-        F.sum(f"vendor_{name}").alias(f"vendor_{name}"),
-        F.sum(f"platform_{name}").alias(f"platform_{name}"))
+        total(F.col(f"vendor_{name}"), params).alias(f"vendor_{name}"),
+        total(F.col(f"platform_{name}"), params).alias(f"platform_{name}"))
 
 
-def order_totals(catalog: Catalog, params: Params) -> DataFrame:
+def order_totals(catalog: Catalog, params: Params, account: Account | None = None) -> DataFrame:
     """Sums over all pairings of an order's voucher and discount rows, per code, date and hour.
 
     Only the net fee depends on a pairing, and only through the two waived amounts. So
@@ -111,9 +113,9 @@ def order_totals(catalog: Catalog, params: Params) -> DataFrame:
     for "paid by either" all pairings less those paid by neither.
     """
     pairs = with_net_fee(
-        eligible_orders(catalog, params).filter(F.col("code").isNotNull())
-        .join(_per_order(voucher_rows(catalog, params), "voucher"), "uuid")
-        .join(_per_order(discount_rows(catalog, params), "discount"), "uuid"))
+        eligible_orders(catalog, params, account).filter(F.col("code").isNotNull())
+        .join(_per_order(voucher_rows(catalog, params, account), "voucher", params), "uuid")
+        .join(_per_order(discount_rows(catalog, params, account), "discount", params), "uuid"))
     vouchers, discounts = F.col("voucher_rows"), F.col("discount_rows")
     copies = vouchers * discounts
     paid = copies - (vouchers - F.col("voucher_paid")) * (discounts - F.col("discount_paid"))
@@ -124,32 +126,36 @@ def order_totals(catalog: Catalog, params: Params) -> DataFrame:
         F.sum(low * copies).alias("low"),
         F.sum(F.when(low == 1, copies).otherwise(paid)).alias("paid_or_low"),
         F.sum(low * paid).alias("paid_and_low"),
-        F.sum(F.col("total_value_local") * copies).alias("total_value"),
-        F.sum(F.col("minimum_delivery_value_local") * copies).alias("minimum_value"),
+        total(F.col("total_value_local") * copies, params).alias("total_value"),
+        total(F.col("minimum_delivery_value_local") * copies, params).alias("minimum_value"),
         # Net fees have two decimals, so they are added exactly, whatever the row order.
         F.sum(F.col("net_delivery_fee").cast("decimal(18,2)") * copies).alias("net_fee"),
-        F.sum(F.col("vendor_discount") * vouchers).alias("vendor_discount"),
-        F.sum(F.col("platform_discount") * vouchers).alias("platform_discount"),
-        F.sum(F.col("vendor_voucher") * discounts).alias("vendor_voucher"),
-        F.sum(F.col("platform_voucher") * discounts).alias("platform_voucher"))
+        total(F.col("vendor_discount") * vouchers, params).alias("vendor_discount"),
+        total(F.col("platform_discount") * vouchers, params).alias("platform_discount"),
+        total(F.col("vendor_voucher") * discounts, params).alias("vendor_voucher"),
+        total(F.col("platform_voucher") * discounts, params).alias("platform_voucher"))
 
 
-def daily_orders(catalog: Catalog, params: Params) -> DataFrame:
+def daily_orders(catalog: Catalog, params: Params, account: Account | None = None) -> DataFrame:
     """Both sides of the profit join are reduced to one row per code and group first.
 
     Each code then meets a zone, date and hour once, so counting rows counts distinct
     orders; sums of one side are weighted with the row count of the other.
     """
     p = catalog["order_profit"]
-    profit = p.filter(p.vendor_business_type == params.restaurant_type).groupBy("order_code", "zone_name").agg(
-        F.count(F.lit(1)).alias("profit_rows"), F.sum("gpo_excl_wastage").alias("gp"), F.sum("gmv_local").alias("gmv"))
-    joined = order_totals(catalog, params).join(profit, F.col("code") == F.col("order_code"))
+    restaurants = keep(p, "order_profit", {"restaurant": p.vendor_business_type == params.restaurant_type}, account)
+    profit = restaurants.groupBy("order_code", "zone_name").agg(
+        F.count(F.lit(1)).alias("profit_rows"), total(F.col("gpo_excl_wastage"), params).alias("gp"), total(F.col("gmv_local"), params).alias("gmv"))
+    joined = order_totals(catalog, params, account).join(profit, F.col("code") == F.col("order_code"))
+
+    exact = {"net_fee", "paid", "low", "paid_or_low", "paid_and_low"}  # whole numbers and decimals
 
     def of_orders(name: str):
-        return F.sum(F.col(name) * F.col("profit_rows"))
+        weighted = F.col(name) * F.col("profit_rows")
+        return F.sum(weighted) if name in exact else total(weighted, params)
 
     def of_profit(name: str):
-        return F.sum(F.col(name) * F.col("copies"))
+        return total(F.col(name) * F.col("copies"), params)
 
     orders, gmv = F.count("order_code"), of_profit("gmv")
     return joined.groupBy("zone_name", "date_local", "hour").agg(

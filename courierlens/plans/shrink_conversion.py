@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courierlens.functions.clock import at, lookback, minute_of, shift
-from courierlens.functions.measures import sum_or_zero, without_ads
+from courierlens.functions.measures import total, without_ads
 from courierlens.functions.rules import any_like, classify_like
 from courierlens.operators.intervals import attribute_minute, coverage_segments
 from courierlens.operators.joins import stats_join
@@ -99,8 +99,8 @@ def shrink_orders(catalog: Catalog, params: Params, spans: DataFrame | None = No
     return (labelled.withColumn("shrink_event", F.coalesce("shrink_event", F.lit(params.no_shrink)))
             .groupBy("date_local", "hour_", "zone_name", "shrink_event")
             .agg(F.count_distinct("order_code").alias("total_orders"),
-                 sum_or_zero(F.col("gpo_excl_wastage") * copies).alias("total_gp"),
-                 F.sum(net * copies).alias("total_gp_wo_ad")))
+                 total(F.coalesce(F.col("gpo_excl_wastage") * copies, F.lit(0.0)), params).alias("total_gp"),
+                 total(net * copies, params).alias("total_gp_wo_ad")))
 
 
 def daily_conversion_by_shrink(catalog: Catalog, params: Params, facts: Facts | None = None) -> DataFrame:

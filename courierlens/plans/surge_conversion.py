@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courierlens.functions.clock import at, clock_text, minute_of, to_local
-from courierlens.functions.measures import without_ads
+from courierlens.functions.measures import total, without_ads
 from courierlens.operators.aggregates import extreme_with_ties
 from courierlens.operators.intervals import attribute_minute, validity_intervals
 from courierlens.operators.joins import clamped_band_label, stats_join
@@ -114,8 +114,8 @@ def surge_orders(catalog: Catalog, params: Params, profit: DataFrame | None = No
             .withColumn("surge_event", F.coalesce("surge_event", F.lit(params.no_surge)))
             .groupBy("date_local", "hour_", "zone_name", "surge_event")
             .agg(F.count_distinct("order_code").alias("total_orders"),
-                 F.sum("gpo_excl_wastage").alias("total_gp"),
-                 F.sum(net).alias("total_gp_wo_ad")))
+                 total(F.col("gpo_excl_wastage"), params).alias("total_gp"),
+                 total(net, params).alias("total_gp_wo_ad")))
 
 
 def daily_conversion_by_surge(catalog: Catalog, params: Params, facts: Facts | None = None) -> DataFrame:

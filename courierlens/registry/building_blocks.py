@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courierlens.functions import clock, measures, rules
 from courierlens.operators.aggregates import extreme_with_ties, keep_best
+from courierlens.operators.carry import fill_forward_scan
 from courierlens.operators.funnels import session_flags, step_counts
 from courierlens.operators.intervals import active_count
 from courierlens.operators.joins import exists_flag, not_in, semi_in, stats_join
@@ -42,10 +43,12 @@ def date_spine_orders(t) -> DataFrame:
         F.count("o_orderkey").alias("orders"))
 
 
-def fill_forward_events(t) -> DataFrame:
-    sparse = t("events").select("event_id", "user_id", "ts",
-                                F.when(F.col("event_id") % 4 == 0, F.col("value")).alias("value"))
-    return fill_forward(sparse, "user_id", "ts", "value", "known_value")
+def filled_events(fill):
+    def build(t) -> DataFrame:
+        sparse = t("events").select("event_id", "user_id", "ts",
+                                    F.when(F.col("event_id") % 4 == 0, F.col("value")).alias("value"))
+        return fill(sparse, "user_id", "ts", "value", "known_value")
+    return build
 
 
 def active_count_customers(t) -> DataFrame:
@@ -229,6 +232,10 @@ def window_days(t) -> DataFrame:
         F.count("event_id").alias("events"))
 
 
+_FILLED_SQL = """
+SELECT event_id, user_id, ts, v AS value, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts) AS known_value
+FROM (SELECT *, CASE WHEN event_id % 4 = 0 THEN value END AS v FROM events)"""
+
 _LOCAL = "(ts + INTERVAL 8 HOUR)"
 
 OPERATORS: dict[str, Direct] = {
@@ -240,9 +247,8 @@ OPERATORS: dict[str, Direct] = {
 SELECT CAST(day AS DATE) AS day, count(*) AS orders
 FROM (SELECT unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 - 2 AS INTEGER),
              INTERVAL 1 DAY)) AS day FROM orders) GROUP BY 1"""),
-    "fill_forward": Direct(fill_forward_events, """
-SELECT event_id, user_id, ts, v AS value, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts) AS known_value
-FROM (SELECT *, CASE WHEN event_id % 4 = 0 THEN value END AS v FROM events)""", ("value", "known_value")),
+    "fill_forward": Direct(filled_events(fill_forward), _FILLED_SQL, ("value", "known_value")),
+    "fill_forward_scan": Direct(filled_events(fill_forward_scan), _FILLED_SQL, ("value", "known_value")),
     "active_count": Direct(active_count_customers, """
 WITH s AS (SELECT c_custkey, c_mktsegment, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) - 400 AS b
            FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),

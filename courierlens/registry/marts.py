@@ -20,6 +20,7 @@ from courierlens.plans import active_vendors, conversion, dimensions
 from courierlens.plans import offline_hours, order_economics, restaurant_funnel, shrink_conversion, surge_conversion
 from courierlens.plans import vendor_lateness
 from courierlens.registry.entries import Entry
+from courierlens.registry.layouts import fee_flags_co_located, refused_orders, refused_sql, restaurant_sessions_co_located
 from courierlens.registry.refreshes import shrink_refreshed, surge_refreshed
 from courierlens.registry.relations import GROUP_KEYS
 from courierlens.sources.catalog import Catalog
@@ -209,6 +210,9 @@ WINDOWS: dict[str, Entry] = {
     "conversion_by_surge_late_floors": _moved(
         plans.daily_conversion_by_surge, "surge_result", PROFIT, as_of=LATE, zone_stats_from=date(2024, 1, 25),
         surge_bands_from=date(2024, 1, 24)),
+    "daily_orders_exact_sums": Entry(plans.daily_orders, replace(COMMERCE, exact_sums=True), "commerce", "order_economics", ECONOMICS),
+    "conversion_by_shrink_exact_sums": _moved(plans.daily_conversion_by_shrink, "shrink_result", PROFIT, exact_sums=True),
+    "conversion_by_surge_exact_sums": _moved(plans.daily_conversion_by_surge, "surge_result", PROFIT, exact_sums=True),
     "conversion_by_shrink_refreshed": _traffic(shrink_refreshed, "shrink_result", PROFIT),
     "conversion_by_surge_refreshed": _traffic(surge_refreshed, "surge_result", PROFIT),
     "conversion_by_surge_refreshed_late_window": _moved(surge_refreshed, "surge_result", PROFIT, as_of=LATE),
@@ -216,6 +220,10 @@ WINDOWS: dict[str, Entry] = {
         plans.daily_restaurant_conversion_funnel, "funnel_rows", history_from=date(2024, 1, 12)),
 }
 
+FEE_FLAGS = (
+    "SELECT uuid, code, CAST(max(CAST(low_and_funded AS INTEGER)) AS INTEGER) AS is_low_fee, "
+    "CAST(max(CAST(low_and_funded OR discount_free OR voucher_free AS INTEGER)) AS INTEGER) "
+    "AS is_fee_incentivised FROM cut_pairs GROUP BY uuid, code")
 IN_BAND = ("SELECT k.zone_name, CAST(k.minute AS DATE) AS day, k.minute, k.mean_delay, b.surge_event, "
            "b.surge_fee FROM known_delays k LEFT JOIN bands b ON b.zone_name = k.zone_name "
            "AND b.date_updated = CAST(k.minute AS DATE) AND k.mean_delay BETWEEN b.mean_delay_start AND b.mean_delay_end")
@@ -240,10 +248,12 @@ INTERMEDIATE: dict[str, Entry] = {
     "shrink_coverage": _traffic(
         shrink_coverage, "SELECT lg_zone_uuid, shrink_event, CAST(minute AS DATE) AS day, minute, count(*) AS covering "
         "FROM event_minutes WHERE minute IS NOT NULL GROUP BY lg_zone_uuid, shrink_event, minute"),
-    "order_fee_flags": _traffic(
-        order_fee_flags, "SELECT uuid, code, CAST(max(CAST(low_and_funded AS INTEGER)) AS INTEGER) AS is_low_fee, "
-        "CAST(max(CAST(low_and_funded OR discount_free OR voucher_free AS INTEGER)) AS INTEGER) "
-        "AS is_fee_incentivised FROM cut_pairs GROUP BY uuid, code"),
+    "order_fee_flags": _traffic(order_fee_flags, FEE_FLAGS),
+    "order_fee_flags_co_located": _traffic(fee_flags_co_located, FEE_FLAGS),
+    "restaurant_sessions_co_located": _traffic(
+        lambda c, p: restaurant_sessions_co_located(c, p).select("ga_session_id", "lg_zone_uuid", "lg_zone_name", "is_transaction", "local_ts").distinct(),
+        "SELECT DISTINCT ga_session_id, lg_zone_uuid, lg_zone_name, is_transaction, local_ts FROM seen"),
+    "order_conditions_refused": _commerce(refused_orders, refused_sql(COMMERCE)),
     "fee_incentivised_codes": _traffic(
         lambda c, p: conversion.fee_incentivised_codes(c, p).distinct(), "SELECT DISTINCT code FROM cut_codes"),
     "shrink_labelled_sessions": _traffic(
