@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from courierlens.llm import stages
@@ -34,9 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document, or each piece of a long one, lies in which sequence."""
+    """Where each document, or each piece of a long one, lies in which sequence of token ids."""
     prepare(spark)
-    return stages.pack_words(docs, "doc_id", "text", SEQUENCE_COSTS)
+    return stages.pack_tokens(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), SEQUENCE_COSTS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -46,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: SQL can express none of the four methods; tests hold them against brute force.
+#: SQL can express none of the four methods; tests hold each stage against a literal version.
 ORACLE_SQL: str | None = None
 
 
