@@ -160,7 +160,7 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10,
 
     Candidates of a query are all rows but those with its own key; ties go to the smaller key. A
     query looks at the cells nearest to it that hold ``share`` of all rows, and ``least`` rows, at
-    least, those of its own key not counted, so it gets ``k`` rows wherever there are so many. Vectors
+    least, and as many more as have its own key, so it gets ``k`` rows wherever there are so many. Vectors
     that are null, all zero or hold null or non-finite components take no part, nor do rows without
     key or of another dimension than most. Rows that repeat a key and vector count once, as entries and
     as queries; different vectors of one key are entries of their own, and a list each as queries.
@@ -217,10 +217,9 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10,
     chunks = max(1, math.ceil(queries / BLOCK_QUERIES))
     wanted = max(least, k, math.ceil(share * total))
 
-    # What each cell holds of a query's own key: a cell or two, unless a key has many vectors.
+    # How many rows have a query's own key: these are no candidates, so that many more are visited.
     asked = placed.filter("asks").select("row", "id", "x")
-    mine = placed.join(asked.select("id").distinct(), "id", "left_semi").groupBy("id", "cell").agg(F.count(F.lit(1)).alias("n"))
-    mine = mine.groupBy(F.col("id").alias("_id")).agg(F.collect_list("cell").alias("own"), F.collect_list("n").alias("own_n"))
+    mine = placed.join(asked.select("id").distinct(), "id", "left_semi").groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("own"))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,10 +227,8 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10,
                 continue
             d1, d2 = books.halves(_matrix(batch.column(2)))
             taken, into, limits = [], [], []
-            for at, (own, own_n) in enumerate(zip(batch.column(3), batch.column(4))):
-                others = counts.copy()
-                others[own.values.to_numpy()] -= own_n.values.to_numpy()
-                cells, limit = traverse(d1[at], d2[at], others, wanted)
+            for at, own in enumerate(batch.column(3).to_pylist()):
+                cells, limit = traverse(d1[at], d2[at], counts, wanted + own)
                 parts = blocks_of[cells]
                 found = np.unique(np.repeat(first_block[cells], parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
                 taken.append(np.full(len(found), at))
@@ -243,7 +240,7 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10,
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(3)], pa.array(limit + 1e-9 * (1 + limit)), pa.array(np.concatenate(into))],
                                              ["row", "id", "x", "reach", "block"])
 
-    asks = asked.join(mine, F.col("id") == F.col("_id")).select("row", "id", "x", "own", "own_n")
+    asks = asked.join(mine, F.col("id") == F.col("_id")).select("row", "id", "x", "own")
     asks = asks.mapInArrow(visit, "row long, id long, x array<double>, reach double, block long")
     asks = asks.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
 
