@@ -17,11 +17,11 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,12 +122,14 @@ def pack_documents(df: DataFrame, key: str, size: Column, costs: Mapping[int, fl
     return packed.withColumnRenamed("key", key)
 
 
-_encodings: dict[str, tiktoken.Encoding] = {}
+_encodings: dict[str, Any] = {}
 
 
-def encoding(path: str) -> tiktoken.Encoding:
-    """The tokenizer of a file of base64 tokens and ranks, one per worker process. Without special tokens."""
+def encoding(path: str) -> Any:
+    """The library's tokenizer for a file of base64 tokens and ranks, one per worker process. Without special tokens."""
     if path not in _encodings:
+        import tiktoken
+
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
         _encodings[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
