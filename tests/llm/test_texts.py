@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from courierlens.llm import language, minhash, quality, stages
+from courierlens.llm import language, minhash, packing, quality, stages
 from courierlens.llm.queries import QUERIES, good_label
 from courierlens.llm.sketch import sketch
 from courierlens.llm.words import shingle_sets, sliced, word_hashes
@@ -153,6 +154,51 @@ def test_languages_of_held_out_documents(small):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def literal_shares(rows, learned):
+    """Per document the share of its n-grams that each language has, with sets in the place of Bloom filters. ``learned`` tells by its key whether a row is learned from."""
+    def grams(text):
+        spaced = " " + re.sub(r"[\W\d_]+", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in text or "")) + " "
+        return [spaced[i - 1:i + 2] for i in range(1, len(spaced) - 1) if spaced[i] != " "]
+
+    counts = {}
+    for key, text, lang in rows:
+        if lang is not None and learned(key):
+            counts.setdefault(lang, Counter()).update(grams(text))
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items() if n / sum(c.values()) >= language.LEAST_SHARE} for lang, c in counts.items()}
+    top = {g: max(s.get(g, 0) for s in share.values()) for g in set().union(*share.values())}
+    known = {lang: {g for g, v in s.items() if v * language.MOST_TIMES >= top[g]} for lang, s in share.items()}
+    return {key: {lang: sum(g in has for g in own) / len(own) for lang, has in known.items()} if (own := grams(text)) else None for key, text, _ in rows}
+
+
+def test_languages_equal_those_of_literal_sets(small):
+    spark, sf_dir = small
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows += [(9001, None, None), (9002, "12 !!", "en"), (9003, "the one and the other", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = literal_shares(rows, lambda key: zlib.crc32(str(key).encode()) % 4 != 2)
+    for r in language.identify(df, "doc_id", "text", "lang").collect():
+        shares = want[r["doc_id"]]
+        if shares is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        # What false positives of the filters add on average is taken off again.
+        best = max(shares.values())
+        assert abs(r["score"] - best) < 0.05 and shares[r["lang_pred"]] > best - 0.05
+    assert sum(s is not None for s in want.values()) > 150
+
+
+def test_documents_in_a_known_language_stay(small):
+    spark, sf_dir = small
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows += [(9001, None, None), (9002, "12 !!", "en"), (9003, "щур вздых фэйл жъю", None), (9004, "wqxz kkvj zzxq jjqk " * 5, None), (9005, "", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in stages.keep_known_language(df, "doc_id", "text", "lang").collect()}
+    best = {i: max(shares.values()) if shares else 0 for i, shares in literal_shares(rows, lambda key: True).items()}
+    assert {i for i, b in best.items() if b > stages.LEAST_LANGUAGE_SCORE + 0.05} <= kept <= {i for i, b in best.items() if b > stages.LEAST_LANGUAGE_SCORE - 0.05}
+    assert not kept & {9001, 9002, 9003, 9004, 9005} and len(kept) > 150
+    assert stages.keep_known_language(df.limit(0), "doc_id", "text", "lang").count() == 0
+
+
 def test_languages_of_odd_documents(odd_documents):
     df = odd_documents.withColumn("lang", F.when(F.col("doc_id") == 11, "es").otherwise(F.col("lang")))
     rows = {r["doc_id"]: r for r in language.identify(df, "doc_id", "text", "lang").collect()}
@@ -221,6 +267,79 @@ def test_log_weights_are_the_literal_ratio_of_both_models(small):
     assert weight[80] == weight[81] == 0 and min(weight[i] for i in range(1, 80, 2)) > 0 > max(weight[i] for i in range(0, 80, 2))
 
 
+def literal_acceptance(rows, good):
+    """doc_id -> (score, accepted), by sets of words and their beginnings, and counts of pairs of word shapes."""
+    def held(text):
+        words = (text or "").lower().split()
+        return {("word", w) for w in words} | {(n, w[:n]) for w in words for n in (4, 6, 8)}
+
+    def shapes(text):
+        found, last = [63], None
+        for w in (text or "").split():
+            upper, digits = sum(c.isupper() for c in w), sum(c.isdigit() for c in w)
+            other = sum(not c.isalnum() for c in w)
+            loud = upper > 1 and 2 * upper > len(w) - digits - other
+            found.append(w[0].isupper() + 2 * loud + 4 * (digits > 0) + 8 * min(other, 2) + 32 * (w.lower() == last))
+            last = w.lower()
+        return list(zip(found, found[1:]))
+
+    target = [t for i, t in rows if good.get(i)]
+    has, wanted = (Counter(x for t in texts for x in held(t)) for texts in ([t for _, t in rows], target))
+    pairs, of_target = (Counter(x for t in texts for x in shapes(t)) for texts in ([t for _, t in rows], target))
+    every, own = sum(pairs.values()), sum(of_target.values())
+    score = {}
+    for i, text in rows:
+        words = sum(min(0, np.log((wanted[x] + 8 * wanted[x] ** 0.5 + 4) / (has[x] * len(target) / len(rows)))) for x in held(text))
+        mine = shapes(text)
+        mean = sum(np.log((of_target[x] + 1) / (pairs[x] * own / every + 1)) for x in mine) / max(len(mine), 1)
+        score[i] = words + 10 * mean
+    kept, gone = ([score[i] for i in good if bool(good[i]) == side] for side in (True, False))
+    values = sorted({*kept, *gone})
+    worth = [10 * sum(k >= v for k in kept) / len(kept) + sum(g < v for g in gone) / len(gone) for v in values]
+    at = worth.index(max(worth))
+    cut = values[0] - 1 if not at else (values[at] + values[at - 1]) / 2
+    return {i: (v, v >= cut) for i, v in score.items()}
+
+
+def test_acceptance_equals_the_literal_score(small):
+    """Also where labels are repeated or contradict each other, and where a labelled document is repeated many times."""
+    spark, _ = small
+    rng = random.Random(11)
+    fine, poor = [f"fine{i}word" for i in range(25)], [f"poor{i}thing" for i in range(6)]
+    rows = []
+    for i in range(400):
+        words = rng.choices(fine, k=30)
+        if i % 3 == 0:
+            words[rng.randrange(30)] = rng.choice(poor)
+        if i % 5 == 0:
+            words = [rng.choice([w.upper(), w + "!!", w + "7"]) for w in words]
+        rows.append((i, " ".join(words).capitalize()))
+    good = {i: int(i % 3 != 0 and i % 5 != 0) for i in range(300)}
+    labels = [(i, g, 0) for i, g in good.items()] * 2 + [(7, 0, 0), (None, 1, 0), (9999, 1, 0)]
+    good[7] = 0
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = literal_acceptance(rows, good)
+    got = {r["doc_id"]: r["accepted"] for r in quality.select_quality(df, "doc_id", "text", marks, "doc_id", good_label()).collect()}
+    # Few n-grams share a bucket; those that do move a score by little.
+    assert sum(got[i] != accepted for i, (_, accepted) in want.items()) <= 2 and 100 < sum(got.values()) < 300
+    model = quality.fit(df, "doc_id", "text", marks, "doc_id", good_label())
+    scores = {r["doc_id"]: r["score"] for r in quality.weigh(df, "text", model, "weight", "score").collect()}
+    assert np.median([abs(scores[i] - v) for i, (v, _) in want.items()]) < 1e-4
+    kept = {r["doc_id"] for r in stages.keep_good_quality(df, "doc_id", "text", marks, "doc_id", good_label()).collect()}
+    assert kept == {i for i, a in got.items() if a}
+
+
+def test_a_hot_labelled_document_counts_once(small):
+    spark, _ = small
+    df = spark.range(3000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("some words "), F.col("id") % 50).alias("text"))
+    labels = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    model = quality.fit(df, "doc_id", "text", labels, "doc_id", good_label())
+    # A row for the hot key and one for each odd id from 2001 on.
+    joined = quality.labelled_texts(df.select(F.col("doc_id").alias("key"), "text"), labels, "doc_id", good_label(), 30_000)
+    assert joined.count() == 501 and np.isfinite(model.ratios).all()
+
+
 def test_what_stands_behind_the_eighth_byte_counts(small):
     spark, _ = small
     rng = random.Random(9)
@@ -264,11 +383,12 @@ def test_pipeline_stages_keep_columns_and_take_effect(small):
     assert 9000 not in {r["doc_id"] for r in kept["language"]} and len(kept["language"]) == 200
     near = groups([(r["doc_id"], r["text"]) for r in kept["quality"]], 5)
     assert {r["doc_id"] for r in kept["near_duplicates"]} == {i for i, (_, c) in near.items() if i == c}
-    words = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in kept["near_duplicates"]}
+    encode = packing.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).encode_ordinary
+    tokens = {r["doc_id"]: len(encode(r["text"])) + 1 for r in kept["near_duplicates"]}
     packed = Counter()
     for r in kept["packing"]:
         packed[r["doc_id"]] += r["size"]
-    assert dict(packed) == words
+    assert dict(packed) == tokens
 
 
 def test_one_row_of_each_group_stays_whatever_keys_and_rows_are_repeated(small):
