@@ -43,6 +43,8 @@ GRAM_BITS = 18
 SHAPES = 64
 #: Labelled rows that the target model and the threshold are fitted on, drawn by a hash of their id.
 LABELLED_ROWS = 30_000
+#: Counting tasks per core, and bytes of texts that are looked at together.
+TASKS, SLICE_BYTES = 4, 1 << 19
 #: Weight of the mean over shapes against a single word n-gram.
 SHAPE_FACTOR = 10.0
 #: How much keeping good documents counts against finding bad ones when the threshold is chosen.
@@ -86,13 +88,17 @@ def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def counts(df: DataFrame) -> DataFrame:
-    """(bucket, n) over rows of (text), with the number of texts as bucket -1."""
+    """(bucket, n) over rows of (text), with the number of texts as bucket -1.
+
+    A task gives out a row for nearly every bucket, however little it reads, so small input partitions are
+    read together: there are no more than TASKS tasks for each core.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(_BUCKETS, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for _, _, texts in sliced(batch.column(0).to_pylist()):
+            for _, _, texts in sliced(batch.column(0).to_pylist(), SLICE_BYTES):
                 total += np.bincount(np.concatenate([b for b, _ in features(texts)]), minlength=_BUCKETS)
         some = np.flatnonzero(total)
         for at in range(0, len(some), 50_000):
@@ -101,12 +107,16 @@ def counts(df: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([rows])], ["bucket", "n"])
 
-    return df.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    tasks = TASKS * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(tasks).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
 class WeightModel:
-    """Per bucket the log ratio and the penalty (of shapes: their part of the score), of fixed size, and the least score that is accepted."""
+    """Log ratios of the buckets of n-grams, penalties of those behind them (of shapes: their part of the score), and the least score accepted.
+
+    Of fixed size, in single precision, since every task gets them.
+    """
 
     ratios: np.ndarray
     penalties: np.ndarray
@@ -116,8 +126,8 @@ class WeightModel:
         """Log weights and scores."""
         (grams, of_grams), (held, of_held), (pairs, of_pairs) = features(texts)
         weight = np.bincount(of_grams, self.ratios[grams], len(texts))
-        words = np.bincount(of_held, self.penalties[held], len(texts))
-        shapes = np.bincount(of_pairs, self.penalties[pairs], len(texts)) / np.maximum(np.bincount(of_pairs, minlength=len(texts)), 1)
+        words = np.bincount(of_held, self.penalties[held - _HELD_FROM], len(texts))
+        shapes = np.bincount(of_pairs, self.penalties[pairs - _HELD_FROM], len(texts)) / np.maximum(np.bincount(of_pairs, minlength=len(texts)), 1)
         return weight, words + SHAPE_FACTOR * shapes
 
 
@@ -143,7 +153,7 @@ def log_ratios(target: Counted, raw: Counted) -> np.ndarray:
 
     Both are smoothed by the same number per bucket: one occurrence in a text as long as the target.
     """
-    found = np.zeros(_BUCKETS)
+    found = np.zeros(_HELD_FROM, np.float32)
     for kind in range(_KINDS):
         own = slice(kind << GRAM_BITS, (kind + 1) << GRAM_BITS)
         expected = raw.n[own] * (target.n[own].sum() / max(raw.n[own].sum(), 1))
@@ -152,14 +162,15 @@ def log_ratios(target: Counted, raw: Counted) -> np.ndarray:
 
 
 def penalties(target: Counted, raw: Counted) -> np.ndarray:
-    """Per bucket its part of the score; see the module's text for the two parts."""
+    """Per bucket from _HELD_FROM on its part of the score; see the module's text for the two parts."""
     held, shapes = slice(_HELD_FROM, _SHAPES_FROM), slice(_SHAPES_FROM, None)
-    found = np.zeros(_BUCKETS)
+    words = _SHAPES_FROM - _HELD_FROM
+    found = np.zeros(_BUCKETS - _HELD_FROM, np.float32)
     expected = raw.n[held] * (target.rows / max(raw.rows, 1))
     at_most = target.n[held] + 8 * np.sqrt(target.n[held]) + 4
-    found[held] = np.minimum(0, np.log(at_most / np.maximum(expected, 1e-9)))
+    found[:words] = np.minimum(0, np.log(at_most / np.maximum(expected, 1e-9)))
     expected = raw.n[shapes] * (target.n[shapes].sum() / max(raw.n[shapes].sum(), 1))
-    found[shapes] = np.log((target.n[shapes] + 1) / (expected + 1))
+    found[words:] = np.log((target.n[shapes] + 1) / (expected + 1))
     return found
 
 
@@ -174,6 +185,18 @@ def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
     return float(values[0] - 1) if not at else float((values[at] + values[at - 1]) / 2)
 
 
+def labelled_texts(texts: DataFrame, labels: DataFrame, label_key: str, good: Column, labelled_rows: int) -> DataFrame:
+    """(good, text), a row for each labelled key that is drawn and found among (key, text); see ``fit``."""
+    each = labels.select(labels[label_key].alias("of"), F.coalesce(good, F.lit(False)).cast("long").alias("good")).filter(F.col("of").isNotNull())
+    keys = saved(each.groupBy("of").agg(F.min("good").alias("good")), "labels")
+    share = min(1.0, labelled_rows / max(keys.count(), 1))
+    drawn = keys.filter(F.pmod(F.xxhash64("of"), F.lit(1_000_000)) < share * 1_000_000)
+    # A row of two numbers per drawn key, so every task can have them.
+    joined = texts.join(F.broadcast(drawn), F.col("key") == F.col("of"))
+    one = joined.groupBy("of").agg(F.min("good").alias("good"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    return saved(one, "labelled").select("good", "text")
+
+
 def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, good: Column, labelled_rows: int = LABELLED_ROWS) -> WeightModel:
     """Counts the raw model over all documents, and target model and threshold over labelled ones.
 
@@ -184,16 +207,10 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str,
     and all are accepted. Counts per bucket, of fixed size, reach the driver too.
     """
     texts = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-    each = labels.select(labels[label_key].alias("of"), F.coalesce(good, F.lit(False)).cast("long").alias("good")).filter(F.col("of").isNotNull())
-    keys = saved(each.groupBy("of").agg(F.min("good").alias("good")), "labels")
-    share = min(1.0, labelled_rows / max(keys.count(), 1))
-    drawn = keys.filter(F.pmod(F.xxhash64("of"), F.lit(1_000_000)) < share * 1_000_000)
-    # A row of two numbers per drawn key, so every task can have them.
-    joined = texts.join(F.broadcast(drawn), F.col("key") == F.col("of"))
-    labelled = saved(joined.groupBy("of").agg(F.min("good").alias("good"), F.min_by("text", F.xxhash64("text")).alias("text")), "labelled").select("good", "text")
+    labelled = labelled_texts(texts, labels, label_key, good, labelled_rows)
     target = _dense(counts(labelled.filter("good = 1").select("text")))
     if not target.rows:
-        return WeightModel(np.zeros(_BUCKETS), np.zeros(_BUCKETS), float("-inf"))
+        return WeightModel(np.zeros(_HELD_FROM, np.float32), np.zeros(_BUCKETS - _HELD_FROM, np.float32), float("-inf"))
     raw = _dense(counts(texts.select("text")))
     model = WeightModel(log_ratios(target, raw), penalties(target, raw), float("-inf"))
     scored = weigh(labelled, "text", model, "weight", "score").select("good", "score").toArrow()
@@ -208,7 +225,7 @@ def weigh(df: DataFrame, text: str, model: WeightModel, weight: str, score: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, behind, texts in sliced(batch.column(at).cast(pa.string()).to_pylist()):
+            for first, behind, texts in sliced(batch.column(at).cast(pa.string()).to_pylist(), SLICE_BYTES):
                 part = batch.slice(first, behind - first)
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, model.weights(texts))], schema.names)
 

@@ -128,8 +128,8 @@ def shingle_sets(texts: list[bytes], length: int) -> list[np.ndarray]:
     return found
 
 
-def sliced(texts: list[str | None]) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Neighbouring texts as UTF-8, about SLICE_BYTES at a time; a null text is empty."""
+def sliced(texts: list[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Neighbouring texts as UTF-8, about ``most`` bytes at a time; a null text is empty."""
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    for first, behind in slices(map(len, data), SLICE_BYTES - len(data) - 2):
+    for first, behind in slices(map(len, data), most - len(data) - 2):
         yield first, behind, data[first:behind]
