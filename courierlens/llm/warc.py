@@ -30,6 +30,8 @@ from courierlens.llm.shared import new_folder, saved, spread
 #: Uncompressed bytes after which a frame, and a bundle, is closed.
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 1 << 28
+#: Bytes of shared payloads' first pages that every task may get, and what one takes besides its key and address.
+MOST_BROADCAST, ROW_BYTES = 32 << 20, 120
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of its footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Fixed value of the WARC 1.1 standard: the profile of revisits with an equal payload.
@@ -158,7 +160,9 @@ def mark_revisits(df: DataFrame, key: str, url: str, payload: str, least_bytes:
     others refer to it. A null payload is an empty one. Null keys are never referred to; if all keys
     of a payload are null, all its rows are responses, and so are rows that repeat the smallest key.
     The smallest key per payload is found with partial aggregates, so a payload of a third of all
-    pages is one small row per task; the join's payload side can be split where it is uneven.
+    pages is one small row per task. What several pages share is written and measured: up to
+    MOST_BROADCAST bytes every task gets it, and no payload is shuffled; beyond that the payloads are joined by
+    a shuffle, which can be split where it is uneven.
     """
     value = F.coalesce(df[payload].cast("string"), F.lit("")).cast("binary")
     rows = df.select(df[key].alias("key"), df[url].cast("string").alias("url"), value.alias("payload"), F.sha1(value).alias("sha"), F.octet_length(value).alias("size"))
@@ -166,7 +170,10 @@ def mark_revisits(df: DataFrame, key: str, url: str, payload: str, least_bytes:
     first = F.min(F.when(F.col("key").isNotNull(), F.struct("key", "url")))
     firsts = (copied.groupBy("sha").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
               .select(F.col("sha").alias("first_sha"), F.col("first.key").alias("first_key"), F.col("first.url").alias("first_url"), F.lit(least_bytes).alias("least")))
-    joined = rows.join(firsts, (F.col("sha") == F.col("first_sha")) & (F.col("size") >= F.col("least")), "left")
+    firsts = saved(firsts, "warc-firsts")
+    taken = F.sum(F.lit(ROW_BYTES) + F.coalesce(F.octet_length("first_url"), F.lit(0)) + F.coalesce(F.octet_length(F.col("first_key").cast("string")), F.lit(0)))
+    few = (firsts.agg(taken).first()[0] or 0) <= MOST_BROADCAST
+    joined = rows.join(F.broadcast(firsts) if few else firsts, (F.col("sha") == F.col("first_sha")) & (F.col("size") >= F.col("least")), "left")
     refers = F.col("first_key").isNotNull() & ~F.col("key").eqNullSafe(F.col("first_key"))
     return joined.select("key", "url", "payload", F.when(refers, F.col("first_key")).alias("refers_to"), F.when(refers, F.col("first_url")).alias("refers_url"))
 
