@@ -63,13 +63,11 @@ def fill_forward(df: DataFrame, key: str, ts: str, value: str, name: str | None
                          F.lit(True).alias("_inherited"))
                  .filter(F.col("_value").isNotNull()))
 
-    in_slice = W.partitionBy(key, "_slice").orderBy(F.col(ts).asc_nulls_first())
-    peers = in_slice.rangeBetween(W.currentRow, W.currentRow)
-    filled = (rows.unionByName(inherited, allowMissingColumns=True)
-              .withColumn("_peer", F.max("_value").over(peers))
-              .withColumn("_filled", F.last("_peer", ignorenulls=True).over(in_slice))
-              .filter(~F.col("_inherited")))
-    return filled.select(*[c for c in df.columns if c != name], F.col("_filled").alias(name))
+    # The frame ends with the row's peers, and the newest known value is the largest pair of time and value in it.
+    so_far = W.partitionBy(key, "_slice").orderBy(F.col(ts).asc_nulls_first()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    newest = F.max(F.when(F.col("_value").isNotNull(), F.struct(F.col(ts).alias("at"), F.col("_value").alias("value")))).over(so_far)
+    filled = rows.unionByName(inherited, allowMissingColumns=True).withColumn("_newest", newest).filter(~F.col("_inherited"))
+    return filled.select(*[c for c in df.columns if c != name], F.col("_newest.value").alias(name))
 
 
 def latest_before(df: DataFrame, keys: Sequence[str], ts: str, value: str, first: Column,

@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from courierlens.sources.catalog import Catalog
 
@@ -41,7 +42,9 @@ def write_table(df: DataFrame, table: str, placement: Placement, buckets: int, f
     holds a large share of the rows is spread by day. Give tables that are joined the same ``buckets``:
     enough that one of them, all days together, fits a task.
     """
-    placed = df.repartition(buckets, placement.day, placement.key)
+    # Spark's own rule for a row's bucket.
+    bucket = F.pmod(F.hash(placement.key), F.lit(buckets))
+    placed = df.repartition(F.col(placement.day), bucket)
     writer = placed.write.partitionBy(placement.day).bucketBy(buckets, placement.key).sortBy(placement.key)
     if folder:
         writer = writer.option("path", f"{folder.rstrip('/')}/{table}")

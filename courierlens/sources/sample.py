@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 from courierlens.params import Params
 from courierlens.sources.catalog import Catalog
@@ -386,17 +385,9 @@ TABLES: dict[str, dict[str, Callable[[Dialect], str]]] = {
 }
 
 
-_schemas: dict[tuple[str, int], StructType] = {}
-
-
 def given_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its schema is looked up in the file once per version of it, not on every read."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    changed = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime()
-    if (path, changed) not in _schemas:
-        _schemas[path, changed] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path, changed]).parquet(path)
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def sample_catalog(spark: SparkSession, sf_dir: str, edition: str) -> Catalog:
