@@ -8,12 +8,14 @@ roundings are exact, and NULLs, duplicates and reversed intervals come from key
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from courierlens.params import Params
 from courierlens.sources.catalog import Catalog
@@ -385,9 +387,18 @@ TABLES: dict[str, dict[str, Callable[[Dialect], str]]] = {
 }
 
 
+_schemas: dict[tuple[str, int], StructType] = {}
+
+
 def given_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; the schema of one on a local path is looked up once per version of it, not on every read."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if not os.path.exists(path):
+        return spark.read.parquet(path)
+    version = path, os.stat(path).st_mtime_ns
+    if version not in _schemas:
+        _schemas[version] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[version]).parquet(path)
 
 
 def sample_catalog(spark: SparkSession, sf_dir: str, edition: str) -> Catalog:
