@@ -41,9 +41,9 @@ class Grid:
     scale: float
 
 
-#: Grids for tables of up to so many vectors. A pair with a cosine of 0.95 shares a cell of a table with
-#: probability 0.60, 0.61, 0.60, 0.48 and 0.40, so all but one in a thousand such pairs share one; of two
-#: unrelated vectors so few do that a vector meets about two of them at the upper end of each range.
+#: Grids for tables of up to so many vectors. A pair with a cosine of 0.95 shares a cell of one of a grid's tables with
+#: probability 0.61, 0.61, 0.60, 0.49 and 0.43, so fewer than one in a thousand such pairs share none; unrelated
+#: vectors do so seldom that a vector meets a few of them at the upper end of each range.
 GRIDS = [(20_000, Grid(10, 2, 6, 0.65)), (60_000, Grid(10, 3, 8, 0.5)), (600_000, Grid(10, 3, 16, 0.6)),
          (2_500_000, Grid(14, 4, 16, 0.5)), (math.inf, Grid(16, 4, 32, 0.58))]
 
