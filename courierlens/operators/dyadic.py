@@ -59,26 +59,47 @@ def point_cells(point: Column, top: int | Column = TOP_LEVEL) -> Column:
 
 
 def attribute_cells(facts: DataFrame, spans: DataFrame, on: Mapping[str, str], ts: Column, start: str, end: str,
-                    carry: Sequence[str], top: int = TOP_LEVEL) -> DataFrame:
+                    carry: Sequence[str], top: int = TOP_LEVEL, covering: str | None = None) -> DataFrame:
     """Left join of facts to the spans that hold their minute, once per span.
 
     ``on`` maps fact columns to span columns. ``start`` and ``end`` are whole minutes, both included;
     reversed or open spans hold nothing, and spans of any length may overlap. Facts are reduced to
     their distinct (key, minute) before they are listed once per level, so the lookup grows with
-    keys and minutes, not with the facts; these only join its result by equality. ``top`` may be lowered
+    keys and minutes, not with the facts; these only join its result by equality. Spans with the same
+    values of ``carry`` are counted per cell and per minute, however many pile up. With ``covering`` a fact comes
+    once per such values, with the number of spans in that column (NULL without any). ``top`` may be lowered
     where spans are short; it changes the cost, not the result.
     """
     names = [f"_on_{i}" for i in range(len(on))]
+    carried = [f"_carry_{c}" for c in carry]
     mine = facts.withColumn("_minute", minute_number(ts))
     points = mine.select(*[F.col(c).alias(n) for c, n in zip(on, names)], "_minute").na.drop().distinct()
     probes = points.select("*", F.inline(point_cells(F.col("_minute"), top)))
-    cells = spans.select(*[F.col(c).alias(f"{n}_of") for c, n in zip(on.values(), names)], *carry,
-                         F.inline(span_cells(minute_number(F.col(start)), minute_number(F.col(end)), top)).alias("_level", "_cell"))
+    pieces = spans.select(*[F.col(c).alias(f"{n}_of") for c, n in zip(on.values(), names)], *[F.col(c).alias(k) for c, k in zip(carry, carried)],
+                          F.inline(span_cells(minute_number(F.col(start)), minute_number(F.col(end)), top)).alias("_level", "_cell"))
+    place = [*[f"{n}_of" for n in names], "_level", "_cell"]
+    cells = pieces.groupBy(*place, *carried).agg(F.count(F.lit(1)).alias("_spans"))
     same = (F.col("level") == F.col("_level")) & (F.col("cell") == F.col("_cell"))
     for n in names:
         same = same & (F.col(n) == F.col(f"{n}_of"))
-    hits = probes.join(cells, same).select(*names, F.col("_minute").alias("_at"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    looked_up = spread(probes, [*names, "level", "cell"]).join(spread(cells, place), same)
+    hits = looked_up.groupBy(*[F.col(n).alias(f"{n}_at") for n in names], F.col("_minute").alias("_at"), *carried).agg(F.sum("_spans").alias("_spans"))
     meet = F.col("_minute") == F.col("_at")
     for c, n in zip(on, names):
-        meet = meet & (F.col(c) == F.col(n))
-    return mine.join(hits, meet, "left").select(*facts.columns, *[F.col(f"_carry_{c}").alias(c) for c in carry])
+        meet = meet & (F.col(c) == F.col(f"{n}_at"))
+    labelled = mine.join(hits, meet, "left")
+    found = [*facts.columns, *[F.col(k).alias(c) for c, k in zip(carry, carried)]]
+    if covering is not None:
+        return labelled.select(*found, F.col("_spans").alias(covering))
+    copies = F.sequence(F.lit(1).cast("long"), F.coalesce("_spans", F.lit(1)))
+    return labelled.select(*found, F.explode(copies).alias("_copy")).drop("_copy")
+
+
+def spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that were listed several times, shuffled by the keys of a join that follows.
+
+    The planner takes a listing to be as small as what was listed, and would broadcast it. Behind an
+    exchange its size is measured, and the join goes by that; both sides need one, for the
+    adaptive planner gives up a broadcast only where that costs no further exchange.
+    """
+    return rows.repartition(*keys)

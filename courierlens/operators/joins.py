@@ -13,7 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courierlens.operators.dyadic import TOP_LEVEL, point_cells, span_cells
+from courierlens.operators.dyadic import TOP_LEVEL, point_cells, span_cells, spread
 
 
 def semi_in(df: DataFrame, column: str, sub: DataFrame, sub_column: str) -> DataFrame:
@@ -100,7 +100,7 @@ def spread_band_join(df: DataFrame, bands: DataFrame, on: Mapping[str, str], val
     levels = F.least(F.lit(TOP_LEVEL), F.ceil(F.log2(F.col("_buckets")))).cast("int")
     probes = with_axis(points).select(*names, "_value", F.inline(point_cells(bucket("_value"), levels)))
     same = _all_equal({n: f"{n}_of" for n in names} | {"level": "_level", "cell": "_cell"})
-    hits = probes.join(cells, same & F.col("_value").between(F.col("_low"), F.col("_high")))
+    hits = spread(probes, [*names, "level", "cell"]).join(spread(cells, [*[f"{n}_of" for n in names], "_level", "_cell"]), same & F.col("_value").between(F.col("_low"), F.col("_high")))
     hits = hits.select(*names, "_value", *[f"_carry_{c}" for c in carry])
     meet = _all_equal(dict(zip(on, names)) | {value: "_value"})
     return df.join(hits, meet, "left").select(*df.columns, *[F.col(f"_carry_{c}").alias(c) for c in carry])

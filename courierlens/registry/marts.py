@@ -76,7 +76,7 @@ def shrink_labelled_sessions(c: Catalog, p: Params) -> DataFrame:
 def shrink_sessions_by_cells(c: Catalog, p: Params) -> DataFrame:
     """The same labels from raw spans, looked up by dyadic cells."""
     labelled = attribute_cells(conversion.restaurant_sessions(c, p), shrink_conversion.shrink_spans(c, p), {"lg_zone_uuid": "lg_zone_uuid"},
-                               F.col("local_ts"), "first_minute", "last_minute", ["shrink_event"])
+                               F.col("local_ts"), "first_minute", "last_minute", ["shrink_event"], covering="covering")
     return labelled.withColumn("shrink_event", F.coalesce("shrink_event", F.lit(p.no_shrink))).select(*SESSION_ROW, "shrink_event").distinct()
 
 
@@ -84,12 +84,13 @@ def shrink_profit_by_cells(c: Catalog, p: Params) -> DataFrame:
     """Orders and profit per label, an order once per event that holds its minute, looked up by dyadic cells."""
     spans = shrink_conversion.shrink_spans(c, p).withColumnRenamed("zone_name", "event_zone")
     labelled = attribute_cells(conversion.full_fee_profit(c, p), spans, {"zone_name": "event_zone"},
-                               F.col("expected_delivery_at_local"), "first_minute", "last_minute", ["shrink_event"])
+                               F.col("expected_delivery_at_local"), "first_minute", "last_minute", ["shrink_event"], covering="covering")
+    copies = F.coalesce("covering", F.lit(1))
     net = without_ads(F.col("gpo_excl_wastage"), F.col("ad_rev_per_order"), F.col("sub_rev_per_order"))
     return (labelled.withColumn("shrink_event", F.coalesce("shrink_event", F.lit(p.no_shrink)))
             .groupBy("date_local", "hour_", "zone_name", "shrink_event")
-            .agg(F.count_distinct("order_code").alias("total_orders"), sum_or_zero(F.col("gpo_excl_wastage")).alias("total_gp"),
-                 F.sum(net).alias("total_gp_wo_ad")))
+            .agg(F.count_distinct("order_code").alias("total_orders"), sum_or_zero(F.col("gpo_excl_wastage") * copies).alias("total_gp"),
+                 F.sum(net * copies).alias("total_gp_wo_ad")))
 
 
 def shrink_session_counts(c: Catalog, p: Params) -> DataFrame:

@@ -67,6 +67,42 @@ def test_attribution_by_cells_equals_attribution_by_minute(spark, seed):
     assert attribute_cells(facts, far, {"zone": "key"}, F.col("ts"), "a", "b", ["label"]).filter("label = 'ever'").count() == facts.filter("zone = 'hot' and ts is not null").count()
 
 
+def piled(spark):
+    facts = spark.range(3000).select("id", F.concat(F.lit("z"), F.col("id") % 2).alias("zone"), (F.lit(START) + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("ts"))
+    spans = spark.range(4000).select(F.lit("z0").alias("key"), F.concat(F.lit("l"), F.col("id") % 2).alias("label"), F.lit(START).alias("a"),
+                                     (F.lit(START) + F.make_dt_interval(mins=(F.col("id") % 50).cast("int"))).alias("b"))
+    return facts, spans
+
+
+def test_spans_that_pile_up_are_counted(spark):
+    facts, spans = piled(spark)
+    rows = attribute_cells(facts, spans, {"zone": "key"}, F.col("ts"), "a", "b", ["label"], covering="n")
+    each = attribute_cells(facts, spans, {"zone": "key"}, F.col("ts"), "a", "b", ["label"])
+    assert each.columns == [*facts.columns, "label"]
+    assert result(rows.filter("id = 10"), "label", "n") == [("l0", 1600), ("l1", 1600)] and result(rows.filter("id = 11"), "label", "n") == [(None, None)]
+    assert rows.count() == 3000 + 25
+    assert result(each.groupBy("id", "label").agg(F.count("label").alias("n")).filter("n > 0")) == result(rows.filter("n is not null").select("id", "label", "n"))
+
+
+def test_a_listing_per_level_is_not_taken_for_small(spark, tmp_path):
+    """The points lie below the limit of a broadcast, their listing far above it, and so do the cells."""
+    for name, frame in zip(("facts", "spans"), piled(spark)):
+        frame.write.parquet(f"{tmp_path}/{name}")
+    facts, spans = spark.read.parquet(f"{tmp_path}/facts"), spark.read.parquet(f"{tmp_path}/spans")
+    start = spans.a + F.make_dt_interval(mins=(F.xxhash64(F.rand(1)) % 2000).cast("int"))
+    spans = spans.withColumns({"label": F.concat("label", F.xxhash64(F.rand(2))), "a": start, "b": start + F.expr("interval 700 minutes")})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "300000")
+    try:
+        df = attribute_cells(facts, spans, {"zone": "key"}, F.col("ts"), "a", "b", ["label"])
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        joins = [line for line in plan.splitlines() if "Join" in line and "level#" in line]
+        assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("per_bucket", [1, 3, 64])
 def test_bands_by_buckets_equal_the_band_join(spark, per_bucket):
     rng = random.Random(per_bucket)
