@@ -16,7 +16,7 @@ from courierlens.plans.rolling import STATES
 from courierlens.plans.shrink_conversion import daily_conversion_by_shrink
 from courierlens.plans.surge_conversion import daily_conversion_by_surge
 from courierlens.sources.catalog import Catalog
-from courierlens.sources.day_states import DayStates
+from courierlens.sources.day_states import DayStates, at_once
 from courierlens.sources.session import shared_folder
 
 #: Tables with late or corrected rows: the id that says which, and what the first delivery has instead.
@@ -64,15 +64,15 @@ def twice_refreshed(catalog: Catalog, params: Params) -> tuple[DayStates, Catalo
     """States after both deliveries, and the tables behind them."""
     spark = catalog["sessions"].sparkSession
     folder = shared_folder(spark, "rolling-input")
-    for table in STATES:
-        write_days(first_delivery(catalog, table), folder, table)
+    first = {table: first_delivery(catalog, table) for table in STATES}
+    at_once(spark, [lambda table=table, rows=rows: write_days(rows, folder, table) for table, rows in first.items()])
     states, tables = DayStates.create(spark, shared_folder(spark, "rolling-states")), stored(catalog, folder)
     rolling.refresh(states, tables, params, rolling.changed_days({table: tables[table] for table in STATES}))
 
     news = {table: catalog[table].filter(late(table) | corrected(table)) for table in CORRECTIONS}
     days = rolling.changed_days(news)
-    for table in CORRECTIONS:
-        write_days(catalog[table].filter(F.col(STATES[table].day).isin(sorted(days))), folder, table)
+    second = {table: catalog[table].filter(F.col(STATES[table].day).isin(sorted(days))) for table in CORRECTIONS}
+    at_once(spark, [lambda table=table, rows=rows: write_days(rows, folder, table) for table, rows in second.items()])
     tables = stored(catalog, folder)
     rolling.refresh(states, tables, params, days)
     return states, tables

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import reduce
 from operator import or_
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,6 +19,16 @@ DAY, VERSION = "_day", "_version"
 _LIST = f"table string, number long, {VERSION} string, {DAY} date"
 
 
+def at_once(spark: SparkSession, writes: Sequence[Callable[[], None]]) -> None:
+    """Writes that do not depend on each other, side by side, so that the last tasks of one leave no core idle.
+
+    Comes back when all have ended; the first failure is raised.
+    """
+    with ThreadPoolExecutor(max_workers=max(1, len(writes))) as threads:
+        for written in [threads.submit(inheritable_thread_target(spark)(write)) for write in writes]:
+            written.result()
+
+
 class DayStates:
     """Tables below a folder that all executors share, each partitioned by version and day.
 
@@ -54,8 +66,8 @@ class DayStates:
         All tables change together, when the refresh is listed.
         """
         days, version = sorted(set(days)), uuid.uuid4().hex
-        for table, state in states.items():
-            state.withColumn(VERSION, F.lit(version)).write.partitionBy(VERSION, DAY).mode("append").parquet(self._path(table))
+        at_once(self._spark, [lambda table=table, state=state: state.withColumn(VERSION, F.lit(version)).write.partitionBy(VERSION, DAY)
+                 .mode("append").parquet(self._path(table)) for table, state in states.items()])
         number = self._refreshes().agg(F.coalesce(F.max("number"), F.lit(0))).first()[0] + 1
         listed = [(table, number, version, day) for table in states for day in days]
         self._spark.createDataFrame(listed, _LIST).coalesce(1).write.mode("append").parquet(self._path("_refreshes"))

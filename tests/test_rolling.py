@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from threading import Barrier
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from courierlens.plans.shrink_conversion import daily_conversion_by_shrink, orde
 from courierlens.plans.surge_conversion import daily_conversion_by_surge
 from courierlens.registry.refreshes import first_delivery, stored, write_days
 from courierlens.sources.catalog import Catalog
-from courierlens.sources.day_states import DAY, DayStates
+from courierlens.sources.day_states import DAY, DayStates, at_once
 from courierlens.sources.sample import TRAFFIC, sample_catalog
 from rows import catalog, result, zones
 
@@ -112,3 +113,13 @@ def test_states_need_a_list(spark, tmp_path):
     c = Catalog.from_frames({})
     with pytest.raises(KeyError):
         rolling.partial_states(c, P)
+
+
+def test_independent_writes_run_side_by_side(spark):
+    """Each waits for the other two, so one after the other they would never end; a failure is raised."""
+    meeting, ended = Barrier(3, timeout=30), []
+    at_once(spark, [lambda i=i: ended.append((meeting.wait() >= 0, i)) for i in range(3)])
+    assert sorted(ended) == [(True, 0), (True, 1), (True, 2)]
+    with pytest.raises(ZeroDivisionError):
+        at_once(spark, [lambda: 1 // 0, lambda: None])
+    at_once(spark, [])
